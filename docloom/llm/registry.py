@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from docloom.llm import quality
+from docloom.llm import chat, mixing, quality, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_chat_format": chat.op2_chat_format,
+    "op5_source_mix": mixing.op5_source_mix,
+    "op7_url_filter": urls.op7_url_filter,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.SQL,
+    "op2_chat_format": chat.SQL,
+    "op5_source_mix": mixing.SQL,
+    "op7_url_filter": urls.SQL,
 }
