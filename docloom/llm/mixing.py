@@ -101,7 +101,7 @@ def sample_cuts(sized: DataFrame) -> DataFrame:
     )
     edges = written(edges)
     # Pareto rank: the odds of u over the inclusion odds, which are the same within a source.
-    rank = F.struct((F.col("u") / (1 - F.col("u")) / F.col("odds")).alias("x"), F.col("doc_id"))
+    rank = F.struct(F.try_divide(F.col("u") / (1 - F.col("u")), F.col("odds")).alias("x"), F.col("doc_id"))
     at_edge = (
         by_source(sized.withColumn("slice", share), edges)
         .filter((F.col("slice") == F.col("edge")) & (F.col("odds") > 0))
@@ -130,7 +130,7 @@ def by_source(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> Dat
 def taken_column() -> Column:
     """Words that the mix takes of a row with size, u and its source's cut."""
     share = (F.col("u") * F.col("slices")).cast("int")
-    rank = F.struct((F.col("u") / (1 - F.col("u")) / F.col("odds")).alias("x"), F.col("doc_id"))
+    rank = F.struct(F.try_divide(F.col("u") / (1 - F.col("u")), F.col("odds")).alias("x"), F.col("doc_id"))
     extra = F.coalesce((share < F.col("edge")) | ((share == F.col("edge")) & (rank <= F.col("last"))), F.lit(False))
     return ((F.col("copies") + extra.cast("long")) * F.col("size")).alias("taken")
 
