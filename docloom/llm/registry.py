@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, mixing, quality, urls
+from docloom.llm import chat, lines, mixing, quality, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op5_source_mix": mixing.op5_source_mix,
     "op7_url_filter": urls.op7_url_filter,
 }
@@ -14,6 +15,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality.SQL,
     "op2_chat_format": chat.SQL,
+    "op3_line_dedup": lines.SQL,
     "op5_source_mix": mixing.SQL,
     "op7_url_filter": urls.SQL,
 }
