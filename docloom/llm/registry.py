@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, lines, mixing, quality, urls
+from docloom.llm import chat, jaccard, lines, mixing, quality, secrets, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
     "op5_source_mix": mixing.op5_source_mix,
     "op7_url_filter": urls.op7_url_filter,
+    "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_ngram_join": jaccard.op9_ngram_join,
 }
 
 ORACLES = {
