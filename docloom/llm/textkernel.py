@@ -69,6 +69,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def parts(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of whole documents with up to limit bytes, or of one that has more."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
+
+
 def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices (begin, end, starts, ends) cut between words; a word ends where its document does."""
     n, begin = len(raw), 0
