@@ -69,31 +69,26 @@ def least_matches(n: int, threshold: Fraction = THRESHOLD, tolerance: float = TO
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mul, add = _permutations()
     for batch in batches:
-        words, bounds = tk.word_hashes(*tk.text_bytes(batch.column(2)))
-        h, at = tk.shingle_hashes(words, bounds, WORDS)
-        full = np.flatnonzero(np.diff(at))
-        sig = np.zeros((len(full), HASHES), np.uint32)
-        # As many documents at a time as begin within the same half million runs.
-        part = at[full] >> 19
-        for p in np.unique(part):
-            lo, hi = np.searchsorted(part, [p, p + 1])
-            begin = at[full[lo]]
-            x, starts = h[begin : at[full[hi - 1] + 1]], at[full[lo:hi]] - begin
-            for k in range(HASHES):
-                sig[lo:hi, k] = (np.minimum.reduceat(x * mul[k] + add[k], starts) >> tk.U(32)).astype(np.uint32)
-        n, a, b = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-        for i in full:
-            u = np.unique(h[at[i] : at[i + 1]])
-            n[i] = len(u)
-            a[i] = tk.mixed(u).sum(dtype=tk.U).astype(np.int64)
-            b[i] = tk.mixed(u ^ tk.U(0xA5A5A5A55A5A5A5A)).sum(dtype=tk.U).astype(np.int64)
-        sigs: list[bytes | None] = [None] * batch.num_rows
-        for i, s in zip(full, sig, strict=True):
-            sigs[i] = s.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n), pa.array(a), pa.array(b), pa.array(sigs, pa.binary())],
-            ["doc_id", "version", "n", "a", "b", "sig"],
-        )
+        raw, offsets = tk.text_bytes(batch.column(2))
+        for i, j in tk.parts(offsets):
+            h, at = tk.shingle_hashes(*tk.word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), WORDS)
+            full = np.flatnonzero(np.diff(at))
+            sig = np.zeros((len(full), HASHES), np.uint32)
+            if len(full):
+                for k in range(HASHES):
+                    sig[:, k] = (np.minimum.reduceat(h * mul[k] + add[k], at[full]) >> tk.U(32)).astype(np.uint32)
+            n, a, b = (np.zeros(j - i, np.int64) for _ in range(3))
+            sigs: list[bytes | None] = [None] * (j - i)
+            for k, s in zip(full.tolist(), sig, strict=True):
+                u = np.unique(h[at[k] : at[k + 1]])
+                n[k] = len(u)
+                a[k] = tk.mixed(u).sum(dtype=tk.U).astype(np.int64)
+                b[k] = tk.mixed(u ^ tk.U(0xA5A5A5A55A5A5A5A)).sum(dtype=tk.U).astype(np.int64)
+                sigs[k] = s.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n), pa.array(a), pa.array(b), pa.array(sigs, pa.binary())],
+                ["doc_id", "version", "n", "a", "b", "sig"],
+            )
 
 
 def signed(docs: DataFrame) -> DataFrame:
