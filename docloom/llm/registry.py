@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, jaccard, lines, mixing, quality, secrets, substrings, urls
+from docloom.llm import chat, contamination, jaccard, lines, lm, mixing, quality, secrets, substrings, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_chat_format": chat.op2_chat_format,
     "op3_line_dedup": lines.op3_line_dedup,
+    "op4_decontamination": contamination.op4_decontamination,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_url_filter": urls.op7_url_filter,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_ngram_join": jaccard.op9_ngram_join,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
 ORACLES = {
