@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.shared import settled
+
 WINDOW = 3
 _BLANKS = " \t\r\x0b\x0c"
 
@@ -101,7 +103,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the texts left; a document that loses all its words goes."""
-    left = dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = settled(dedup_lines(docs)).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.select(
         *[
             F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c)

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.shared import settled
+
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 
@@ -129,7 +131,7 @@ def _measured(rows: DataFrame) -> DataFrame:
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
-    return repeated.select(*keep, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    return settled(repeated.select(*keep, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words")))
 
 
 def _judged(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,14 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/docloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, with its columns computed before any later filter looks at them.
+
+    Spark moves a filter below projections by putting their expressions into it. A lambda that reads an array
+    column would then compute the array anew for each element. A row number that is only known at
+    run time, and that a filter reads, keeps later filters above.
+    """
+    number = "_settled_row"
+    return df.withColumn(number, F.monotonically_increasing_id()).filter(F.col(number) >= 0).drop(number)
