@@ -2,8 +2,449 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "search_vectors"
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from docloom.functions import embedding, rules, text
+from docloom.functions.markdown import cleaned_sections, extract_subheadings
+from docloom.operators import maintenance, search, stats, validation
+from docloom.operators.chunks import doc_title, fold_blocks
+from docloom.plans import tables as t
 
+FLAGSHIP = "search_vectors"
+QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _quoted(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+# Markdown and chunks
+
+
+@query(
+    f"WITH {t.CHUNKS_SQL} SELECT doc_id, count(DISTINCT sec) FILTER (WHERE head)::INT AS headed,"
+    " count(*) FILTER (WHERE head AND kind = 't')::INT AS titles, count(*) FILTER (WHERE head AND kind = 'a')::INT AS blocks FROM s GROUP BY doc_id"
+)
+def split_sections(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.docs_md(spark, d).select("doc_id", cleaned_sections(F.col("text")).alias("s"))
+    n = lambda level: F.size(F.filter("s", lambda x: x["level"] == level))
+    return rows.select("doc_id", (F.size("s") - n(0)).alias("headed"), n(1).alias("titles"), n(2).alias("blocks"))
+
+
+@query(
+    f"WITH {t.CHUNKS_SQL}, f AS (SELECT doc_id, count(*)::INT AS blocks, sum(len(block))::BIGINT AS chars FROM g GROUP BY doc_id)"
+    ' SELECT path AS "sourceFile", title, coalesce(blocks, 0)::INT AS blocks, coalesce(chars, 0)::BIGINT AS chars FROM title LEFT JOIN f USING (doc_id)'
+)
+def fold_sections(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.docs_md(spark, d).select(F.col("path").alias("sourceFile"), cleaned_sections(F.col("text")).alias("s"))
+    rows = rows.select("sourceFile", doc_title(F.col("s"), F.col("sourceFile")).alias("title"), fold_blocks(F.col("s")).alias("b"))
+    chars = F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return rows.select("sourceFile", "title", F.size("b").alias("blocks"), chars.alias("chars"))
+
+
+@query(f'WITH {t.CHUNKS_SQL} SELECT "sourceFile", chunk_index, heading, raw AS "rawContent", tokens FROM chunks')
+def build_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return t.chunks(spark, d).select("sourceFile", "chunk_index", "heading", "rawContent", "tokens")
+
+
+_CONTENT = " ".join(
+    "WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in rules.of_product(ws, None)) + f" THEN '{c}'"
+    for ws, c in rules.CONTENT_CATEGORIES
+)
+_CATEGORY_SQL = (
+    "CASE "
+    + " ".join(f"WHEN contains(path, '{p}') THEN '{c}'" for p, c in rules.PATH_CATEGORIES)
+    + " WHEN contains(path, '/hooks.md') THEN 'hooks' WHEN contains(path, '/default.json.md') THEN 'cli'"
+    " WHEN contains(path, '/cloudflare.md') THEN 'runtime' WHEN contains(path, '-vs-') THEN 'comparison' "
+    + _CONTENT
+    + " ELSE 'general' END"
+)
+
+
+@query(
+    f"""WITH {t.DOCS_MD_SQL} SELECT path, CASE WHEN contains(path, 'v5_docs') THEN 'v5' WHEN contains(path, 'v6_docs') THEN 'v6' ELSE 'both' END AS version,
+    {_CATEGORY_SQL} AS category, ceil(len(text) / 4)::INT AS tokens, contains(text, '```') AS has_code,
+    array_to_string(list_filter({_quoted(rules.of_product(rules.TAGS, None))}, lambda x: contains(lower(text), x)), ',') AS tags,
+    CASE WHEN contains(text, '```') THEN 'ts,text' ELSE '' END AS languages FROM docs_md"""
+)
+def chunk_attributes(spark: SparkSession, d: str) -> DataFrame:
+    p, c = F.col("path"), F.col("text")
+    return t.docs_md(spark, d).select(
+        "path",
+        text.extract_version(p).alias("version"),
+        text.extract_category(p, c).alias("category"),
+        text.estimate_tokens(c).alias("tokens"),
+        text.has_code(c).alias("has_code"),
+        F.array_join(text.extract_tags(c), ",").alias("tags"),
+        F.array_join(text.extract_code_languages(c), ",").alias("languages"),
+    )
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+    SELECT doc_id, count(*) FILTER (WHERE i > 0 AND i % 11 <> 6 AND i % 13 <> 8 AND (i % 7 = 3 OR i % 7 = 5)
+      AND regexp_matches(x, '[^\s]'))::INT AS subheadings FROM l GROUP BY doc_id"""
+)
+def subheadings(spark: SparkSession, d: str) -> DataFrame:
+    return t.docs_md(spark, d).select("doc_id", F.size(extract_subheadings(F.col("text"))).alias("subheadings"))
+
+
+@query(
+    r"""WITH x AS (SELECT doc_id, substr(text, 1, 200) AS s, regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS g FROM documents)
+    SELECT doc_id, substr(g, 1, 40) AS slug, 'docs/contrib/19700101T000000Z-' || substr(g, 1, 40) AS branch,
+      CASE WHEN doc_id % 86400 < 60 THEN (doc_id % 86400) || 's ago' WHEN doc_id < 3600 THEN doc_id // 60 || 'm ago' WHEN doc_id < 86400 THEN doc_id // 3600 || 'h ago'
+           ELSE doc_id // 86400 || 'd ago' END AS age FROM x"""
+)
+def names(spark: SparkSession, d: str) -> DataFrame:
+    head = F.substring("text", 1, 200)
+    return t.read(spark, d, "documents").select(
+        "doc_id",
+        text.slugify(head).alias("slug"),
+        text.branch_name(head, F.lit("1970-01-01 00:00:00").cast("timestamp")).alias("branch"),
+        text.human_age(F.col("doc_id") * 1000).alias("age"),
+    )
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '(?i)token\s+\S+', 'token [REDACTED]', 'g') AS text FROM documents")
+def redact_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return t.read(spark, d, "documents").select("doc_id", text.redact_tokens(F.col("text")).alias("text"))
+
+
+# Embedding
+
+
+@query(
+    "SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid,"
+    " list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000 + 0.5) / 1000000) AS rounded FROM embeddings"
+)
+def embedding_checks(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("embedding")
+    return t.read(spark, d, "embeddings").select(
+        "vec_id", embedding.has_valid_embedding(e, 64).alias("valid"), embedding.round_embedding(e).alias("rounded")
+    )
+
+
+@query(
+    """WITH e AS (SELECT 'docs/l' || label || '.md' AS f, len(embedding) = 64 AND vec_id % 3 <> 0 AS ok FROM embeddings)
+    SELECT f AS "sourceFile", count(*) AS "rows", count(*) FILTER (WHERE ok) AS done, count(*) FILTER (WHERE NOT ok) AS todo FROM e GROUP BY ROLLUP (f)"""
+)
+def embedding_progress(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.vector_chunks(spark, d).withColumn("embedding", F.when(F.col("chunk_index") % 3 != 0, F.col("embedding")))
+    return embedding.embedding_progress(rows, 64)
+
+
+@query(
+    f"""WITH {t.DOCS_MD_SQL}, h AS (SELECT path, '# ' || path || chr(10) || 'Category: hooks' || chr(10) || CASE WHEN contains(text, '```') THEN 'Code: ts' || chr(10) ELSE '' END AS head, text FROM docs_md),
+    b AS (SELECT *, greatest(0, 4095 - len(head)) AS budget FROM h), c AS (SELECT *, substr(text, 1, budget) AS cut FROM b),
+    e AS (SELECT *, CASE WHEN contains(cut, ' ') THEN len(cut) - position(' ' IN reverse(cut)) ELSE -1 END AS sp FROM c)
+    SELECT path, sha256(trim(head || chr(10) || CASE WHEN len(cut) < len(text) AND sp > budget * 0.8 THEN substr(cut, 1, sp) ELSE cut END,
+      ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM e"""
+)
+def build_embed_text(spark: SparkSession, d: str) -> DataFrame:
+    none, c = F.array().cast("array<string>"), F.col("text")
+    made = text.build_embed_text(
+        F.col("path"), F.lit("hooks"), F.col("path"), none, none, text.has_code(c), F.array(F.lit("ts")), c
+    )
+    return t.docs_md(spark, d).select("path", F.sha2(made.cast("binary"), 256).alias("digest"))
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT doc_id, lower(unnest(string_split_regex(text, '\\s+'))) AS w FROM documents),
+    k AS (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 64 AS slot
+          FROM w WHERE w <> '')
+    SELECT doc_id, count(DISTINCT slot)::INT AS slots, sum(DISTINCT slot)::BIGINT AS places FROM k GROUP BY doc_id""".replace("\\\\", "\\")
+)
+def hash_embed(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.read(spark, d, "documents").select("doc_id", embedding.embed(F.col("text"), embedding.hash_model(64)).alias("e"))
+    slots = F.array_compact(F.transform("e", lambda x, i: F.when(x > 0, i)))
+    places = F.aggregate(slots, F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.filter("e IS NOT NULL AND exists(e, x -> x > 0)").select("doc_id", F.size(slots).alias("slots"), places.alias("places"))
+
+
+# Search
+
+
+@query(f'WITH {t.VECTOR_SQL} SELECT query_id, "sourceFile", chunk_index, rank::INT AS rank, round(score, 9) AS score FROM top')
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.vector_topk(t.vector_queries(spark, d), t.vector_chunks(spark, d)).withColumn("score", F.round("score", 9))
+
+
+_SEARCH_SQL = f"""WITH {t.VECTOR_SQL},
+capped AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN floor(score / max(score) OVER (PARTITION BY query_id) * 1e6 + 0.5) / 1e6 ELSE score END AS s
+           FROM top QUALIFY row_number() OVER (PARTITION BY query_id, "sourceFile" ORDER BY rank) <= 2),
+used AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM capped),
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM used WHERE budget = 0 OR used < budget)
+SELECT query_id, "sourceFile", chunk_index, r::INT AS rank, s AS score, tokens FROM final WHERE r <= lim"""
+
+
+@query(_SEARCH_SQL)
+def search_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Top 50, normalised scores, two a source, token budget, limit."""
+    queries, chunks = t.vector_queries(spark, d), t.vector_chunks(spark, d)
+    found = search.pipeline(search.vector_topk(queries, chunks), queries, chunks)
+    return found.select("query_id", "sourceFile", "chunk_index", "rank", "score", "tokens")
+
+
+def _text_queries(spark: SparkSession, d: str) -> DataFrame:
+    return t.read(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"),
+        F.expr("CASE item_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'v5' ELSE 'v6' END").alias("version"),
+        F.lit(10.0).alias("limit"), F.lit(4000.0).alias("tokens_budget"),
+    )
+
+
+@query()
+def search_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark text as a query on the chunks, embedded offline; one JSON a query."""
+    chunks = t.chunks(spark, d)
+    model = embedding.hash_model(64)
+    chunks = chunks.withColumn("embedding", embedding.embed(embedding.embed_text(chunks), model))
+    q = search.normalize_queries(_text_queries(spark, d))
+    return search.search_response(q, search.search(_text_queries(spark, d), chunks, lambda c: embedding.embed(c, model)))
+
+
+@query(
+    f"""WITH {t.DOCS_MD_SQL}, q AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'v5' ELSE 'v6' END AS version,
+        list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS terms FROM benchmark),
+    c AS (SELECT path AS "sourceFile", CASE WHEN contains(path, 'v5_docs') THEN 'v5' WHEN contains(path, 'v6_docs') THEN 'v6' ELSE 'both' END AS version,
+        lower(path || ' ' || text) AS body FROM docs_md),
+    s AS (SELECT query_id, "sourceFile", len(list_filter(terms, lambda x: contains(body, x)))::DOUBLE AS score FROM q JOIN c ON q.version = 'all' OR c.version IN (q.version, 'both'))
+    SELECT query_id, "sourceFile", 0::INT AS chunk_index, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "sourceFile"))::INT AS rank
+    FROM s WHERE score > 0 QUALIFY rank <= 10""".replace("\\\\", "\\")
+)
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    chunks = t.docs_md(spark, d).select(
+        F.col("path").alias("sourceFile"), F.lit(0).alias("chunk_index"), text.extract_version(F.col("path")).alias("version"),
+        F.col("path").alias("heading"), F.col("text").alias("rawContent"), F.col("text").alias("content"),
+    )
+    return search.keyword_search(_text_queries(spark, d), chunks)
+
+
+# Statistics and audits
+
+_STATS = f"""WITH {t.DOCS_MD_SQL}, c AS (SELECT path, text, {_CATEGORY_SQL} AS category, unnest(CASE WHEN contains(path, 'v5_docs') THEN ['v5']
+  WHEN contains(path, 'v6_docs') THEN ['v6'] ELSE ['v5', 'v6'] END) AS kb FROM docs_md),
+g AS (SELECT kb, count(DISTINCT x) AS n FROM (SELECT kb, unnest(list_filter({_quoted(rules.of_product(rules.TAGS, None))}, lambda x: contains(lower(text), x))) AS x FROM c) GROUP BY kb)
+SELECT kb AS kb_version, count(DISTINCT path) AS files, count(*) AS chunks, count(*) FILTER (WHERE contains(text, '```')) AS "withCode",
+  list_sort(list(DISTINCT category)) AS categories, any_value(g.n) AS tags FROM c JOIN g USING (kb) GROUP BY kb"""
+
+
+def _plain_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Files as they are, a chunk each, with their attributes."""
+    p, c = F.col("path"), F.col("text")
+    return t.docs_md(spark, d).select(
+        "doc_id", p.alias("sourceFile"), F.lit(0).alias("chunk_index"), text.extract_version(p).alias("version"),
+        text.has_code(c).alias("hasCode"), text.extract_category(p, c).alias("category"), text.extract_tags(c).alias("tags"),
+        text.chunk_id(text.extract_version(p), p, F.lit(0)).alias("id"), text.estimate_tokens(c).alias("tokens"),
+        c.alias("content"),
+    )
+
+
+@query(_STATS)
+def version_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.version_stats(_plain_chunks(spark, d))
+
+
+@query(
+    f"""WITH {t.CHUNKS_SQL} SELECT "sourceFile", count(*) AS chunks, min_by(tokens, chunk_index) AS first_tokens FROM chunks GROUP BY 1"""
+)
+def file_summary(spark: SparkSession, d: str) -> DataFrame:
+    return stats.file_summary(t.chunks(spark, d)).select("sourceFile", "chunks", "first_tokens")
+
+
+@query(f"WITH {t.DOCS_MD_SQL} SELECT {_CATEGORY_SQL} AS category, count(*) AS chunks, count(DISTINCT path) AS files FROM docs_md GROUP BY 1")
+def category_index(spark: SparkSession, d: str) -> DataFrame:
+    return stats.category_index(_plain_chunks(spark, d))
+
+
+_IDS = f"""WITH {t.DOCS_MD_SQL}, i AS (SELECT CASE WHEN contains(path, 'v5_docs') THEN 'v5' WHEN contains(path, 'v6_docs') THEN 'v6' ELSE 'both' END
+  || '-' || regexp_extract(path, '([^/]*)\\.md$', 1) || '-0' AS id FROM docs_md)"""
+
+
+@query(_IDS + ' SELECT count(*) AS "rows", count(DISTINCT id) AS ids FROM i')
+def id_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    return stats.id_cardinality(_plain_chunks(spark, d))
+
+
+@query(_IDS + " SELECT id, count(*) AS n FROM i GROUP BY id HAVING count(*) > 1")
+def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
+    return stats.duplicate_ids(_plain_chunks(spark, d))
+
+
+@query("SELECT len(embedding)::INT AS dim, count(*) AS n FROM embeddings GROUP BY 1")
+def embedding_dim_audit(spark: SparkSession, d: str) -> DataFrame:
+    return stats.embedding_dim_audit(t.vector_chunks(spark, d))
+
+
+@query(
+    """SELECT 'docs/l' || label || '.md' AS "sourceFile", count(*) AS total, count(*) FILTER (WHERE label % 3 = 0) AS v5,
+    count(*) FILTER (WHERE label % 3 = 1) AS v6, count(*) FILTER (WHERE label % 3 = 2) AS "both" FROM embeddings GROUP BY 1"""
+)
+def file_version_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.file_version_counts(t.vector_chunks(spark, d))
+
+
+# Maintenance
+
+
+def _delta(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.docs_md(spark, d).filter("doc_id % 10 IN (0, 1)")
+    return rows.select("path", F.expr("CASE WHEN doc_id % 20 = 0 THEN text ELSE concat(text, '!') END").alias("text"), "doc_id")
+
+
+@query(
+    f"""WITH {t.DOCS_MD_SQL} SELECT path, CASE WHEN doc_id % 10 = 2 THEN 'added' WHEN doc_id % 10 = 3 THEN 'deleted' ELSE 'changed' END AS change
+    FROM docs_md WHERE doc_id % 10 IN (2, 3, 4)"""
+)
+def detect_changes(spark: SparkSession, d: str) -> DataFrame:
+    files = t.docs_md(spark, d)
+    now = files.withColumn("text", F.when(F.col("doc_id") % 10 == 4, F.concat("text", F.lit("+"))).otherwise(F.col("text")))
+    return maintenance.detect_changes(files.filter("doc_id % 10 <> 2"), now.filter("doc_id % 10 <> 3"))
+
+
+_MERGED = f"""WITH {t.DOCS_MD_SQL}, v AS (SELECT *, CASE WHEN contains(path, 'v5_docs') THEN 'v5' WHEN contains(path, 'v6_docs') THEN 'v6' ELSE 'both' END AS version FROM docs_md)"""
+
+
+@query(
+    _MERGED + """ SELECT path AS "sourceFile", ceil(len(text || CASE WHEN version <> 'both' AND doc_id % 10 IN (0, 1) AND doc_id % 20 <> 0
+    THEN '!' ELSE '' END) / 4)::INT AS tokens FROM v"""
+)
+def replace_by_source(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["sourceFile", "version", "tokens"]
+    new = _delta(spark, d).select(
+        F.col("path").alias("sourceFile"), text.extract_version(F.col("path")).alias("version"), text.estimate_tokens(F.col("text")).alias("tokens")
+    )
+    return maintenance.replace_by_source(_plain_chunks(spark, d).select(cols), new).select("sourceFile", "tokens")
+
+
+@query(
+    _MERGED + """ SELECT version, count(*) FILTER (WHERE version <> 'both' AND doc_id % 10 IN (0, 1)) AS removed,
+    count(*) FILTER (WHERE version <> 'both' AND doc_id % 10 IN (0, 1)) AS added, count(*) AS total FROM v GROUP BY version"""
+)
+def merge_stats(spark: SparkSession, d: str) -> DataFrame:
+    new = _delta(spark, d).select(F.col("path").alias("sourceFile"), text.extract_version(F.col("path")).alias("version"))
+    return maintenance.merge_stats(_plain_chunks(spark, d).select("sourceFile", "version"), new)
+
+
+def _removals(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.docs_md(spark, d).filter("doc_id % 10 = 7")
+    return rows.select(F.col("path").alias("sourceFile"), F.when(F.col("doc_id") % 20 == 7, "v5").otherwise("v6").alias("kb_version"))
+
+
+_KB = _MERGED + """, k AS (SELECT path, doc_id, unnest(CASE WHEN version = 'both' THEN ['v5', 'v6'] ELSE [version] END) AS kb FROM v),
+x AS (SELECT path, CASE WHEN doc_id % 20 = 7 THEN 'v5' ELSE 'v6' END AS kb FROM v WHERE doc_id % 10 = 7)"""
+
+
+@query(_KB + ' SELECT path AS "sourceFile", kb AS kb_version FROM k WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.path = k.path AND x.kb = k.kb)')
+def remove_by_source(spark: SparkSession, d: str) -> DataFrame:
+    rows = _plain_chunks(spark, d).select("sourceFile", "version")
+    return maintenance.remove_by_source(rows, _removals(spark, d)).select("sourceFile", "kb_version")
+
+
+@query(_KB + ' SELECT x.path AS "sourceFile", x.kb AS kb_version, count(k.path) AS removed FROM x LEFT JOIN k ON x.path = k.path AND x.kb = k.kb GROUP BY 1, 2')
+def removal_counts(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.removal_counts(_plain_chunks(spark, d).select("sourceFile", "version"), _removals(spark, d))
+
+
+@query(
+    """WITH e AS (SELECT user_id, max(ts) AS last, count(*) AS n FROM events GROUP BY user_id), m AS (SELECT max(ts) AS now FROM events),
+    a AS (SELECT user_id, n, epoch_us(now) - epoch_us(last) AS us FROM e, m)
+    SELECT user_id::VARCHAR AS kb, 'r' || n % 3 AS remote_version,
+      CASE WHEN us <= 3600000000.0 * 24 THEN 'fresh' WHEN n % 2 = n % 3 THEN 'touch' ELSE 'refresh' END AS action,
+      CASE WHEN us <= 3600000000.0 * 24 THEN ceil(24 - us / 3600000000.0)::BIGINT ELSE 0 END AS hours_left FROM a"""
+)
+def sync_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Users of `events` as knowledge bases, last seen at their last event."""
+    e = t.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    seen = e.groupBy(F.col("user_id").cast("string").alias("kb")).agg(F.max("ts").alias("last_synced"), F.count(F.lit(1)).alias("n"))
+    state = seen.select("kb", "last_synced", F.concat(F.lit("r"), F.col("n") % 2).alias("remote_version"))
+    remote = seen.select("kb", F.lit(None).cast("string").alias("lastIncrementalUpdate"), F.concat(F.lit("r"), F.col("n") % 3).alias("generated"))
+    now = e.agg(F.max("ts")).first()[0]
+    return maintenance.sync_plan(state, remote, F.lit(now))
+
+
+# Contributions
+
+_STAGES_SQL = rf"""WITH {t.REQUESTS_SQL}, j AS (SELECT r.*, known.path IS NOT NULL AS there FROM r LEFT JOIN known ON r.path = known.path),
+e AS (SELECT *, op = 'remove' AS rem, trim(regexp_replace(content, '(?s)```.*?```', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS prose FROM j),
+f AS (SELECT request_id, op, there, CASE
+  WHEN version NOT IN ('v5', 'v6') OR (NOT rem AND (len(title) < 10 OR len(title) > 120 OR content IS NULL OR len(content) < 100 OR len(content) > 50000 OR category = 'nonsense'))
+       OR (rem AND len(reason) < 10) THEN 'fields'
+  WHEN NOT regexp_full_match(path, 'docs/(v5_docs|v6_docs)/[a-zA-Z0-9_][a-zA-Z0-9_/.\-]*\.md') OR (starts_with(path, 'docs/v5_docs/') AND version <> 'v5')
+       OR (starts_with(path, 'docs/v6_docs/') AND version <> 'v6') THEN 'path'
+  WHEN NOT rem AND (regexp_matches(content, '(?i)<script[\s>]|</script>|<iframe[\s>]|</iframe>|javascript\s*:')) THEN 'sanitize'
+  WHEN NOT rem AND (NOT regexp_matches(content, '(?m)^#\s+.+') OR len(prose) < 50) THEN 'lint'
+  WHEN op <> 'submit' AND NOT there THEN 'existence' END AS failed_stage FROM e)"""
+
+
+@query(_STAGES_SQL + " SELECT request_id, op, failed_stage, there AS path_exists FROM f")
+def validation_stages(spark: SparkSession, d: str) -> DataFrame:
+    rows = validation.stage_errors(validation.check_existence(t.requests(spark, d), t.known_paths(spark, d)))
+    return rows.select("request_id", "op", "failed_stage", "path_exists")
+
+
+@query()
+def validate_requests(spark: SparkSession, d: str) -> DataFrame:
+    rows = validation.validate_requests(t.requests(spark, d), t.known_paths(spark, d))
+    return rows.select("request_id", "op", "failed_stage", "status", "isUpdate", F.array_join("errors", "|").alias("errors"))
+
+
+@query()
+def contribution_manifest(spark: SparkSession, d: str) -> DataFrame:
+    rows = validation.validate_requests(t.requests(spark, d), t.known_paths(spark, d))
+    return validation.contribution_manifest(rows.filter("status = 'accepted' AND op <> 'remove'"), F.col("ts"))
+
+
+@query()
+def check_request_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Requests as raw JSON, every seventh with a number for a title and an unknown property."""
+    r = t.requests(spark, d)
+    good = F.to_json(F.struct("title", "filePath", "content", "version", "category"))
+    bad = F.to_json(F.struct(F.col("request_id").alias("title"), "filePath", "content", "version", F.lit(1).alias("more")))
+    raw = F.when(F.col("request_id") % 7 == 0, bad).otherwise(good)
+    return r.select("request_id", F.array_join(validation.check_request_schema(raw), "|").alias("errors"))
+
+
+@query(
+    r"""SELECT page_id, regexp_matches(html, '(?i)<script[\s>]') AS script, regexp_matches(html, '(?i)</script>') AS end_script, regexp_matches(html, '(?i)<iframe[\s>]') AS iframe,
+    regexp_matches(html, '(?i)on\w+\s*=\s*["''][^"'']*["'']') AS warned FROM pages"""
+)
+def sanitize_pages(spark: SparkSession, d: str) -> DataFrame:
+    html = F.col("html")
+    reasons = validation.sanitize_reasons(html)
+    has = lambda what: F.array_contains(reasons, what)
+    return t.read(spark, d, "pages").select(
+        "page_id",
+        has("Content contains <script> tags").alias("script"),
+        has("Content contains </script> closing tags").alias("end_script"),
+        has("Content contains <iframe> tags").alias("iframe"),
+        (F.size(validation.sanitize_warnings(html)) > 0).alias("warned"),
+    )
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT user_id, n, event_id, us AS last, TRUE AS allowed, 0::BIGINT AS wait FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN e.us - w.last >= 21600000000 THEN e.us ELSE w.last END, e.us - w.last >= 21600000000,
+        CASE WHEN e.us - w.last >= 21600000000 THEN 0 ELSE ceil((w.last + 21600000000 - e.us) / 1000000)::BIGINT END
+      FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+    SELECT event_id, user_id, allowed, wait AS wait_seconds FROM w"""
+)
+def rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each user, at most one in six hours."""
+    rows = validation.rate_limit(t.read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 6 * 3600)
+    return rows.select("event_id", "user_id", "allowed", "wait_seconds")
