@@ -11,21 +11,22 @@ from docloom.llm.shared import written
 def components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` of any orderable type to (node, label): label is the least node of node's component.
 
-    Every round takes the least label among neighbours and then the label's own label, so paths
-    shorten by doubling; rounds are written tables. The driver sees only the number of changes.
+    Every round sends each node to its least neighbour, or stays, and contracts the edges to the nodes
+    that are left; edges within one node go. A star, whatever its size, takes one round. Rounds
+    are written tables, and the driver sees only whether edges are left.
     """
-    both = written(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct())
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(
-            F.min("label").alias("near")
+    edges = written(edges.select("u", "v").distinct())
+    labels = written(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("label", F.col("node")))
+    edges = edges.filter("u != v")
+    while edges.limit(1).count():
+        both = edges.union(edges.select("v", "u"))
+        least = written(both.groupBy(F.col("u").alias("was")).agg(F.least(F.col("was"), F.min("v")).alias("now")))
+        to = lambda c: least.select(F.col("was").alias(c), F.col("now").alias(f"{c}_now"))
+        edges = written(
+            edges.join(to("u"), "u").join(to("v"), "v")
+            .select(F.col("u_now").alias("u"), F.col("v_now").alias("v")).filter("u != v").distinct()
+        )
+        labels = written(
+            labels.join(to("label"), "label", "left").select("node", F.coalesce("label_now", "label").alias("label"))
         )
-        lower = labels.join(seen, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("over"))
-        moved = written(
-            lower.join(jump, "next").select("node", F.least("next", "over").alias("label"), "was")
-        )
-        changed = moved.filter(F.col("label") != F.col("was")).limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
-            return labels
+    return labels
