@@ -112,11 +112,15 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def op3_rows(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, n_removed, n_spans, text."""
     return dedup_lines(docs).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "n_spans", "text")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(range(0, len(lines))) AS i, unnest(lines) AS line FROM d),
