@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import embedding, rules, text
+from docloom.functions.markdown import clean_markdown as cleaned
 from docloom.functions.markdown import cleaned_sections, extract_subheadings
 from docloom.operators import maintenance, search, stats, validation
 from docloom.operators.chunks import doc_title, fold_blocks
 from docloom.plans import tables as t
+from docloom.plans.streams import as_stream, streamed
+from docloom.sources.files import read_snapshot
+from docloom.streaming import jobs
 
 FLAGSHIP = "search_vectors"
 QUERIES: dict = {}
@@ -124,9 +128,47 @@ def redact_tokens(spark: SparkSession, d: str) -> DataFrame:
     return t.read(spark, d, "documents").select("doc_id", text.redact_tokens(F.col("text")).alias("text"))
 
 
+@query(
+    f"""WITH {t.CHUNKS_SQL} SELECT doc_id, sha256(string_agg(CASE kind WHEN 't' THEN '# ' || x WHEN 'a' THEN '## ' || x WHEN 'b' THEN '### ' || x
+    WHEN 'f' THEN '```ts' || chr(10) || x || chr(10) || '```' WHEN 'c' THEN '> **tip:**' || chr(10) || '> ' || x ELSE x END, chr(10) ORDER BY i)) AS digest
+    FROM k GROUP BY doc_id"""
+)
+def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return t.docs_md(spark, d).select("doc_id", F.sha2(cleaned(F.col("text")).cast("binary"), 256).alias("digest"))
+
+
+@query(
+    """WITH x AS (SELECT doc_id, text, lower(text) AS l, position('that' IN lower(text)) AS a, position('und' IN lower(text)) AS b FROM documents),
+    p AS (SELECT doc_id, text, greatest(coalesce(least(nullif(a, 0), nullif(b, 0)), 1) - 60, 1) AS s FROM x)
+    SELECT doc_id, CASE WHEN s > 1 THEN '…' ELSE '' END || trim(substr(text, s, 300), ' ' || chr(9) || chr(10) || chr(13)) AS snippet FROM p"""
+)
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    return t.read(spark, d, "documents").select("doc_id", text.snippet(F.col("text"), F.lit("That UND")).alias("snippet"))
+
+
 # Embedding
 
 
+@query(
+    """WITH c AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN NULL WHEN vec_id % 3 = 1 THEN embedding[1:63] ELSE embedding END AS e FROM embeddings)
+    SELECT vec_id, e IS NULL OR len(e) <> 64 AS again FROM c"""
+)
+def needs_reembedding(spark: SparkSession, d: str) -> DataFrame:
+    e = F.when(F.col("vec_id") % 3 == 1, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 3 == 2, F.col("embedding"))
+    return t.read(spark, d, "embeddings").select("vec_id", embedding.needs_reembedding(e, 64).alias("again"))
+
+
+@query(
+    f"""WITH {t.CHUNKS_SQL} SELECT "sourceFile", chunk_index FROM chunks JOIN documents ON {t._PATH_SQL} = "sourceFile" WHERE doc_id % 2 = 0"""
+)
+def select_for_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of every second document already have a vector."""
+    odd = t.docs_md(spark, d).filter("doc_id % 2 = 1").select(F.col("path").alias("sourceFile"), F.lit(True).alias("done"))
+    rows = t.chunks(spark, d).join(odd, "sourceFile", "left")
+    rows = rows.withColumn("embedding", F.when(F.col("done"), F.array_repeat(F.lit(0.5).cast("float"), 4)))
+    return embedding.select_for_embedding(rows, 4).select("sourceFile", "chunk_index")
+
+
 @query(
     "SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid,"
     " list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000 + 0.5) / 1000000) AS rounded FROM embeddings"
@@ -178,6 +220,32 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
 # Search
 
 
+@query(
+    """SELECT a.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+)
+def dot_similarity(spark: SparkSession, d: str) -> DataFrame:
+    e = t.read(spark, d, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(after, "vec_id").select("vec_id", search.dot_similarity(F.col("embedding"), F.col("other")).alias("score"))
+
+
+@query(
+    """SELECT doc_id AS query_id, trim(substr(text, 1, doc_id % 40), ' ' || chr(9) || chr(10) || chr(13)) AS query,
+      CASE WHEN doc_id % 4 = 0 THEN 'v5' WHEN doc_id % 4 = 1 THEN 'both' ELSE 'all' END AS version,
+      (CASE WHEN doc_id % 7 = 0 THEN 10 WHEN doc_id % 7 = 1 THEN 0 WHEN doc_id % 7 = 2 THEN 10 ELSE least(doc_id % 120 + 1, 50) END)::INT AS "limit",
+      greatest(doc_id % 9 - 3, 0) AS tokens_budget FROM documents WHERE trim(substr(text, 1, doc_id % 40), ' ' || chr(9) || chr(10) || chr(13)) <> ''"""
+)
+def normalize_queries(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    rows = t.read(spark, d, "documents").select(
+        n.alias("query_id"), F.substring("text", F.lit(1), (n % 40).cast("int")).alias("query"),
+        F.when(n % 4 == 0, "v5").when(n % 4 == 1, "both").when(n % 4 == 2, "v9").alias("version"),
+        F.when(n % 7 == 0, F.lit(-1.0)).when(n % 7 == 1, F.lit(0.5)).when(n % 7 > 2, (n % 120 + 1).cast("double")).alias("limit"),
+        (n % 9 - 3 + 0.25).cast("double").alias("tokens_budget"),
+    )
+    return search.normalize_queries(rows)
+
+
 @query(f'WITH {t.VECTOR_SQL} SELECT query_id, "sourceFile", chunk_index, rank::INT AS rank, round(score, 9) AS score FROM top')
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_topk(t.vector_queries(spark, d), t.vector_chunks(spark, d)).withColumn("score", F.round("score", 9))
@@ -448,3 +516,28 @@ def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Events of each user, at most one in six hours."""
     rows = validation.rate_limit(t.read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 6 * 3600)
     return rows.select("event_id", "user_id", "allowed", "wait_seconds")
+
+
+# Streams: the same operators, run over a table as a stream until it is read, and what they have written
+
+
+@query(_STAGES_SQL + " SELECT request_id, op, failed_stage, there AS path_exists FROM f")
+def stream_validate(spark: SparkSession, d: str) -> DataFrame:
+    judged = jobs.stream_validate(t.as_requests(as_stream(spark, d, "documents")), t.known_paths(spark, d))
+    return streamed(judged.select("request_id", "op", "failed_stage", "path_exists"))
+
+
+@query(ORACLES["rate_limit"])
+def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    events = as_stream(spark, d, "events").select(
+        F.col("user_id").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    )
+    out = streamed(jobs.stream_rate_limit(events, 6 * 3600))
+    return out.select("event_id", F.col("key").alias("user_id"), "allowed", "wait_seconds")
+
+
+@query(f'WITH {t.CHUNKS_SQL} SELECT "sourceFile", chunk_index, heading, tokens FROM chunks WHERE NOT starts_with("sourceFile", \'docs/other\')')
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    files = t.as_markdown(as_stream(spark, d, "documents")).select("path", "text", F.lit(0).cast("timestamp").alias("ts"))
+    target = streamed(files, lambda f, folder: jobs.stream_ingest(f, f"{folder}/kb", f"{folder}/state", most=t.MOST_TOKENS))
+    return read_snapshot(spark, f"{target}/kb").select("sourceFile", "chunk_index", "heading", "tokens")

@@ -45,8 +45,12 @@ def _as_markdown(line: Column, i: Column) -> Column:
 
 
 def docs_md(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_markdown(read(spark, sf_dir, "documents"))
+
+
+def as_markdown(documents: DataFrame) -> DataFrame:
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), _as_markdown)
-    return read(spark, sf_dir, "documents").select(
+    return documents.select(
         F.expr(PATH.replace("VARCHAR(20)", "STRING")).alias("path"), F.array_join(lines, "\n").alias("text"), "doc_id"
     )
 
@@ -129,8 +133,12 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_requests(read(spark, sf_dir, "documents"))
+
+
+def as_requests(documents: DataFrame) -> DataFrame:
     """A request for each document; titles, paths, versions and operations by doc_id, some of them wrong."""
-    r = read(spark, sf_dir, "documents").withColumn("md", F.concat(F.lit("# T\n"), F.coalesce("text", F.lit(""))))
+    r = documents.withColumn("md", F.concat(F.lit("# T\n"), F.coalesce("text", F.lit(""))))
     return r.select(
         F.col("doc_id").alias("request_id"),
         F.expr("CASE doc_id % 5 WHEN 0 THEN 'remove' WHEN 1 THEN 'update' ELSE 'submit' END").alias("op"),
