@@ -41,7 +41,7 @@ RULES = (
     Rule("n_words", low=20),
     Rule("mean_word_chars", low=2.0, high=14.0),
     Rule("symbol_ratio", high=0.10),
-    Rule("stop_word_ratio", low=0.06),
+    Rule("stop_word_ratio", low=0.03),
     Rule("dup_line_ratio", high=0.50),
     Rule("repeat_word_ratio", high=0.30),
 )
@@ -186,7 +186,7 @@ qc AS (SELECT qw.r, doc_id, len(words)::BIGINT AS n_words, len(array_to_string(w
               coalesce(qr.n, 0)::BIGINT AS n_repeat_words FROM qw LEFT JOIN qr ON qw.r = qr.r),
 qb AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM qc),
 judged AS (SELECT *, NOT base_failed AND n_words >= 20 AND word_chars / n_words BETWEEN 2.0 AND 14.0
-              AND n_symbols / n_words <= 0.10 AND n_stop / n_words >= 0.06
+              AND n_symbols / n_words <= 0.10 AND n_stop / n_words >= 0.03
               AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.50) AND n_repeat_words / n_words <= 0.30 AS kept FROM qb)
 """
 
