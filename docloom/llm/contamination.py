@@ -67,7 +67,9 @@ class Index:
     longest: int
 
 
-def build_index(ids: list, tokens: list[np.ndarray], question: list[int], df: dict[int, int], n: int, mean: float) -> Index:
+def build_index(
+    ids: list, tokens: list[np.ndarray], question: list[int], df: dict[int, int], n: int, mean: float, longest: int
+) -> Index:
     term, item, impact = [], [], []
     for k, words in enumerate(tokens):
         t, tf = np.unique(words, return_counts=True)
@@ -94,7 +96,7 @@ def build_index(ids: list, tokens: list[np.ndarray], question: list[int], df: di
         [len(x) for x in tokens],
         question,
         ids,
-        max([1, *map(len, tokens)]),
+        longest,
     )
 
 
@@ -196,7 +198,8 @@ def indexes(items: DataFrame) -> Iterator[Index]:
     read = written(
         items.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_rows, "item_id long, tokens array<long>, question long")
     )
-    n, total = read.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    size = F.size("tokens")
+    n, total, longest = read.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     df = read.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     parts = -(-total // PART_TOKENS)
     part = F.pmod(F.xxhash64("item_id", "tokens"), F.lit(max(parts, 1)))
@@ -212,6 +215,7 @@ def indexes(items: DataFrame) -> Iterator[Index]:
             counts,
             n,
             total / n,
+            max(longest, 1),
         )
 
 
@@ -260,4 +264,40 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumn("score", F.round("score", 9))
+
+
+def _sql_words(text: str) -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return (
+        rf"regexp_extract_all(translate(coalesce({text}, ''), '{letters}', '{letters.lower()}'),"
+        r" '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+')"
+    )
+
+
+_QUESTION = r"regexp_extract(t, '(?s)^.*(?:[.!?]\s+|\n+)')"
+
+#: Every item scored against every passage that has one of its words.
+SQL = rf"""WITH b AS (SELECT item_id, row_number() OVER () AS k, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM benchmark),
+i AS (SELECT k, item_id, {_sql_words("t")} AS w, len({_sql_words(_QUESTION)}) AS q FROM b),
+m AS (SELECT count(*) AS n, greatest(sum(len(w)) / count(*), 1) AS mean, greatest(max(len(w)), 1) AS step FROM i),
+f AS (SELECT k, x, count(*) AS tf FROM (SELECT k, unnest(w) AS x FROM i) GROUP BY k, x),
+e AS (SELECT x, count(*) AS df FROM f GROUP BY x),
+h AS (SELECT k, x, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2 / (tf + 1.2::DOUBLE * (0.25 + 0.75 * len(w) / mean)) AS s
+  FROM f JOIN e USING (x) JOIN i USING (k), m),
+impact AS (SELECT k, x, s / sum(s) OVER (PARTITION BY k) AS s FROM h),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_sql_words("text")} AS w FROM documents),
+a AS (SELECT r, x, (pos - 1) // step AS v FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM d), m WHERE x IN (SELECT x FROM e)),
+passage AS (SELECT r, v, x FROM a UNION SELECT r, v - 1, x FROM a WHERE v > 0),
+best AS (SELECT r, k, max(s) AS score FROM (SELECT r, v, k, sum(s) AS s FROM passage JOIN impact USING (x) GROUP BY r, v, k) WHERE s >= 0.5 - 1e-9 GROUP BY r, k),
+o AS (SELECT k, z, p, array_to_string(w[p:p + z - 1], ' ') AS g FROM
+  (SELECT k, w, least(len(w), 5) AS z, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+u AS (SELECT DISTINCT r, array_to_string(w[p:p + z - 1], ' ') AS g FROM
+  (SELECT r, w, z, unnest(range(1, len(w) - z + 2)) AS p FROM d JOIN (SELECT DISTINCT z FROM o) ON len(w) >= z WHERE r IN (SELECT r FROM best))),
+covered AS (SELECT DISTINCT best.r, best.k, unnest(range(p, p + z)) AS c FROM best JOIN o USING (k) JOIN u ON u.r = best.r AND u.g = o.g),
+shares AS (SELECT r, k, count(*) FILTER (WHERE c <= q) AS cq, count(*) FILTER (WHERE c > q) AS ca FROM covered JOIN i USING (k) GROUP BY r, k),
+found AS (SELECT doc_id, item_id, round(score, 9) AS score, CASE WHEN q > 0 THEN cq / q ELSE (cq + ca) / len(i.w) END AS question_overlap,
+  CASE WHEN q < len(i.w) THEN ca / (len(i.w) - q) ELSE (cq + ca) / len(i.w) END AS answer_overlap
+  FROM shares JOIN best USING (r, k) JOIN i USING (k) JOIN d USING (r))
+SELECT * FROM found WHERE question_overlap >= 0.5 AND answer_overlap >= 0.5"""

@@ -307,3 +307,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.col("class.id").alias("class_id"), "n_links")
+
+
+#: All pairs that share a run of words, and the closure of the links; rows are numbered, as ids may repeat.
+SQL = r"""WITH RECURSIVE n AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM n),
+z AS (SELECT r, count(*) AS size FROM s GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+p AS (SELECT x, y FROM shared JOIN z zx ON zx.r = x JOIN z zy ON zy.r = y WHERE 5 * c >= 4 * (zx.size + zy.size - c)),
+l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+t AS (SELECT r, r AS o FROM n UNION SELECT l.y, t.o FROM t JOIN l ON l.x = t.r),
+c AS (SELECT t.r, CASE WHEN count(m.doc_id) = count(*) THEN min(m.doc_id) END AS class_id FROM t JOIN n m ON m.r = t.o GROUP BY t.r),
+k AS (SELECT x AS r, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM n JOIN c USING (r) LEFT JOIN k USING (r)"""

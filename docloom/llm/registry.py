@@ -21,6 +21,8 @@ ORACLES = {
     "op1_quality_rules": quality.SQL,
     "op2_chat_format": chat.SQL,
     "op3_line_dedup": lines.SQL,
+    "op4_decontamination": contamination.SQL,
     "op5_source_mix": mixing.SQL,
     "op7_url_filter": urls.SQL,
+    "op9_ngram_join": jaccard.SQL,
 }
