@@ -44,6 +44,8 @@ HASHES, BANDS, STEP = 128, 32, 16
 TOLERANCE = 1e-7
 #: Classes in a block; a task compares two blocks.
 BLOCK = 256
+#: Shares of a large group when its members learn its size.
+SALTS = 64
 
 _SIGNED = "doc_id long, version long, n long, a long, b long, sig binary"
 _FOREST = "id long, version long, root_id long, root_version long, links long"
@@ -124,7 +126,11 @@ def grouped(rows: DataFrame, keys: list[str], run: Callable, schema: str) -> Dat
 def in_blocks(members: DataFrame, group: str) -> DataFrame:
     """Each member once for every pair of blocks that its block is in: columns i <= j, own (the member's block)."""
     sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("id", "version"), F.col("blocks")).cast("int"))
+    # Only groups of several blocks are joined, each once a salt, so that a large one spreads over the tasks.
+    large = sizes.filter("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    place = F.xxhash64("id", "version")
+    salted = members.withColumn("salt", F.pmod(place, F.lit(SALTS)).cast("int")).join(large, [group, "salt"], "left")
+    placed = salted.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(place, F.col("blocks")).cast("int"))
     pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     other = placed.select("*", pairs.alias("other"))
     return other.select(
