@@ -6,13 +6,18 @@ whose crc32 of doc_id as text, mod 10, is not 0; all statistics cover all of the
 Counts. One pass counts all training tokens; counting is pre-aggregated in the tasks and summed by Spark.
 The unigram probability of a token is ``(c + 0.1) / (N + 0.1 * (V + 1))``.
 
-Model. The SHORTLIST most frequent tokens are symbols, all others share one. A second pass counts symbols with
-the two before them, a table whose size the shortlist bounds. A symbol's score is bilinear in the
-embeddings of its context and its own, plus a bias. Training draws batches in proportion to the counts and
-is distributed: each round, SHARDS tasks improve the same parameters on their share of the table, and the
-driver averages the parameters, a few hundred KB a shard. Sums over all symbols, by batched matrix products for all
-contexts, normalise the scores exactly. A token off the shortlist has the shared symbol's probability times its
-unigram share among such tokens, so that the probabilities of all tokens, with one slot for unseen ones, add to 1.
+Model. Each of the HEAD most frequent tokens is a symbol with embeddings of its own, as target and as context; all
+others share one. A symbol's score is bilinear in the embeddings of its context, the two symbols before it, and its own,
+plus a bias. Symbols by falling frequency are the leaves of a tree of LEVELS levels with about the same number of children
+everywhere; each node has an embedding and a bias as a target, and the probability of a symbol is the product of those of
+its path, each among siblings only, so that exact sums over siblings normalise it. A token off the head has the
+shared symbol's probability times its unigram share among such tokens, so that the probabilities of all tokens, with one
+slot for unseen ones, add to 1.
+
+Training is noise-contrastive estimation at each level, with noise from the siblings, and reads every training
+token once: each of ROUNDS rounds takes the documents of its hash, in shards whose number grows with the corpus. The tasks
+improve the same parameters on their shard and pass on the rows they touched; Spark deals these out by row and averages
+each, weighted by the tokens behind it. A shard too small for STEPS batches goes over its tokens again.
 
 Scoring. Counts of the HEAD most frequent tokens are broadcast (12 bytes each); a document's other tokens are joined
 with the table of counts, distinct ones with their number.
@@ -35,9 +40,14 @@ from pyspark.sql import functions as F
 from docloom.llm import textkernel as tk
 from docloom.llm.shared import written
 
-SHORTLIST = 512
 HEAD = 1 << 19
-DIM, NOISE, BATCH, STEPS, ROUNDS, SHARDS, RATE = 32, 64, 1024, 80, 5, 8, 0.15
+DIM, LEVELS, STEPS, ROUNDS, RATE = 32, 3, 80, 5, 0.15
+#: Noise of each position: among siblings on upper levels, and among leaves.
+NOISE, LEAF_NOISE = 64, 3
+#: Tokens a batch, in full shards and in those that are gone over again.
+BATCH, SMALL_BATCH = 8192, 1024
+#: A round has up to SHARDS shards, of SHARD_LEAST tokens at least, and more when these would have over SHARD_MOST.
+SHARDS, SHARD_LEAST, SHARD_MOST = 8, 1 << 20, 1 << 24
 #: The hash that stands for the end of a text.
 END = 0x454E44454E44454E
 #: Distinct keys a task holds before it passes them on.
@@ -89,7 +99,7 @@ def _summed(texts: DataFrame, keys) -> DataFrame:
 
 @dataclass
 class Symbols:
-    """Sorted hashes of the shortlist with their symbols; `other` is shared, `start` is the context before a text."""
+    """Sorted hashes of the head with their symbols; `other` is shared, `start` is the context before a text."""
 
     hashes: np.ndarray
     symbols: np.ndarray
@@ -118,104 +128,251 @@ class Symbols:
         return w, one, two
 
 
-@dataclass
 class Model:
-    """Log-bilinear scores: ``(near * E[one] + far * E[two]) . T[w] + b[w]``."""
-
-    context: np.ndarray
-    target: np.ndarray
-    near: np.ndarray
-    far: np.ndarray
-    bias: np.ndarray
-
-    def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.target, self.near, self.far, self.bias]
-
-    def normaliser(self) -> np.ndarray:
-        """log of the sum of exp of all scores, for each pair (one, two), by batched matrix products."""
-        n = len(self.context)
-        out = np.zeros((n, n))
-        for one in range(n):
-            s = (self.near * self.context[one] + self.far * self.context) @ self.target.T + self.bias
-            top = s.max(axis=1, keepdims=True)
-            out[one] = (np.log(np.exp(s - top).sum(axis=1, keepdims=True)) + top)[:, 0]
+    """Log-bilinear scores ``(near * E[one] + far * E[two]) . T[node] + b[node]`` on each level of the tree.
+
+    All parameters are views of the rows of one matrix: E, T from the leaves up, near and far, and the biases, DIM a row.
+    """
+
+    def __init__(self, rows: np.ndarray, targets: int, contexts: int) -> None:
+        self.rows, self.targets, self.contexts = rows, targets, contexts
+        self.fan, self.sizes, starts = fan(targets), level_sizes(targets), [contexts]
+        for n in self.sizes:
+            starts.append(starts[-1] + n)
+        self.dense = starts[-1]
+        self.starts = starts[:-1]
+        self.context = rows[:contexts]
+        self.target = [rows[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+        self.near, self.far = rows[self.dense], rows[self.dense + 1]
+        self.bias, at = [], self.dense + 2
+        for n in self.sizes:
+            self.bias.append(rows[at : at - (-n // DIM)].reshape(-1)[:n])
+            at -= -n // DIM
+
+    def normaliser(self) -> list[np.ndarray]:
+        """First symbols of the nodes above the leaves; the sums themselves are over siblings, where they are needed."""
+        return [np.arange(0, self.targets, self.fan**level) for level in range(1, LEVELS)]
+
+    def log_probabilities(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, normaliser: list[np.ndarray] | None = None) -> np.ndarray:
+        """log of the probability of each w after one and two, from exact sums over the siblings on its path."""
+        out = np.zeros(len(w))
+        near, far = self.near.astype(np.float32), self.far.astype(np.float32)
+        for i in range(0, len(w), 1 << 18):
+            order = np.argsort(w[i : i + (1 << 18)], kind="stable") + i
+            node = w[order]
+            q = near * self.context[one[order]].astype(np.float32)
+            q += far * self.context[two[order]].astype(np.float32)
+            for level in range(LEVELS):
+                parent = node // self.fan
+                cuts = np.r_[0, np.flatnonzero(np.diff(parent)) + 1, len(parent)]
+                got = np.empty(len(node), np.float32)
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    first = parent[a] * self.fan
+                    T = self.target[level][first : first + self.fan].astype(np.float32).T
+                    bias = self.bias[level][first : first + self.fan].astype(np.float32)
+                    for c in range(a, b, 1 << 14):
+                        d = min(b, c + (1 << 14))
+                        s = q[c:d] @ T
+                        s += bias
+                        s -= s.max(axis=1, keepdims=True)
+                        mine = s[np.arange(d - c), node[c:d] - first]
+                        got[c:d] = mine - np.log(np.exp(s, out=s).sum(axis=1))
+                out[order] += got
+                node = parent
         return out
 
-    def log_probabilities(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, normaliser: np.ndarray) -> np.ndarray:
-        a, b = self.near * self.context, self.far * self.context
-        out = np.empty(len(w))
-        for i in range(0, len(w), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            out[s] = np.einsum("nd,nd->n", a[one[s]] + b[two[s]], self.target[w[s]])
-        return out + self.bias[w] - normaliser[one, two]
+
+def fan(targets: int) -> int:
+    """Children of a node: the least number, from 2, at which LEVELS levels hold all targets."""
+    n = max(2, int(targets ** (1 / LEVELS)))
+    while n**LEVELS < targets:
+        n += 1
+    return n
+
+
+def level_sizes(targets: int) -> list[int]:
+    return [-(-targets // fan(targets) ** level) for level in range(LEVELS)]
 
 
 def fresh(unigram: np.ndarray, contexts: int) -> Model:
-    r = np.random.default_rng(10)
-    small = lambda n: r.normal(0, 0.1, (n, DIM))
-    return Model(small(contexts), small(len(unigram)), np.ones(DIM), np.full(DIM, 0.5), np.log(unigram))
-
-
-def train_shard(model: Model, unigram: np.ndarray, codes: np.ndarray, n: np.ndarray, seed: int) -> Model:
-    """STEPS batches of noise-contrastive estimation with Adagrad; contexts are drawn in proportion to n."""
-    r, size = np.random.default_rng(seed), len(model.context)
-    order = np.argsort(codes)
-    codes, upto = codes[order], np.cumsum(n[order].astype(float))
-    p = [x.copy() for x in model.arrays()]
-    squares = [np.full(x.shape, 0.1) for x in p]
-    for _ in range(STEPS):
-        c = codes[np.searchsorted(upto, r.random(BATCH) * upto[-1], "right").clip(max=len(codes) - 1)]
-        w, one, two = c % size, c // size % size, c // size // size
-        noise = r.choice(len(unigram), NOISE, p=unigram)
-        E, T, near, far, b = p
-        q = near * E[one] + far * E[two]
-        right = 1 / (1 + np.exp(np.log(NOISE * unigram[w]) - np.einsum("nd,nd->n", q, T[w]) - b[w]))
-        wrong = 1 / (1 + np.exp(np.log(NOISE * unigram[noise]) - q @ T[noise].T - b[noise]))
-        up, down = (1 - right) / BATCH, -wrong / BATCH
-        dq = up[:, None] * T[w] + down @ T[noise]
-        g = [np.zeros_like(x) for x in p]
-        np.add.at(g[1], w, up[:, None] * q)
-        np.add.at(g[1], noise, down.T @ q)
-        np.add.at(g[4], w, up)
-        np.add.at(g[4], noise, down.sum(axis=0))
-        np.add.at(g[0], one, dq * near)
-        np.add.at(g[0], two, dq * far)
-        g[2], g[3] = (dq * E[one]).sum(axis=0), (dq * E[two]).sum(axis=0)
-        for x, s, d in zip(p, squares, g, strict=True):
-            s += d * d * BATCH
-            x += RATE * d * np.sqrt(BATCH) / np.sqrt(s)
-    return Model(*p)
-
-
-def train(cells: DataFrame, unigram: np.ndarray, contexts: int) -> Model:
-    """Rounds of parallel training on shards of (k, n), with the average of the shards' parameters after each."""
-    model = fresh(unigram, contexts)
-    table = written(cells.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(SHARDS))).repartition(SHARDS, "shard"))
-    shapes = [x.shape for x in model.arrays()]
+    """A model near the unigrams."""
+    targets, r = len(unigram), np.random.default_rng(10)
+    sizes = level_sizes(targets)
+    rows = np.zeros((contexts + sum(sizes) + 2 + sum(-(-n // DIM) for n in sizes), DIM), np.float16)
+    model = Model(rows, targets, contexts)
+    for i in range(0, model.dense, 1 << 16):
+        part = rows[i : min(i + (1 << 16), model.dense)]
+        part[:] = r.normal(0, 0.1, part.shape)
+    model.near[:], model.far[:] = 1, 0.5
+    for level, bias in enumerate(model.bias):
+        p = np.add.reduceat(unigram, np.arange(0, targets, model.fan**level))
+        above = np.add.reduceat(p, np.arange(0, len(p), model.fan))
+        size = np.minimum(model.fan, len(p) - np.arange(len(above)) * model.fan)
+        bias[:] = np.log(p * np.repeat(size / above, size))  # relative to the siblings' mean
+    return model
 
+
+def segments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    return starts, np.diff(np.r_[starts, len(x)])
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+class Trainer:
+    """One shard's training, from a copy of the shared parameters, with Adagrad that has one rate a row."""
+
+    def __init__(self, model: Model, seed: int) -> None:
+        self.m = Model(model.rows.astype(np.float32), model.targets, model.contexts)
+        self.squares = np.ones(len(model.rows), np.float32)
+        self.bias_squares = [np.full(n, 1000, np.float32) for n in model.sizes]
+        self.weight = np.zeros(len(model.rows), np.float32)
+        self.r, self.steps, self.tokens = np.random.default_rng(seed), 0, 0
+
+    def move(self, ids: np.ndarray, g: np.ndarray) -> None:
+        self.squares[ids] += (g * g).mean(axis=1)
+        self.m.rows[ids] += g * (RATE / np.sqrt(self.squares[ids]))[:, None]
+
+    def batch(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        m, n = self.m, len(w)
+        order = np.argsort(w)
+        node, one, two = w[order], one[order], two[order]
+        e1, e2 = m.context[one], m.context[two]
+        q = m.near * e1 + m.far * e2
+        dq, moves = np.zeros_like(q), []
+        for level in range(LEVELS):
+            T, b = m.target[level], m.bias[level]
+            parent = node // m.fan
+            at, runs = segments(node)
+            own = node[at]
+            p_at, p_runs = segments(parent)
+            first = parent[p_at] * m.fan
+            size = np.minimum(m.fan, m.sizes[level] - first)
+            noise = NOISE if level else LEAF_NOISE
+            shift = np.float32(np.log(noise))  # biases are relative to the siblings' mean, as noise is
+            t = np.repeat(T[own], runs, axis=0)
+            up = 1 - sigmoid(np.einsum("nd,nd->n", q, t) + b[node] - shift)
+            dq += up[:, None] * t
+            moves.append((level, own, np.add.reduceat(up[:, None] * q, at), np.add.reduceat(up, at), runs))
+            picks = first[:, None] + self.r.integers(1 << 30, size=(len(first), noise)) % size[:, None]
+            if level:
+                for k, (a, length) in enumerate(zip(p_at, p_runs, strict=True)):
+                    part, ids = slice(a, a + length), picks[k]
+                    down = -sigmoid(q[part] @ T[ids].T + b[ids] - shift)
+                    dq[part] += down @ T[ids]
+                    ids, back = np.unique(ids, return_inverse=True)
+                    g, gb = np.zeros((len(ids), DIM), np.float32), np.bincount(back, down.sum(axis=0))
+                    np.add.at(g, back, down.T @ q[part])
+                    moves.append((level, ids, g, gb.astype(np.float32), None))
+            else:
+                for k in range(noise):
+                    ids = picks[:, k]
+                    t = np.repeat(T[ids], p_runs, axis=0)
+                    down = -sigmoid(np.einsum("nd,nd->n", q, t) + np.repeat(b[ids] - shift, p_runs))[:, None]
+                    dq += down * t
+                    moves.append((0, ids, np.add.reduceat(down * q, p_at), np.add.reduceat(down[:, 0], p_at), None))
+            node = parent
+        for level, ids, g, gb, runs in moves:
+            self.move(m.starts[level] + ids, g)
+            self.bias_squares[level][ids] += gb * gb
+            m.bias[level][ids] += RATE * gb / np.sqrt(self.bias_squares[level][ids])
+            if runs is not None:
+                self.weight[m.starts[level] + ids] += runs
+        for ids, by in ((one, m.near), (two, m.far)):
+            order = np.argsort(ids)
+            at, runs = segments(ids[order])
+            own = ids[order][at]
+            self.move(own, np.add.reduceat((dq * by)[order], at))
+            self.weight[own] += runs
+        for row, e in ((m.dense, e1), (m.dense + 1, e2)):
+            self.move(np.array([row]), (dq * e).sum(axis=0, keepdims=True))
+        self.weight[m.dense :] += n
+        self.steps += 1
+
+    def all(self, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], size: int) -> None:
+        order = self.r.permutation(len(tokens[0]))
+        for i in range(0, len(order), size):
+            self.batch(*[x[order[i : i + size]] for x in tokens])
+
+    def touched(self) -> Iterator[pa.RecordBatch]:
+        """(row, weight, vector) of the rows that tokens have changed."""
+        rows = np.flatnonzero(self.weight)
+        for i in range(0, len(rows), 10_000):
+            ids = rows[i : i + 10_000]
+            vectors = np.clip(self.m.rows[ids], -60_000, 60_000).astype(np.float16)
+            flat = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(len(ids) + 1, dtype=np.int32) * (2 * DIM)), pa.py_buffer(vectors.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(self.weight[ids]), flat], ["row", "weight", "vector"])
+
+
+def averaged(sent: DataFrame, model: Model, parts: int) -> Model:
+    """The rows' averages; rows of equal number modulo ``parts`` meet in one task, and untouched ones stay."""
+    shared = sent.sparkSession.sparkContext.broadcast(model.rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        old = shared.value
+        for batch in batches:
+            row = batch["row"].to_numpy()
+            weight = batch["weight"].to_numpy()
+            vectors = np.frombuffer(b"".join(batch["vector"].to_pylist()), np.float16).reshape(-1, DIM)
+            for part in np.unique(row % parts):
+                mine = row % parts == part
+                if part not in sums:
+                    n = len(old[part::parts])
+                    sums[part] = np.zeros((n, DIM)), np.zeros(n)
+                total, weights = sums[part]
+                np.add.at(total, row[mine] // parts, vectors[mine] * weight[mine, None].astype(float))
+                np.add.at(weights, row[mine] // parts, weight[mine])
+        for part, (total, weights) in sums.items():
+            new = np.where(weights[:, None] > 0, total / np.maximum(weights, 1e-9)[:, None], old[part::parts]).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([pa.array([int(part)]), pa.array([new.tobytes()], pa.binary())], ["part", "flat"])
+
+    dealt = sent.repartition(parts, F.pmod("row", F.lit(parts))).mapInArrow(run, "part long, flat binary")
+    rows = model.rows.copy()
+    for r in dealt.collect():
+        rows[r["part"] :: parts] = np.frombuffer(bytes(r["flat"]), np.float16).reshape(-1, DIM)
+    shared.unpersist()
+    return Model(rows, model.targets, model.contexts)
+
+
+def train(texts: DataFrame, tokens_in_all: int, symbols: Symbols, unigram: np.ndarray) -> Model:
+    """ROUNDS rounds over (text, version), which together read each text once."""
+    model = fresh(unigram, symbols.start + 1)
+    each = tokens_in_all / ROUNDS
+    shards = max(1, min(SHARDS, int(each / SHARD_LEAST)), int(-(-each // SHARD_MOST)))
+    context = texts.sparkSession.sparkContext
     for step in range(ROUNDS):
-        shared = table.sparkSession.sparkContext.broadcast(model)
+        shared = context.broadcast((model.rows, model.targets, model.contexts, symbols))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
-            for shard in np.unique(t["shard"].to_numpy()) if t else ():
-                own = t.filter(pa.compute.equal(t["shard"], int(shard)))
-                done = train_shard(shared.value, unigram, own["k"].to_numpy(), own["n"].to_numpy(), 100 * step + int(shard))
-                flat = np.concatenate([x.ravel() for x in done.arrays()])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(shard)]), pa.array([float(own["n"].to_numpy().sum())]), pa.array([flat.tobytes()], pa.binary())],
-                    ["shard", "weight", "flat"],
-                )
-
-        rows = table.select("k", "n", "shard").mapInArrow(run, "shard long, weight double, flat binary").collect()
-        if not rows:
-            return model
-        # A shard may lie in several partitions of the table, and then comes more than once.
-        rows.sort(key=lambda x: (x["shard"], x["weight"], bytes(x["flat"])))
-        weights = np.array([x["weight"] for x in rows])
-        flat = sum(w * np.frombuffer(bytes(x["flat"])) for w, x in zip(weights / weights.sum(), rows, strict=True))
-        cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
-        model = Model(*[x.reshape(s) for x, s in zip(np.split(flat, cuts), shapes, strict=True)])
+            rows, targets, contexts, symbols = shared.value
+            trainer, held = None, []
+            for batch in batches:
+                raw, offsets = tk.text_bytes(batch.column(0))
+                for i, j in tk.parts(offsets):
+                    trainer = trainer or Trainer(Model(rows, targets, contexts), step)
+                    held.append(symbols.contexts(*tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
+                    trainer.tokens += len(held[-1][0])
+                    # The first tokens wait until there are enough for full batches.
+                    if trainer.tokens >= STEPS * BATCH:
+                        trainer.all([np.concatenate(x) for x in zip(*held, strict=True)], BATCH)
+                        held = []
+                        trainer.tokens = STEPS * BATCH - BATCH
+            if trainer is None:
+                return
+            if held:
+                rest = [np.concatenate(x) for x in zip(*held, strict=True)]
+                trainer.all(rest, BATCH if trainer.steps else SMALL_BATCH)
+                while trainer.steps < STEPS:
+                    trainer.all(rest, SMALL_BATCH)
+            yield from trainer.touched()
+
+        own = texts.filter(F.pmod("version", F.lit(ROUNDS)) == step).select("text").coalesce(shards)
+        model = averaged(own.mapInArrow(run, "row long, weight float, vector binary"), model, 4 * shards)
+        shared.unpersist()
     return model
 
 
@@ -237,26 +394,15 @@ def scored(docs: DataFrame) -> DataFrame:
             break
         least = s
     head = counts.filter(step >= least).toArrow()
-    order = np.lexsort((head["k"].to_numpy(), -head["n"].to_numpy()))[:SHORTLIST]
-    short = head.take(pa.array(order))
-    hashes = short["k"].to_numpy().astype(np.int64).astype(tk.U)
+    order = np.lexsort((head["k"].to_numpy(), -head["n"].to_numpy()))
+    hashes, n_head = head["k"].to_numpy()[order].astype(np.int64).astype(tk.U), head["n"].to_numpy()[order]
     by_hash = np.argsort(hashes)
-    symbols = Symbols(hashes[by_hash], by_hash.astype(np.int64))
-    size = len(hashes) + 2
-    p = unigram(short["n"].to_numpy().astype(np.float64))
+    symbols = Symbols(hashes[by_hash], by_hash.astype(np.int32))
+    p = unigram(n_head.astype(np.float64))
     rest = max(1.0 - p.sum(), 1e-12)
-
-    def codes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        w, one, two = symbols.contexts(words, bounds)
-        return (two * size + one) * size + w
-
-    model = train(_summed(training, codes), np.r_[p, rest] / (p.sum() + rest), size)
-    head_keys = head["k"].to_numpy().astype(tk.U)
-    by_hash = np.argsort(head_keys)
-    known = spark.sparkContext.broadcast(
-        (head_keys[by_hash], head["n"].to_numpy()[by_hash], symbols, model, model.normaliser())
-    )
-    complete = kinds == len(head)
+    model = train(training, total, symbols, np.r_[p, rest] / (p.sum() + rest))
+    known = spark.sparkContext.broadcast((np.r_[n_head, 0], symbols, model.rows, model.targets, model.contexts))
+    complete = kinds == len(hashes)
     log_rest = np.log10(rest)
     schema = (
         "doc_id long, version long, rows long, n_tokens long, n_known long, base double, score double, "
@@ -264,19 +410,18 @@ def scored(docs: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n, symbols, model, normaliser = known.value
+        n, symbols, *parameters = known.value
+        model = Model(*parameters)
         for batch in batches:
             raw, offsets = tk.text_bytes(batch.column(2))
             for i, j in tk.parts(offsets):
                 words, bounds = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
-                hit = keys[at] == words if len(keys) else np.zeros(len(words), bool)
-                c = np.where(hit, n[at], 0) if len(keys) else np.zeros(len(words), np.int64)
+                w, one, two = symbols.contexts(words, bounds)
+                hit, c = w != symbols.other, n[w]
                 here = hit | complete  # else the count is in the table only
                 base = np.where(here, np.log10(unigram(c)), 0.0)
-                w, one, two = symbols.contexts(words, bounds)
-                lm = model.log_probabilities(w, one, two, normaliser) / np.log(10)
-                lm += np.where(w == symbols.other, base - log_rest, 0.0)
+                lm = model.log_probabilities(w, one, two) / np.log(10)
+                lm += np.where(~hit, base - log_rest, 0.0)
                 add = lambda x, at=bounds[:-1]: np.add.reduceat(x, at)
                 doc = np.repeat(np.arange(j - i), np.diff(bounds))
                 pairs = np.rec.fromarrays([doc[~here], words[~here].astype(np.int64)], names="d,k")

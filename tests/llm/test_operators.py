@@ -261,3 +261,24 @@ def test_lm_is_normalised_and_better_than_unigrams(spark, sf_dir, monkeypatch):
     assert total == pytest.approx(np.ones(64))
     out = lm.op10_lm_scoring(spark, sf_dir).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
+
+
+def test_lm_trains_on_all_documents_and_words(spark, monkeypatch):
+    """Each training text is read by one round, and each word of the head moves its own embeddings."""
+    import numpy as np
+
+    monkeypatch.setattr(lm, "STEPS", 2)
+    docs = [(i, f"w{i} x{i} y{i} w{i} x{i} y{i}") for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    models, fresh = [], lm.fresh
+    average = lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda *a: models.append(average(*a)) or models[-1])
+    monkeypatch.setattr(lm, "fresh", lambda *a: models.append(fresh(*a)) or models[-1])
+    lm.scored(df).count()
+    first, last = models[0], models[-1]
+    kinds = 3 * df.filter(~lm.held_out_column(F.col("doc_id"))).count() + 1
+    assert len(models) == lm.ROUNDS + 1 and first.targets == kinds + 1 > 2000
+    assert np.any(first.context[1:kinds] != last.context[1:kinds], axis=1).all()  # 0 is the end, which nothing follows
+    assert np.any(first.target[0][:kinds] != last.target[0][:kinds], axis=1).all()
+    w, c = np.arange(first.targets), np.full(first.targets, 5)
+    assert np.exp(last.log_probabilities(w, c, c)).sum() == pytest.approx(1, abs=1e-3)
