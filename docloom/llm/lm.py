@@ -29,16 +29,19 @@ unseen and the model is the unigram; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textkernel as tk
-from docloom.llm.shared import written
+from docloom.llm.shared import shared_dir, written
 
 HEAD = 1 << 19
 DIM, LEVELS, STEPS, ROUNDS, RATE = 32, 3, 80, 5, 0.15
@@ -47,7 +50,7 @@ NOISE, LEAF_NOISE = 64, 3
 #: Tokens a batch, in full shards and in those that are gone over again.
 BATCH, SMALL_BATCH = 8192, 1024
 #: A round has up to SHARDS shards, of SHARD_LEAST tokens at least, and more when these would have over SHARD_MOST.
-SHARDS, SHARD_LEAST, SHARD_MOST = 8, 1 << 20, 1 << 24
+SHARDS, SHARD_LEAST, SHARD_MOST = 8, 1 << 21, 1 << 24
 #: The hash that stands for the end of a text.
 END = 0x454E44454E44454E
 #: Distinct keys a task holds before it passes them on.
@@ -307,13 +310,29 @@ class Trainer:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(self.weight[ids]), flat], ["row", "weight", "vector"])
 
 
+def stored(spark: SparkSession, model: Model) -> tuple[str, int, int]:
+    """The model as one file in the shared folder: a broadcast would be a copy on the disk of each executor."""
+    folder = re.sub("^file:/+", "/", shared_dir(spark))
+    path = f"{folder}/docloom-{uuid.uuid4().hex}.model"
+    fs, at = pa_fs.FileSystem.from_uri(path)
+    fs.create_dir(at.rpartition("/")[0])
+    with fs.open_output_stream(at) as f:
+        f.write(model.rows.tobytes())
+    return path, model.targets, model.contexts
+
+
+def loaded(path: str, targets: int, contexts: int) -> Model:
+    fs, at = pa_fs.FileSystem.from_uri(path)
+    with fs.open_input_file(at) as f:
+        return Model(np.frombuffer(f.read(), np.float16).reshape(-1, DIM), targets, contexts)
+
+
 def averaged(sent: DataFrame, model: Model, parts: int) -> Model:
     """The rows' averages; rows of equal number modulo ``parts`` meet in one task, and untouched ones stay."""
-    shared = sent.sparkSession.sparkContext.broadcast(model.rows)
+    rows_in_all = len(model.rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        old = shared.value
         for batch in batches:
             row = batch["row"].to_numpy()
             weight = batch["weight"].to_numpy()
@@ -321,20 +340,20 @@ def averaged(sent: DataFrame, model: Model, parts: int) -> Model:
             for part in np.unique(row % parts):
                 mine = row % parts == part
                 if part not in sums:
-                    n = len(old[part::parts])
+                    n = len(range(part, rows_in_all, parts))
                     sums[part] = np.zeros((n, DIM)), np.zeros(n)
                 total, weights = sums[part]
                 np.add.at(total, row[mine] // parts, vectors[mine] * weight[mine, None].astype(float))
                 np.add.at(weights, row[mine] // parts, weight[mine])
         for part, (total, weights) in sums.items():
-            new = np.where(weights[:, None] > 0, total / np.maximum(weights, 1e-9)[:, None], old[part::parts]).astype(np.float16)
+            new = np.where(weights[:, None] > 0, total / np.maximum(weights, 1e-9)[:, None], np.nan).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array([int(part)]), pa.array([new.tobytes()], pa.binary())], ["part", "flat"])
 
     dealt = sent.repartition(parts, F.pmod("row", F.lit(parts))).mapInArrow(run, "part long, flat binary")
     rows = model.rows.copy()
     for r in dealt.collect():
-        rows[r["part"] :: parts] = np.frombuffer(bytes(r["flat"]), np.float16).reshape(-1, DIM)
-    shared.unpersist()
+        new, old = np.frombuffer(bytes(r["flat"]), np.float16).reshape(-1, DIM), rows[r["part"] :: parts]
+        old[:] = np.where(np.isnan(new), old, new)
     return Model(rows, model.targets, model.contexts)
 
 
@@ -343,17 +362,17 @@ def train(texts: DataFrame, tokens_in_all: int, symbols: Symbols, unigram: np.nd
     model = fresh(unigram, symbols.start + 1)
     each = tokens_in_all / ROUNDS
     shards = max(1, min(SHARDS, int(each / SHARD_LEAST)), int(-(-each // SHARD_MOST)))
-    context = texts.sparkSession.sparkContext
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(symbols)
     for step in range(ROUNDS):
-        shared = context.broadcast((model.rows, model.targets, model.contexts, symbols))
+        place = stored(spark, model)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
-            rows, targets, contexts, symbols = shared.value
-            trainer, held = None, []
+        def run(batches: Iterator[pa.RecordBatch], place=place, step=step) -> Iterator[pa.RecordBatch]:
+            symbols, trainer, held = shared.value, None, []
             for batch in batches:
                 raw, offsets = tk.text_bytes(batch.column(0))
                 for i, j in tk.parts(offsets):
-                    trainer = trainer or Trainer(Model(rows, targets, contexts), step)
+                    trainer = trainer or Trainer(loaded(*place), step)
                     held.append(symbols.contexts(*tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
                     trainer.tokens += len(held[-1][0])
                     # The first tokens wait until there are enough for full batches.
@@ -372,7 +391,8 @@ def train(texts: DataFrame, tokens_in_all: int, symbols: Symbols, unigram: np.nd
 
         own = texts.filter(F.pmod("version", F.lit(ROUNDS)) == step).select("text").coalesce(shards)
         model = averaged(own.mapInArrow(run, "row long, weight float, vector binary"), model, 4 * shards)
-        shared.unpersist()
+        fs, at = pa_fs.FileSystem.from_uri(place[0])
+        fs.delete_file(at)
     return model
 
 
@@ -401,7 +421,8 @@ def scored(docs: DataFrame) -> DataFrame:
     p = unigram(n_head.astype(np.float64))
     rest = max(1.0 - p.sum(), 1e-12)
     model = train(training, total, symbols, np.r_[p, rest] / (p.sum() + rest))
-    known = spark.sparkContext.broadcast((np.r_[n_head, 0], symbols, model.rows, model.targets, model.contexts))
+    known = spark.sparkContext.broadcast((np.r_[n_head, 0], symbols))
+    place = stored(spark, model)
     complete = kinds == len(hashes)
     log_rest = np.log10(rest)
     schema = (
@@ -410,8 +431,7 @@ def scored(docs: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, symbols, *parameters = known.value
-        model = Model(*parameters)
+        (n, symbols), model = known.value, loaded(*place)
         for batch in batches:
             raw, offsets = tk.text_bytes(batch.column(2))
             for i, j in tk.parts(offsets):
