@@ -317,7 +317,7 @@ def stored(spark: SparkSession, model: Model) -> tuple[str, int, int]:
     fs, at = pa_fs.FileSystem.from_uri(path)
     fs.create_dir(at.rpartition("/")[0])
     with fs.open_output_stream(at) as f:
-        f.write(model.rows.tobytes())
+        f.write(memoryview(model.rows).cast("B"))
     return path, model.targets, model.contexts
 
 
@@ -350,8 +350,8 @@ def averaged(sent: DataFrame, model: Model, parts: int) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([int(part)]), pa.array([new.tobytes()], pa.binary())], ["part", "flat"])
 
     dealt = sent.repartition(parts, F.pmod("row", F.lit(parts))).mapInArrow(run, "part long, flat binary")
-    rows = model.rows.copy()
-    for r in dealt.collect():
+    rows = model.rows
+    for r in dealt.toLocalIterator():  # one part at a time in the driver's memory
         new, old = np.frombuffer(bytes(r["flat"]), np.float16).reshape(-1, DIM), rows[r["part"] :: parts]
         old[:] = np.where(np.isnan(new), old, new)
     return Model(rows, model.targets, model.contexts)
@@ -423,6 +423,7 @@ def scored(docs: DataFrame) -> DataFrame:
     model = train(training, total, symbols, np.r_[p, rest] / (p.sum() + rest))
     known = spark.sparkContext.broadcast((np.r_[n_head, 0], symbols))
     place = stored(spark, model)
+    del model, head, order, by_hash
     complete = kinds == len(hashes)
     log_rest = np.log10(rest)
     schema = (
