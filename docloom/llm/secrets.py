@@ -1,10 +1,10 @@
 """Secret scans: patterns for known forms, and a token-efficiency test for random strings.
 
 A tokenizer vocabulary holds the pieces that ordinary text is made of, so ordinary strings have several
-characters a token and random ones about two or fewer. Strings of 20 characters or more that mix letters
-and digits are encoded; those with few characters a token are reported, unless they are known digests
-(hexadecimal of a digest's length), identifiers (UUIDs, or words and numbers joined by signs) or part of a span
-that a pattern has found.
+characters a token and random ones about two or fewer. Strings of 16 characters or more with a letter are encoded;
+those with few characters a token are reported, unless they are known digests (hexadecimal of a digest's length), UUIDs
+or part of a span that a pattern has found. Letters alone, and words and numbers joined by signs, are identifiers unless
+their parts of letters have still fewer characters a token.
 
 Defined results for odd input: a null text counts as empty and has no spans; rows are judged one by one, so
 repeated rows and equal or null doc_id values change nothing; an empty table gives an empty result; other
@@ -30,13 +30,15 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Strings with fewer characters a token are random.
 MOST_CHARS_PER_TOKEN = 2.2
+#: The same where letters stand alone or in parts joined by signs, of which names are made, too; with so many letters at least.
+MOST_CHARS_PER_TOKEN_OF_LETTERS, LEAST_LETTERS = 2.0, 16
 KINDS = ("assign", "access", "hex", "random")
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])", re.DOTALL)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_LETTERS = re.compile(r"[A-Za-z]+")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _IDENTIFIER = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[_/=+-]+(?:[A-Za-z]+|[0-9]+))*[_/=+-]*")
@@ -54,9 +56,14 @@ def encoding(path: str):
 
 
 def is_random(s: str, vocabulary: str = VOCABULARY, most: float = MOST_CHARS_PER_TOKEN) -> bool:
-    if not _MIXED.match(s) or _DIGEST.fullmatch(s) or _UUID.fullmatch(s) or _IDENTIFIER.fullmatch(s):
+    if not _LETTERS.search(s) or _DIGEST.fullmatch(s) or _UUID.fullmatch(s):
         return False
-    return len(s) / len(encoding(vocabulary).encode_ordinary(s)) < most
+    encode = encoding(vocabulary).encode_ordinary
+    if _IDENTIFIER.fullmatch(s):
+        parts = _LETTERS.findall(s)
+        n = sum(map(len, parts))
+        return n >= LEAST_LETTERS and n / sum(len(encode(x)) for x in parts) < MOST_CHARS_PER_TOKEN_OF_LETTERS
+    return len(s) / len(encode(s)) < most
 
 
 def find_spans(text: str, vocabulary: str = VOCABULARY) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

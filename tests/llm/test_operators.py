@@ -210,6 +210,14 @@ def test_secrets(spark, messy, nothing):
     assert secrets.scan(messy).count() == messy.count() and secrets.scan(nothing).count() == 0
 
 
+def test_secrets_without_digits_or_short():
+    """Random letters alone, alone or in parts, and 16 characters are found; words and names are not."""
+    for secret in ("qXvTzKpWbRmJgHcYdLsN", "zqxvkjwpbgfhtdmyrncl", "k9Zq3XvT7pWb2RmJ", "QXVTZ-KPWBR-MJGHC-YDLSN"):
+        assert secrets.find_spans(f"see {secret} now")[1] == [(4, 3, 4 + len(secret))], secret
+    for name in ("internationalization", "some_quite_long_identifier_name", "usr/share/lib/python/packages", "================", "1234567890123456"):
+        assert secrets.find_spans(f"see {name} now")[1] == [], name
+
+
 # N-gram Jaccard join
 
 
