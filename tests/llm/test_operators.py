@@ -281,7 +281,7 @@ def test_lm_trains_on_all_documents_and_words(spark, monkeypatch):
     models, fresh = [], lm.fresh
     average = lm.averaged
     monkeypatch.setattr(lm, "averaged", lambda *a: models.append(average(*a)) or models[-1])
-    monkeypatch.setattr(lm, "fresh", lambda *a: models.append(fresh(*a)) or models[-1])
+    monkeypatch.setattr(lm, "fresh", lambda *a: models.append(fresh(*a)) or lm.Model(models[-1].rows.copy(), models[-1].targets, models[-1].contexts))
     lm.scored(df).count()
     first, last = models[0], models[-1]
     kinds = 3 * df.filter(~lm.held_out_column(F.col("doc_id"))).count() + 1
