@@ -1,8 +1,7 @@
 """Suffix-array dedup: removes every byte covered by a 400-byte string that also starts elsewhere.
 
-Prefix doubling over all byte positions would shuffle every position in each of nine rounds. The rounds here
-are the same, names for longer and longer prefixes, with unique positions dropped after each, but they
-begin at positions that the text itself picks:
+The method is not prefix doubling: no position is sorted by pairs of ranks at growing offsets. It picks anchors by
+content (winnowing), then compares hashes of whole zones and of 400-byte strings, for the same result:
 
 1. The anchor of a 400-byte string is the 96-byte string in it with the least hash. Equal strings have equal
    anchors at equal places in them. The strings of a document that follow each other with one anchor
