@@ -6,21 +6,22 @@ whose crc32 of doc_id as text, mod 10, is not 0; all statistics cover all of the
 Counts. One pass counts all training tokens; counting is pre-aggregated in the tasks and summed by Spark.
 The unigram probability of a token is ``(c + 0.1) / (N + 0.1 * (V + 1))``.
 
-Model. Each of the HEAD most frequent tokens is a symbol with embeddings of its own, as target and as context; all
-others share one. A symbol's score is bilinear in the embeddings of its context, the two symbols before it, and its own,
-plus a bias. Symbols by falling frequency are the leaves of a tree of LEVELS levels with about the same number of children
-everywhere; each node has an embedding and a bias as a target, and the probability of a symbol is the product of those of
-its path, each among siblings only, so that exact sums over siblings normalise it. A token off the head has the
-shared symbol's probability times its unigram share among such tokens, so that the probabilities of all tokens, with one
-slot for unseen ones, add to 1.
+Model. Each token seen LEAST_COUNT times or more is a symbol with embeddings of its own, as target and as context, so that
+their number grows with the corpus, up to the HEAD most frequent ones; all others share one. A symbol's score is bilinear in
+the embeddings of its context, the two symbols before it, and its own, plus a bias. Symbols by falling frequency are the
+leaves of a tree of LEVELS levels with about the same number of children everywhere; each node has an embedding and a bias as
+a target, and the probability of a symbol is the product of those of its path, each among siblings only, so that exact
+sums over siblings, by batched matrix products, normalise it. A token without a symbol has the shared symbol's probability
+times its unigram share among such tokens, so that the probabilities of all tokens, with one slot for unseen ones, add to 1.
 
 Training is noise-contrastive estimation at each level, with noise from the siblings, and reads every training
 token once: each of ROUNDS rounds takes the documents of its hash, in shards whose number grows with the corpus. The tasks
 improve the same parameters on their shard and pass on the rows they touched; Spark deals these out by row and averages
 each, weighted by the tokens behind it. A shard too small for STEPS batches goes over its tokens again.
 
-Scoring. Counts of the HEAD most frequent tokens are broadcast (12 bytes each); a document's other tokens are joined
-with the table of counts, distinct ones with their number.
+The parameters are broadcast: 2 * DIM + 4 bytes for each of 2.05 * HEAD rows at most, 40 MB, at any size of the corpus; so are
+the counts of the HEAD most frequent tokens (20 bytes each, and 8 MB to find them by). A document's other tokens are joined with
+the table of counts, distinct ones with their number.
 
 Defined results for odd input: a null or empty text has the one token, its end; a null doc_id counts as empty text, so
 it is held out; repeated rows are scored alike, and each trains; without training tokens N is 0, all tokens are
@@ -29,28 +30,28 @@ unseen and the model is the unigram; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textkernel as tk
-from docloom.llm.shared import shared_dir, written
+from docloom.llm.shared import written
 
-HEAD = 1 << 19
-DIM, LEVELS, STEPS, ROUNDS, RATE = 32, 3, 80, 5, 0.15
+#: Tokens whose counts are broadcast, and of which those with LEAST_COUNT have embeddings.
+HEAD, LEAST_COUNT = 1 << 19, 16
+DIM, LEVELS, ROUNDS, RATE = 16, 3, 4, 0.15
 #: Noise of each position: among siblings on upper levels, and among leaves.
-NOISE, LEAF_NOISE = 64, 3
-#: Tokens a batch, in full shards and in those that are gone over again.
-BATCH, SMALL_BATCH = 8192, 1024
+NOISE, LEAF_NOISE = 12, 2
+#: Tokens a batch, in full shards and in those that are gone over again, up to STEPS batches.
+BATCH, SMALL_BATCH, STEPS = 16384, 1024, 80
+#: Tokens that a task holds and shuffles before it trains on them.
+HELD_TOKENS = 1 << 20
 #: A round has up to SHARDS shards, of SHARD_LEAST tokens at least, and more when these would have over SHARD_MOST.
-SHARDS, SHARD_LEAST, SHARD_MOST = 8, 1 << 21, 1 << 24
+SHARDS, SHARD_LEAST, SHARD_MOST = 12, 1 << 20, 1 << 24
 #: The hash that stands for the end of a text.
 END = 0x454E44454E44454E
 #: Distinct keys a task holds before it passes them on.
@@ -100,118 +101,126 @@ def _summed(texts: DataFrame, keys) -> DataFrame:
     return texts.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Symbols:
-    """Sorted hashes of the head with their symbols; `other` is shared, `start` is the context before a text."""
+class Head:
+    """The most frequent tokens by falling count: hash to place, len(n) for all others."""
 
-    hashes: np.ndarray
-    symbols: np.ndarray
+    def __init__(self, hashes: np.ndarray, n: np.ndarray) -> None:
+        self.n = n
+        order = np.argsort(hashes)
+        self.hashes, self.places = hashes[order], order.astype(np.int32)
+        # Tokens are found by their hash's leading bits: about one in four slots has a token.
+        self.bits = max(4, min(21, (4 * len(n)).bit_length()))
+        self.slots = np.searchsorted(self.hashes >> tk.U(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=tk.U)).astype(np.int32)
 
-    @property
-    def other(self) -> int:
-        return len(self.hashes)
+    def of(self, words: np.ndarray) -> np.ndarray:
+        out = np.full(len(words), len(self.n), np.int32)
+        slot = (words >> tk.U(64 - self.bits)).astype(np.int32)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        left = np.flatnonzero(at < end)
+        at, end, words = at[left], end[left], words[left]
+        while len(left):
+            hit = self.hashes[at] == words
+            out[left[hit]] = self.places[at[hit]]
+            at = at + 1
+            stay = ~hit & (at < end)
+            left, at, end, words = left[stay], at[stay], end[stay], words[stay]
+        return out
 
-    @property
-    def start(self) -> int:
-        return len(self.hashes) + 1
 
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.symbols[at], self.other)
+def contexts(symbols: np.ndarray, bounds: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol before each token and the one before that; ``start`` before a text."""
+    one, two = np.empty_like(symbols), np.empty_like(symbols)
+    one[1:], two[2:] = symbols[:-1], symbols[:-2]
+    two[:2] = start
+    one[bounds[:-1]] = two[bounds[:-1]] = start
+    second = bounds[:-1] + 1
+    two[second[second < bounds[1:]]] = start
+    return one, two
+
+
+def fan(targets: int) -> int:
+    """Children of a node: the least number, from 2, at which LEVELS levels hold all targets."""
+    n = max(2, int(targets ** (1 / LEVELS)))
+    while n**LEVELS < targets:
+        n += 1
+    return n
+
 
-    def contexts(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The symbol of each token, of the one before it, and of the one before that."""
-        w = self.of(words)
-        one, two = np.r_[self.start, w[:-1]][: len(w)], np.r_[self.start, self.start, w[:-2]][: len(w)]
-        one[bounds[:-1]] = two[bounds[:-1]] = self.start
-        second = bounds[:-1] + 1
-        two[second[second < bounds[1:]]] = self.start
-        return w, one, two
+def level_sizes(targets: int) -> list[int]:
+    return [-(-targets // fan(targets) ** level) for level in range(LEVELS)]
 
 
 class Model:
     """Log-bilinear scores ``(near * E[one] + far * E[two]) . T[node] + b[node]`` on each level of the tree.
 
-    All parameters are views of the rows of one matrix: E, T from the leaves up, near and far, and the biases, DIM a row.
+    All vectors are rows of one matrix, E, T from the leaves up, near and far; each has a bias, of which those of T count.
+    Targets are the symbols of the tree; contexts are these and the start of a text.
     """
 
-    def __init__(self, rows: np.ndarray, targets: int, contexts: int) -> None:
-        self.rows, self.targets, self.contexts = rows, targets, contexts
-        self.fan, self.sizes, starts = fan(targets), level_sizes(targets), [contexts]
-        for n in self.sizes:
-            starts.append(starts[-1] + n)
-        self.dense = starts[-1]
-        self.starts = starts[:-1]
-        self.context = rows[:contexts]
-        self.target = [rows[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-        self.near, self.far = rows[self.dense], rows[self.dense + 1]
-        self.bias, at = [], self.dense + 2
-        for n in self.sizes:
-            self.bias.append(rows[at : at - (-n // DIM)].reshape(-1)[:n])
-            at -= -n // DIM
-
-    def normaliser(self) -> list[np.ndarray]:
-        """First symbols of the nodes above the leaves; the sums themselves are over siblings, where they are needed."""
-        return [np.arange(0, self.targets, self.fan**level) for level in range(1, LEVELS)]
-
-    def log_probabilities(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, normaliser: list[np.ndarray] | None = None) -> np.ndarray:
+    def __init__(self, rows: np.ndarray, bias: np.ndarray, targets: int) -> None:
+        self.rows, self.bias, self.targets = rows, bias, targets
+        self.fan, self.sizes = fan(targets), level_sizes(targets)
+        self.starts = [targets + 1 + sum(self.sizes[:level]) for level in range(LEVELS)]
+        self.dense = len(rows) - 2
+
+    def children(self, level: int, parent: int) -> slice:
+        """The rows of a parent's children, which are nodes of ``level``."""
+        first = parent * self.fan
+        return slice(self.starts[level] + first, self.starts[level] + min(first + self.fan, self.sizes[level]))
+
+    def query(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return self.rows[self.dense] * self.rows[one] + self.rows[self.dense + 1] * self.rows[two]
+
+    def log_probabilities(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log of the probability of each w after one and two, from exact sums over the siblings on its path."""
         out = np.zeros(len(w))
-        near, far = self.near.astype(np.float32), self.far.astype(np.float32)
-        for i in range(0, len(w), 1 << 18):
-            order = np.argsort(w[i : i + (1 << 18)], kind="stable") + i
-            node = w[order]
-            q = near * self.context[one[order]].astype(np.float32)
-            q += far * self.context[two[order]].astype(np.float32)
-            for level in range(LEVELS):
-                parent = node // self.fan
-                cuts = np.r_[0, np.flatnonzero(np.diff(parent)) + 1, len(parent)]
-                got = np.empty(len(node), np.float32)
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    first = parent[a] * self.fan
-                    T = self.target[level][first : first + self.fan].astype(np.float32).T
-                    bias = self.bias[level][first : first + self.fan].astype(np.float32)
-                    for c in range(a, b, 1 << 14):
-                        d = min(b, c + (1 << 14))
-                        s = q[c:d] @ T
-                        s += bias
-                        s -= s.max(axis=1, keepdims=True)
-                        mine = s[np.arange(d - c), node[c:d] - first]
-                        got[c:d] = mine - np.log(np.exp(s, out=s).sum(axis=1))
-                out[order] += got
-                node = parent
+        order = np.argsort(w)
+        node, q = w[order], self.query(one[order], two[order])
+        got = np.zeros(len(w), np.float32)
+        for level in range(LEVELS):
+            parent = node // self.fan
+            cuts = np.r_[np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]]), len(parent)].tolist()
+            child = node - parent * self.fan
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                rows = self.children(level, int(parent[a]))
+                if rows.stop - rows.start == 1:
+                    continue
+                T, bias = self.rows[rows].T, self.bias[rows]
+                for c in range(a, b, 1 << 13):
+                    d = min(b, c + (1 << 13))
+                    s = q[c:d] @ T
+                    s += bias
+                    mine = s[np.arange(d - c), child[c:d]]
+                    with np.errstate(over="ignore", divide="ignore"):
+                        z = np.log(np.exp(s).sum(axis=1))
+                    if not np.isfinite(z).all():
+                        most = s.max(axis=1)
+                        z = most + np.log(np.exp(s - most[:, None]).sum(axis=1))
+                    got[c:d] += mine - z
+            node = parent
+        out[order] = got
         return out
 
+    def packed(self) -> tuple[bytes, bytes, int]:
+        return self.rows.astype(np.float16).tobytes(), self.bias.astype(np.float32).tobytes(), self.targets
 
-def fan(targets: int) -> int:
-    """Children of a node: the least number, from 2, at which LEVELS levels hold all targets."""
-    n = max(2, int(targets ** (1 / LEVELS)))
-    while n**LEVELS < targets:
-        n += 1
-    return n
 
-
-def level_sizes(targets: int) -> list[int]:
-    return [-(-targets // fan(targets) ** level) for level in range(LEVELS)]
+def unpacked(rows: bytes, bias: bytes, targets: int) -> Model:
+    return Model(np.frombuffer(rows, np.float16).reshape(-1, DIM).astype(np.float32), np.frombuffer(bias, np.float32).copy(), targets)
 
 
-def fresh(unigram: np.ndarray, contexts: int) -> Model:
-    """A model near the unigrams."""
+def fresh(unigram: np.ndarray) -> Model:
+    """A model near the unigrams of its targets."""
     targets, r = len(unigram), np.random.default_rng(10)
-    sizes = level_sizes(targets)
-    rows = np.zeros((contexts + sum(sizes) + 2 + sum(-(-n // DIM) for n in sizes), DIM), np.float16)
-    model = Model(rows, targets, contexts)
-    for i in range(0, model.dense, 1 << 16):
-        part = rows[i : min(i + (1 << 16), model.dense)]
-        part[:] = r.normal(0, 0.1, part.shape)
-    model.near[:], model.far[:] = 1, 0.5
-    for level, bias in enumerate(model.bias):
+    n = targets + 1 + sum(level_sizes(targets)) + 2
+    model = Model(r.normal(0, 0.1, (n, DIM)).astype(np.float32), np.zeros(n, np.float32), targets)
+    model.rows[model.dense], model.rows[model.dense + 1] = 1, 0.5
+    for level, size in enumerate(model.sizes):
         p = np.add.reduceat(unigram, np.arange(0, targets, model.fan**level))
         above = np.add.reduceat(p, np.arange(0, len(p), model.fan))
-        size = np.minimum(model.fan, len(p) - np.arange(len(above)) * model.fan)
-        bias[:] = np.log(p * np.repeat(size / above, size))  # relative to the siblings' mean
+        siblings = np.minimum(model.fan, len(p) - np.arange(len(above)) * model.fan)
+        # Relative to the siblings' mean.
+        model.bias[model.starts[level] : model.starts[level] + size] = np.log(p * np.repeat(siblings / above, siblings))
     return model
 
 
@@ -222,164 +231,156 @@ def segments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.exp(-x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
     """One shard's training, from a copy of the shared parameters, with Adagrad that has one rate a row."""
 
     def __init__(self, model: Model, seed: int) -> None:
-        self.m = Model(model.rows.astype(np.float32), model.targets, model.contexts)
-        self.squares = np.ones(len(model.rows), np.float32)
-        self.bias_squares = [np.full(n, 1000, np.float32) for n in model.sizes]
+        self.m = model
+        self.squares, self.bias_squares = np.ones(len(model.rows), np.float32), np.full(len(model.rows), 1000, np.float32)
         self.weight = np.zeros(len(model.rows), np.float32)
-        self.r, self.steps, self.tokens = np.random.default_rng(seed), 0, 0
+        self.r, self.steps = np.random.default_rng(seed), 0
 
-    def move(self, ids: np.ndarray, g: np.ndarray) -> None:
-        self.squares[ids] += (g * g).mean(axis=1)
-        self.m.rows[ids] += g * (RATE / np.sqrt(self.squares[ids]))[:, None]
+    def move(self, rows: np.ndarray, g: np.ndarray, gb: np.ndarray | None = None) -> None:
+        squares = self.squares[rows] + np.einsum("nd,nd->n", g, g) / DIM
+        self.squares[rows] = squares
+        self.m.rows[rows] += g * (RATE / np.sqrt(squares))[:, None]
+        if gb is not None:
+            squares = self.bias_squares[rows] + gb * gb
+            self.bias_squares[rows] = squares
+            self.m.bias[rows] += RATE * gb / np.sqrt(squares)
 
     def batch(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m, n = self.m, len(w)
         order = np.argsort(w)
         node, one, two = w[order], one[order], two[order]
-        e1, e2 = m.context[one], m.context[two]
-        q = m.near * e1 + m.far * e2
+        e1, e2 = m.rows[one], m.rows[two]
+        q = m.rows[m.dense] * e1 + m.rows[m.dense + 1] * e2
         dq, moves = np.zeros_like(q), []
         for level in range(LEVELS):
-            T, b = m.target[level], m.bias[level]
-            parent = node // m.fan
             at, runs = segments(node)
-            own = node[at]
+            own = node[at] + m.starts[level]
+            parent = node // m.fan
             p_at, p_runs = segments(parent)
             first = parent[p_at] * m.fan
             size = np.minimum(m.fan, m.sizes[level] - first)
-            noise = NOISE if level else LEAF_NOISE
-            shift = np.float32(np.log(noise))  # biases are relative to the siblings' mean, as noise is
-            t = np.repeat(T[own], runs, axis=0)
-            up = 1 - sigmoid(np.einsum("nd,nd->n", q, t) + b[node] - shift)
-            dq += up[:, None] * t
-            moves.append((level, own, np.add.reduceat(up[:, None] * q, at), np.add.reduceat(up, at), runs))
-            picks = first[:, None] + self.r.integers(1 << 30, size=(len(first), noise)) % size[:, None]
+            noise = np.minimum(NOISE if level else LEAF_NOISE, size)  # distinct siblings, evenly spaced from a random one
+            shift = np.log(noise).astype(np.float32)  # biases are relative to the siblings' mean, as noise is
+            t = np.repeat(m.rows[own], runs, axis=0)
+            up = np.einsum("nd,nd->n", q, t)
+            up += np.repeat(m.bias[own], runs)
+            up -= np.repeat(shift, p_runs)
+            up = 1 - sigmoid(up)
+            t *= up[:, None]
+            dq += t
+            moves.append((own, np.add.reduceat(up[:, None] * q, at), np.add.reduceat(up, at)))
+            self.weight[own] += runs
+            begin = self.r.integers(1 << 30, size=len(first)) % size
             if level:
-                for k, (a, length) in enumerate(zip(p_at, p_runs, strict=True)):
-                    part, ids = slice(a, a + length), picks[k]
-                    down = -sigmoid(q[part] @ T[ids].T + b[ids] - shift)
-                    dq[part] += down @ T[ids]
-                    ids, back = np.unique(ids, return_inverse=True)
-                    g, gb = np.zeros((len(ids), DIM), np.float32), np.bincount(back, down.sum(axis=0))
-                    np.add.at(g, back, down.T @ q[part])
-                    moves.append((level, ids, g, gb.astype(np.float32), None))
+                for a, length, f, of, many, b, by in zip(p_at, p_runs, first, size, noise, begin, shift, strict=True):
+                    part = slice(a, a + length)
+                    ids = m.starts[level] + f + (b + np.arange(many) * of // many) % of
+                    T = m.rows[ids]
+                    down = q[part] @ T.T
+                    down += m.bias[ids] - by
+                    down = sigmoid(down)
+                    dq[part] -= down @ T
+                    moves.append((ids, -(down.T @ q[part]), -down.sum(axis=0)))
             else:
-                for k in range(noise):
-                    ids = picks[:, k]
-                    t = np.repeat(T[ids], p_runs, axis=0)
-                    down = -sigmoid(np.einsum("nd,nd->n", q, t) + np.repeat(b[ids] - shift, p_runs))[:, None]
-                    dq += down * t
-                    moves.append((0, ids, np.add.reduceat(down * q, p_at), np.add.reduceat(down[:, 0], p_at), None))
+                for k in range(LEAF_NOISE):
+                    ids = m.starts[0] + first + (begin + k * size // noise) % size
+                    counts = (k < noise).astype(np.float32)
+                    t = np.repeat(m.rows[ids], p_runs, axis=0)
+                    down = np.einsum("nd,nd->n", q, t)
+                    down += np.repeat(m.bias[ids] - shift, p_runs)
+                    down = sigmoid(down)
+                    down *= np.repeat(-counts, p_runs)
+                    t *= down[:, None]
+                    dq += t
+                    moves.append((ids, np.add.reduceat(down[:, None] * q, p_at), np.add.reduceat(down, p_at)))
             node = parent
-        for level, ids, g, gb, runs in moves:
-            self.move(m.starts[level] + ids, g)
-            self.bias_squares[level][ids] += gb * gb
-            m.bias[level][ids] += RATE * gb / np.sqrt(self.bias_squares[level][ids])
-            if runs is not None:
-                self.weight[m.starts[level] + ids] += runs
-        for ids, by in ((one, m.near), (two, m.far)):
+        for rows, g, gb in moves:
+            self.move(rows, g, gb)
+        for ids, row, e in ((one, m.dense, e1), (two, m.dense + 1, e2)):
             order = np.argsort(ids)
             at, runs = segments(ids[order])
-            own = ids[order][at]
-            self.move(own, np.add.reduceat((dq * by)[order], at))
+            own = ids[order[at]]
+            self.move(own, np.add.reduceat(dq[order], at) * m.rows[row])
             self.weight[own] += runs
-        for row, e in ((m.dense, e1), (m.dense + 1, e2)):
-            self.move(np.array([row]), (dq * e).sum(axis=0, keepdims=True))
-        self.weight[m.dense :] += n
+            self.move(np.array([row]), np.einsum("nd,nd->d", dq, e)[None])
+            self.weight[row] += n
         self.steps += 1
 
-    def all(self, tokens: tuple[np.ndarray, np.ndarray, np.ndarray], size: int) -> None:
-        order = self.r.permutation(len(tokens[0]))
+    def all(self, held: tuple[np.ndarray, ...], size: int) -> None:
+        order = self.r.permutation(len(held[0]))
         for i in range(0, len(order), size):
-            self.batch(*[x[order[i : i + size]] for x in tokens])
+            self.batch(*[x[order[i : i + size]] for x in held])
 
     def touched(self) -> Iterator[pa.RecordBatch]:
-        """(row, weight, vector) of the rows that tokens have changed."""
+        """(row, weight, bias, vector) of the rows that tokens have changed."""
         rows = np.flatnonzero(self.weight)
         for i in range(0, len(rows), 10_000):
             ids = rows[i : i + 10_000]
             vectors = np.clip(self.m.rows[ids], -60_000, 60_000).astype(np.float16)
             flat = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(len(ids) + 1, dtype=np.int32) * (2 * DIM)), pa.py_buffer(vectors.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(self.weight[ids]), flat], ["row", "weight", "vector"])
-
-
-def stored(spark: SparkSession, model: Model) -> tuple[str, int, int]:
-    """The model as one file in the shared folder: a broadcast would be a copy on the disk of each executor."""
-    folder = re.sub("^file:/+", "/", shared_dir(spark))
-    path = f"{folder}/docloom-{uuid.uuid4().hex}.model"
-    fs, at = pa_fs.FileSystem.from_uri(path)
-    fs.create_dir(at.rpartition("/")[0])
-    with fs.open_output_stream(at) as f:
-        f.write(memoryview(model.rows).cast("B"))
-    return path, model.targets, model.contexts
-
-
-def loaded(path: str, targets: int, contexts: int) -> Model:
-    fs, at = pa_fs.FileSystem.from_uri(path)
-    with fs.open_input_file(at) as f:
-        return Model(np.frombuffer(f.read(), np.float16).reshape(-1, DIM), targets, contexts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(self.weight[ids]), pa.array(self.m.bias[ids]), flat], ["row", "weight", "bias", "vector"])
 
 
-def averaged(sent: DataFrame, model: Model, parts: int) -> Model:
-    """The rows' averages; rows of equal number modulo ``parts`` meet in one task, and untouched ones stay."""
+def averaged(sent: DataFrame, model: Model, parts: int) -> None:
+    """Puts the rows' averages into the model; rows of equal number modulo ``parts`` meet in one task, and untouched ones stay."""
     rows_in_all = len(model.rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            row = batch["row"].to_numpy()
-            weight = batch["weight"].to_numpy()
+            row, weight, bias = (batch[c].to_numpy() for c in ("row", "weight", "bias"))
             vectors = np.frombuffer(b"".join(batch["vector"].to_pylist()), np.float16).reshape(-1, DIM)
-            for part in np.unique(row % parts):
+            told = np.c_[vectors.astype(np.float32), bias]
+            for part in np.unique(row % parts).tolist():
                 mine = row % parts == part
                 if part not in sums:
                     n = len(range(part, rows_in_all, parts))
-                    sums[part] = np.zeros((n, DIM)), np.zeros(n)
+                    sums[part] = np.zeros((n, DIM + 1)), np.zeros(n)
                 total, weights = sums[part]
-                np.add.at(total, row[mine] // parts, vectors[mine] * weight[mine, None].astype(float))
+                np.add.at(total, row[mine] // parts, told[mine] * weight[mine, None].astype(float))
                 np.add.at(weights, row[mine] // parts, weight[mine])
         for part, (total, weights) in sums.items():
-            new = np.where(weights[:, None] > 0, total / np.maximum(weights, 1e-9)[:, None], np.nan).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array([int(part)]), pa.array([new.tobytes()], pa.binary())], ["part", "flat"])
+            new = np.where(weights[:, None] > 0, total / np.maximum(weights, 1e-9)[:, None], np.nan).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([new.tobytes()], pa.binary())], ["part", "flat"])
 
     dealt = sent.repartition(parts, F.pmod("row", F.lit(parts))).mapInArrow(run, "part long, flat binary")
-    rows = model.rows
     for r in dealt.toLocalIterator():  # one part at a time in the driver's memory
-        new, old = np.frombuffer(bytes(r["flat"]), np.float16).reshape(-1, DIM), rows[r["part"] :: parts]
-        old[:] = np.where(np.isnan(new), old, new)
-    return Model(rows, model.targets, model.contexts)
+        new = np.frombuffer(bytes(r["flat"]), np.float32).reshape(-1, DIM + 1)
+        known = ~np.isnan(new[:, 0])
+        ids = np.arange(r["part"], rows_in_all, parts)[known]
+        model.rows[ids], model.bias[ids] = new[known, :DIM], new[known, DIM]
 
 
-def train(texts: DataFrame, tokens_in_all: int, symbols: Symbols, unigram: np.ndarray) -> Model:
-    """ROUNDS rounds over (text, version), which together read each text once."""
-    model = fresh(unigram, symbols.start + 1)
+def train(texts: DataFrame, tokens_in_all: int, shared, targets: int, unigram: np.ndarray) -> Model:
+    """ROUNDS rounds over (text, deal), which together read each text once; ``shared`` is the broadcast head."""
+    model = fresh(unigram)
     each = tokens_in_all / ROUNDS
     shards = max(1, min(SHARDS, int(each / SHARD_LEAST)), int(-(-each // SHARD_MOST)))
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(symbols)
     for step in range(ROUNDS):
-        place = stored(spark, model)
+        sent = texts.sparkSession.sparkContext.broadcast(model.packed())
 
-        def run(batches: Iterator[pa.RecordBatch], place=place, step=step) -> Iterator[pa.RecordBatch]:
-            symbols, trainer, held = shared.value, None, []
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, step=step) -> Iterator[pa.RecordBatch]:
+            trainer, held, size = None, [], 0
             for batch in batches:
                 raw, offsets = tk.text_bytes(batch.column(0))
                 for i, j in tk.parts(offsets):
-                    trainer = trainer or Trainer(loaded(*place), step)
-                    held.append(symbols.contexts(*tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
-                    trainer.tokens += len(held[-1][0])
-                    # The first tokens wait until there are enough for full batches.
-                    if trainer.tokens >= STEPS * BATCH:
+                    trainer = trainer or Trainer(unpacked(*sent.value), step)
+                    words, bounds = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    w = np.minimum(shared.value.of(words), targets - 1)
+                    held.append((w, *contexts(w, bounds, targets)))
+                    size += len(w)
+                    if size >= HELD_TOKENS:
                         trainer.all([np.concatenate(x) for x in zip(*held, strict=True)], BATCH)
-                        held = []
-                        trainer.tokens = STEPS * BATCH - BATCH
+                        held, size = [], 0
             if trainer is None:
                 return
             if held:
@@ -389,22 +390,36 @@ def train(texts: DataFrame, tokens_in_all: int, symbols: Symbols, unigram: np.nd
                     trainer.all(rest, SMALL_BATCH)
             yield from trainer.touched()
 
-        own = texts.filter(F.pmod("version", F.lit(ROUNDS)) == step).select("text").coalesce(shards)
-        model = averaged(own.mapInArrow(run, "row long, weight float, vector binary"), model, 4 * shards)
-        fs, at = pa_fs.FileSystem.from_uri(place[0])
-        fs.delete_file(at)
+        own = texts.filter(F.pmod("deal", F.lit(ROUNDS)) == step).select("text").coalesce(shards)
+        averaged(own.mapInArrow(run, "row long, weight float, bias float, vector binary"), model, 4 * shards)
+        sent.destroy()
     return model
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
-    training = keyed.filter(~held_out_column(F.col("doc_id")))
+@dataclass
+class Learned:
+    """What the training documents say: counts (k, n) of all tokens and their sums, the head, and the model."""
+
+    counts: DataFrame
+    total: int
+    kinds: int
+    head: Head
+    model: Model
+    rest: float  # unigram share of the tokens that have no symbol
+
+    @property
+    def floor(self) -> float:
+        return self.total + 0.1 * (self.kinds + 1)
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
+
+
+def learned(docs: DataFrame) -> Learned:
+    training = docs.filter(~held_out_column(F.col("doc_id").cast("long"))).select("doc_id", "text")
     counts = written(_summed(training, lambda t, bounds: t))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    floor = total + 0.1 * (kinds + 1)
-    unigram = lambda c: (c + 0.1) / floor
     # The head: all tokens above a count at which they are HEAD at most, from a histogram of about 8 steps an octave.
     step = F.floor(F.log2(F.col("n")) * 8).cast("int")
     sizes = {r["step"]: r["count"] for r in counts.groupBy(step.alias("step")).count().collect()}
@@ -413,52 +428,63 @@ def scored(docs: DataFrame) -> DataFrame:
         if sum(v for k, v in sizes.items() if k >= s) > HEAD:
             break
         least = s
-    head = counts.filter(step >= least).toArrow()
-    order = np.lexsort((head["k"].to_numpy(), -head["n"].to_numpy()))
-    hashes, n_head = head["k"].to_numpy()[order].astype(np.int64).astype(tk.U), head["n"].to_numpy()[order]
-    by_hash = np.argsort(hashes)
-    symbols = Symbols(hashes[by_hash], by_hash.astype(np.int32))
-    p = unigram(n_head.astype(np.float64))
+    top = counts.filter(step >= least).toArrow()
+    order = np.lexsort((top["k"].to_numpy(), -top["n"].to_numpy()))
+    head = Head(top["k"].to_numpy()[order].astype(np.int64).astype(tk.U), top["n"].to_numpy()[order].astype(np.int64))
+    own = head.n[: np.count_nonzero(head.n >= LEAST_COUNT)]
+    p = (own + 0.1) / (total + 0.1 * (kinds + 1))
     rest = max(1.0 - p.sum(), 1e-12)
-    model = train(training, total, symbols, np.r_[p, rest] / (p.sum() + rest))
-    known = spark.sparkContext.broadcast((np.r_[n_head, 0], symbols))
-    place = stored(spark, model)
-    del model, head, order, by_hash
-    complete = kinds == len(hashes)
-    log_rest = np.log10(rest)
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+    deal = F.xxhash64("doc_id", F.octet_length("text"))
+    model = train(training.select("text", deal.alias("deal")), total, shared, len(p) + 1, np.r_[p, rest] / (p.sum() + rest))
+    shared.unpersist()
+    return Learned(counts, total, kinds, head, model, rest)
+
+
+def scored(docs: DataFrame, known: Learned | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    known = known or learned(docs)
+    spark, keyed = docs.sparkSession, keyed_texts(docs)
+    complete, log_rest, floor, total = known.kinds == len(known.head.n), np.log10(known.rest), known.floor, known.total
+    shared = spark.sparkContext.broadcast((known.head, known.model.packed()))
     schema = (
         "doc_id long, version long, rows long, n_tokens long, n_known long, base double, score double, "
         "tail array<struct<k: long, m: long>>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (n, symbols), model = known.value, loaded(*place)
+        head, model = shared.value[0], unpacked(*shared.value[1])
+        n = np.r_[head.n, 0]
+        logs = np.log10((n + 0.1) / floor)
+        other = model.targets - 1
         for batch in batches:
             raw, offsets = tk.text_bytes(batch.column(2))
             for i, j in tk.parts(offsets):
                 words, bounds = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                w, one, two = symbols.contexts(words, bounds)
-                hit, c = w != symbols.other, n[w]
-                here = hit | complete  # else the count is in the table only
-                base = np.where(here, np.log10(unigram(c)), 0.0)
-                lm = model.log_probabilities(w, one, two) / np.log(10)
-                lm += np.where(~hit, base - log_rest, 0.0)
+                place = head.of(words)
+                here = place < len(head.n) if not complete else np.ones(len(words), bool)  # else the count is in the table only
+                base = np.where(here, logs[place], 0.0)
+                w = np.minimum(place, other)
+                lm = model.log_probabilities(w, *contexts(w, bounds, model.targets)) / np.log(10)
+                lm += np.where(w == other, base - log_rest, 0.0)
                 add = lambda x, at=bounds[:-1]: np.add.reduceat(x, at)
-                doc = np.repeat(np.arange(j - i), np.diff(bounds))
-                pairs = np.rec.fromarrays([doc[~here], words[~here].astype(np.int64)], names="d,k")
-                pairs, m = np.unique(pairs, return_counts=True)
+                away = np.flatnonzero(~here)
+                doc, k = np.searchsorted(bounds, away, "right") - 1, words[away].astype(np.int64)
+                order = np.lexsort((k, doc))
+                doc, k = doc[order], k[order]
+                at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (k[1:] != k[:-1])]) if len(k) else np.zeros(0, np.int64)
                 tail = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(pairs["d"], np.arange(j - i + 1)).astype(np.int32)),
-                    pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(pairs["k"])), pa.array(m.astype(np.int64))], ["k", "m"]),
+                    pa.array(np.searchsorted(doc[at], np.arange(j - i + 1)).astype(np.int32)),
+                    pa.StructArray.from_arrays([pa.array(k[at]), pa.array(np.diff(np.r_[at, len(k)]))], ["k", "m"]),
                 )
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.ones(j - i, np.int64)), pa.array(np.diff(bounds))]
-                    + [pa.array(add((c > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(lm)), tail],
+                    + [pa.array(add((n[place] > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(lm)), tail],
                     ["doc_id", "version", "rows", "n_tokens", "n_known", "base", "score", "tail"],
                 )
 
     parts = written(keyed.mapInArrow(run, schema))
-    rare = parts.select("doc_id", "version", F.inline("tail")).join(counts, "k", "left")
+    rare = parts.select("doc_id", "version", F.inline("tail")).join(known.counts, "k", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     log = F.col("m") * F.log10((c + 0.1) / F.lit(floor))
     none = F.lit(0).cast("long")

@@ -260,13 +260,55 @@ def test_lm(spark, messy, messy_rows, nothing, monkeypatch):
     assert lm.scored(nothing).count() == 0
 
 
-def test_lm_is_normalised_and_better_than_unigrams(spark, sf_dir, monkeypatch):
+def brute_score(known, text) -> float:
+    """The score of a text from the learned parameters: a softmax among siblings at each node of each token's path."""
+    import math
+
     import numpy as np
 
-    model = lm.fresh(np.full(7, 1 / 7), 8)
+    words = [brute.fold(w) for w in brute.words(text)]
+    hashes = [int(h) for h in lm.tokens(np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))]))[0]]
+    m, place = known.model, {int(h): int(p) for h, p in zip(known.head.hashes, known.head.places, strict=True)}
+    counts = {r.k & (1 << 64) - 1: r.n for r in known.counts.collect()}
+    other = m.targets - 1
+    symbol = [min(place.get(h, other), other) for h in hashes]
+    total = 0.0
+    for i, w in enumerate(symbol):
+        one, two = (symbol[i - k] if i >= k else m.targets for k in (1, 2))
+        q = m.rows[m.dense] * m.rows[one] + m.rows[m.dense + 1] * m.rows[two]
+        node = w
+        for level in range(lm.LEVELS):
+            parent = node // m.fan
+            scores = {}
+            for x in range(parent * m.fan, min((parent + 1) * m.fan, m.sizes[level])):
+                scores[x] = math.exp(float(q @ m.rows[m.starts[level] + x]) + float(m.bias[m.starts[level] + x]))
+            total += math.log10(scores[node] / sum(scores.values()))
+            node = parent
+        if w == other:
+            total += math.log10((counts.get(hashes[i], 0) + 0.1) / known.floor / known.rest)
+    return total
+
+
+def test_lm_scores_by_value(spark, messy, messy_rows, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_COUNT", 3)
+    for head in (lm.HEAD, 50):
+        monkeypatch.setattr(lm, "HEAD", head)
+        known = lm.learned(messy)
+        got = sorted((str(r.doc_id), r.n_tokens, round(r.score, 2)) for r in lm.scored(messy, known).collect())
+        # Broadcast parameters have 16 bits.
+        known.model = lm.unpacked(*known.model.packed())
+        want = sorted((str(d), len(brute.words(t)) + 1, round(brute_score(known, t), 2)) for d, t, _ in messy_rows)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-3)
+
+
+def test_lm_is_normalised_and_better_than_unigrams(spark, sf_dir):
+    import numpy as np
+
+    model = lm.fresh(np.full(7, 1 / 7))
     one, two = (x.ravel() for x in np.meshgrid(np.arange(8), np.arange(8)))
-    total = sum(np.exp(model.log_probabilities(np.full(64, w), one, two, model.normaliser())) for w in range(7))
-    assert total == pytest.approx(np.ones(64))
+    total = sum(np.exp(model.log_probabilities(np.full(64, w), one, two)) for w in range(7))
+    assert total == pytest.approx(np.ones(64), abs=1e-4)
     out = lm.op10_lm_scoring(spark, sf_dir).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
 
@@ -276,17 +318,28 @@ def test_lm_trains_on_all_documents_and_words(spark, monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(lm, "STEPS", 2)
+    monkeypatch.setattr(lm, "LEAST_COUNT", 1)
     docs = [(i, f"w{i} x{i} y{i} w{i} x{i} y{i}") for i in range(900)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     models, fresh = [], lm.fresh
-    average = lm.averaged
-    monkeypatch.setattr(lm, "averaged", lambda *a: models.append(average(*a)) or models[-1])
-    monkeypatch.setattr(lm, "fresh", lambda *a: models.append(fresh(*a)) or lm.Model(models[-1].rows.copy(), models[-1].targets, models[-1].contexts))
-    lm.scored(df).count()
-    first, last = models[0], models[-1]
+    monkeypatch.setattr(lm, "fresh", lambda *a: models.append(fresh(*a)) or fresh(*a))
+    last = lm.learned(df).model
+    first = models[0]
     kinds = 3 * df.filter(~lm.held_out_column(F.col("doc_id"))).count() + 1
-    assert len(models) == lm.ROUNDS + 1 and first.targets == kinds + 1 > 2000
-    assert np.any(first.context[1:kinds] != last.context[1:kinds], axis=1).all()  # 0 is the end, which nothing follows
-    assert np.any(first.target[0][:kinds] != last.target[0][:kinds], axis=1).all()
+    assert first.targets == kinds + 1 > 2000
+    moved = np.any(first.rows != last.rows, axis=1)
+    assert moved[1:kinds].all()  # as contexts; 0 is the end, which nothing follows
+    assert moved[first.starts[0] : first.starts[0] + kinds].all()  # as targets
     w, c = np.arange(first.targets), np.full(first.targets, 5)
     assert np.exp(last.log_probabilities(w, c, c)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_head_finds_tokens():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    hashes = r.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    hashes[:50] = np.arange(50)  # crowd one slot
+    head = lm.Head(hashes, np.ones(5000, np.int64))
+    assert (head.of(hashes) == np.arange(5000)).all() and (head.of(hashes + np.uint64(1))[50:] == 5000).all()
+    assert (lm.Head(hashes[:0], np.ones(0, np.int64)).of(hashes) == 0).all()
