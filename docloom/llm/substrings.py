@@ -13,8 +13,11 @@ content (winnowing), then compares hashes of whole zones and of 400-byte strings
    full 400 bytes, with one zone for each name of the group. A group of more than HOT such zones is not
    gathered: its strings are counted by an aggregate.
 
-Names are 128-bit hashes in rounds 1 (64 bits, which only select candidates) and 2, and in round 3 64 bits
-within an anchor group, or 128 bits in the aggregate.
+The same rounds run over words: strings of 51 words, with anchors of 11, are passages of over 50 words, which may have
+fewer than 400 bytes or other white space. They are reported, as words covered by a passage that also starts elsewhere,
+and not removed.
+
+Names are 128-bit hashes, and 64-bit ones in round 1, which only selects candidates.
 
 Defined results for odd input: text is UTF-8 bytes, null as empty; a text shorter than 400 bytes keeps all;
 repeated rows repeat each other's strings, with equal results; rows with equal or null doc_id are told
@@ -32,36 +35,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textkernel as tk
-from docloom.llm.shared import written
+from docloom.llm.shared import dropped, marked, written
 
 LENGTH = 400
-ANCHOR = 96
 HOT = 4096
-
-_ZONES = "doc_id long, version long, first int, last int, anchor int, k1 long, k2a long, k2b long"
-_BYTES = "k1 long, hot boolean, known boolean, doc_id long, version long, first int, anchor int, bytes binary"
-_RUNS = "doc_id long, version long, first int, last int"
+#: Length of the strings and of their anchors, in bytes and in words.
+BYTES, WORDS = 0, 1
+UNITS = ((LENGTH, 96), (51, 11))
+
+_PLACES = "unit int, first int, last int, anchor int, begin int, end int"
+_ZONES = f"doc_id long, version long, {_PLACES}, k1 long, k2a long, k2b long"
+_BYTES = "k1 long, hot boolean, known boolean, doc_id long, version long, unit int, first int, anchor int, bytes binary"
+_RUNS = "doc_id long, version long, unit int, first int, last int"
 _PLACE = tk.U((1 << 21) - 1)
 
 
-def _sums(x: np.ndarray, seed: int) -> np.ndarray:
-    up, _ = tk.POWERS.get(len(x) + 1)
-    sums = np.zeros(len(x) + 1, tk.U)
-    np.cumsum(tk.byte_table(seed)[x] * up[:-1], out=sums[1:])
+def _sums(values: np.ndarray) -> np.ndarray:
+    up, _ = tk.POWERS.get(len(values) + 1)
+    sums = np.zeros(len(values) + 1, tk.U)
+    np.cumsum(values * up[:-1], out=sums[1:])
     return sums
 
 
-def find_zones(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Zones (first, last, anchor, k1, k2a, k2b) of the documents; places count in ``raw``."""
-    n, width = len(raw), LENGTH - ANCHOR + 1
+def _values(x: np.ndarray, unit: int, seed: int) -> np.ndarray:
+    """A 64-bit value for each byte, or for each word's hash."""
+    return tk.byte_table(seed)[x] if unit == BYTES else tk.mixed(x + tk.U(seed))
+
+
+def find_zones(x: np.ndarray, offsets: np.ndarray, unit: int = BYTES) -> Iterator[tuple[np.ndarray, ...]]:
+    """Zones (first, last, anchor, k1, k2a, k2b) of the documents, whose bytes or words are x; places count in x."""
+    whole_length, short = UNITS[unit]
+    n, width = len(x), whole_length - short + 1
     for begin in range(0, n, tk.SLICE):
         end = min(begin + tk.SLICE, n)
-        x = raw[begin : min(end + LENGTH - 1, n)]
-        if len(x) < LENGTH:
+        part = x[begin : min(end + whole_length - 1, n)]
+        if len(part) < whole_length:
             continue
-        _, down = tk.POWERS.get(len(x) + 1)
-        s, t = _sums(x, 11), _sums(x, 12)
-        grams = tk.mixed((s[ANCHOR:] - s[:-ANCHOR]) * down[:-ANCHOR])
+        _, down = tk.POWERS.get(len(part) + 1)
+        s, t = _sums(_values(part, unit, 11)), _sums(_values(part, unit, 12))
+        grams = tk.mixed((s[short:] - s[:-short]) * down[: len(s) - short] + tk.U(unit))
         # The least of each window of grams, the leftmost of equals: place in the low bits.
         least, span = (grams & ~_PLACE) | np.arange(len(grams), dtype=tk.U), 1
         m = len(grams) - width + 1
@@ -69,15 +81,15 @@ def find_zones(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
             least, span = np.minimum(least[:-span], least[span:]), span * 2
         least = np.minimum(least[:m], least[width - span : width - span + m])[: end - begin]
         places = np.arange(len(least)) + begin
-        whole = places + LENGTH <= offsets[np.searchsorted(offsets, places, "right")]
+        whole = places + whole_length <= offsets[np.searchsorted(offsets, places, "right")]
         new, old = whole.copy(), whole.copy()
         change = least[1:] != least[:-1]
         new[1:] &= ~whole[:-1] | change
         old[:-1] &= ~whole[1:] | change
         first, last = np.flatnonzero(new), np.flatnonzero(old)
         anchor = (least[first] & _PLACE).astype(np.int64)
-        shape = ((last - first) * LENGTH + (anchor - first)).astype(tk.U)
-        u, v = ((q[last + LENGTH] - q[first]) * down[first] for q in (s, t))
+        shape = ((last - first) * whole_length + (anchor - first)).astype(tk.U)
+        u, v = ((q[last + whole_length] - q[first]) * down[first] for q in (s, t))
         k2a, k2b = tk.mixed(u + tk.mixed(v + shape)), tk.mixed(v + tk.mixed(u ^ (shape + tk.U(1))))
         yield first + begin, last + begin, anchor + begin, grams[anchor], k2a, k2b
 
@@ -85,15 +97,19 @@ def find_zones(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
 def _zone_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = tk.text_bytes(batch.column(2))
-        for first, last, anchor, *names in find_zones(raw, offsets):
-            doc = np.searchsorted(offsets, first, "right") - 1
-            rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows)]
-                + [pa.array((c - offsets[doc]).astype(np.int32)) for c in (first, last, anchor)]
-                + [pa.array(c.astype(np.int64)) for c in names],
-                ["doc_id", "version", "first", "last", "anchor", "k1", "k2a", "k2b"],
-            )
+        words, starts, ends, bounds = tk.placed_words(raw, offsets)
+        for unit, x, at in ((BYTES, raw, offsets), (WORDS, words, bounds)):
+            for first, last, anchor, *names in find_zones(x, at, unit):
+                doc = np.searchsorted(at, first, "right") - 1
+                rows = pa.array(doc)
+                begin, end = (first, last + LENGTH) if unit == BYTES else (starts[first], ends[last + UNITS[WORDS][0] - 1])
+                numbers = [np.full(len(doc), unit), *(c - at[doc] for c in (first, last, anchor)), begin - offsets[doc], end - offsets[doc]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows)]
+                    + [pa.array(c.astype(np.int32)) for c in numbers]
+                    + [pa.array(c.astype(np.int64)) for c in names],
+                    ["doc_id", "version", "unit", "first", "last", "anchor", "begin", "end", "k1", "k2a", "k2b"],
+                )
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,52 +127,65 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
 
 
-def _with_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+def _joined(text: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
     """Documents, their text compressed for the shuffle, joined with a list for each document."""
-    text = _keyed(docs).mapInArrow(_packed, "doc_id long, version long, z binary")
+    packed = text.select("doc_id", "version", "text").mapInArrow(_packed, "doc_id long, version long, z binary")
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "list")
-    same = text["doc_id"].eqNullSafe(lists["_id"]) & (text["version"] == lists["_version"])
-    return text.join(lists, same, how).select("doc_id", "version", "z", "list")
+    same = packed["doc_id"].eqNullSafe(lists["_id"]) & (packed["version"] == lists["_version"])
+    return packed.join(lists, same, how).select("doc_id", "version", "z", "list")
+
+
+def _maybe(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    key = F.xxhash64("doc_id", "version")
+    return marked(_keyed(docs), key, lists, key)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the listed zones."""
     unpack = zstandard.ZstdDecompressor().decompress
-    names = ["k1", "hot", "known", "doc_id", "version", "first", "anchor", "bytes"]
     for batch in batches:
         rows, size = [], 0
         for doc_id, version, z, zones in zip(*(batch.column(k) for k in range(4)), strict=True):
             text = unpack(z.as_py())
             for q in zones.as_py():
-                piece = text[q["first"] : q["last"] + LENGTH]
-                rows.append((q["k1"], q["hot"], q["known"], doc_id.as_py(), version.as_py(), q["first"], q["anchor"], piece))
+                piece = text[q["begin"] : q["end"]]
+                rows.append((q["k1"], q["hot"], q["known"], doc_id.as_py(), version.as_py(), q["unit"], q["first"], q["anchor"], piece))
                 size += len(piece)
             if size > 8 << 20:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], _CUT_TYPE)
+                yield pa.RecordBatch.from_pylist([dict(zip(_CUT_TYPE.names, r, strict=True)) for r in rows], _CUT_TYPE)
                 rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], _CUT_TYPE)
+            yield pa.RecordBatch.from_pylist([dict(zip(_CUT_TYPE.names, r, strict=True)) for r in rows], _CUT_TYPE)
 
 
 _CUT_TYPE = pa.schema(
     [("k1", pa.int64()), ("hot", pa.bool_()), ("known", pa.bool_()), ("doc_id", pa.int64()), ("version", pa.int64()),
-     ("first", pa.int32()), ("anchor", pa.int32()), ("bytes", pa.binary())]
+     ("unit", pa.int32()), ("first", pa.int32()), ("anchor", pa.int32()), ("bytes", pa.binary())]
 )
 
 
-def _strings(t: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """All 400-byte strings of the zones: zone, place in the document, and two hashes with the offset of the anchor."""
-    data = t.column("bytes").cast(pa.large_binary())
+def _by_unit(t: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    units = t.column("unit").to_numpy()
+    for unit in (BYTES, WORDS):
+        if (units == unit).any():
+            yield unit, t.filter(pa.array(units == unit))
+
+
+def _strings(t: pa.RecordBatch, unit: int) -> tuple[np.ndarray, ...]:
+    """All strings of the zones: zone, place in the document, and two hashes with the offset of the anchor."""
+    data, length = t.column("bytes").cast(pa.large_binary()), UNITS[unit][0]
     at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
     x = np.frombuffer(data.buffers()[2], np.uint8)[at[0] : at[-1]]
     at = at - at[0]
-    counts = np.diff(at) - LENGTH + 1
+    if unit == WORDS:
+        x, at = tk.word_hashes(x, at)
+    counts = np.diff(at) - length + 1
     zone = np.repeat(np.arange(len(counts)), counts)
     step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     first = t.column("first").to_numpy().astype(np.int64)
     s = at[:-1][zone] + step
     _, down = tk.POWERS.get(len(x) + 1)
-    u, v = ((q[s + LENGTH] - q[s]) * down[s] for q in (_sums(x, 13), _sums(x, 14)))
+    u, v = ((q[s + length] - q[s]) * down[s] for q in (_sums(_values(x, unit, 13)), _sums(_values(x, unit, 14))))
     place = first[zone] + step
     offset = (t.column("anchor").to_numpy().astype(np.int64)[zone] - place).astype(tk.U)
     k1 = t.column("k1").to_numpy().astype(tk.U)[zone]
@@ -165,20 +194,22 @@ def _strings(t: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 def _runs(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of repeated strings in the zones that round 2 left alone; all zones of a group are in t."""
-    if not t.num_rows:
-        return
-    zone, place, h, _ = _strings(t)
-    _, back, counts = np.unique(h, return_inverse=True, return_counts=True)
-    again = (counts[back] > 1) & ~t.column("known").to_numpy(zero_copy_only=False)[zone]
-    z, p = zone[again], place[again]
-    if len(z):
-        new = np.r_[True, (z[1:] != z[:-1]) | (p[1:] != p[:-1] + 1)]
-        rows = pa.array(z[new])
-        yield pa.RecordBatch.from_arrays(
-            [t.column("doc_id").take(rows), t.column("version").take(rows)]
-            + [pa.array(c.astype(np.int32)) for c in (p[new], p[np.r_[new[1:], True]])],
-            ["doc_id", "version", "first", "last"],
-        )
+    for unit, own in _by_unit(t):
+        zone, place, h, g = _strings(own, unit)
+        order = np.lexsort((g, h))
+        same = np.r_[False, (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1]), False]
+        again = np.zeros(len(h), bool)
+        again[order] = same[1:] | same[:-1]
+        again &= ~own.column("known").to_numpy(zero_copy_only=False)[zone]
+        z, p = zone[again], place[again]
+        if len(z):
+            new = np.r_[True, (z[1:] != z[:-1]) | (p[1:] != p[:-1] + 1)]
+            rows = pa.array(z[new])
+            yield pa.RecordBatch.from_arrays(
+                [own.column(c).take(rows) for c in ("doc_id", "version", "unit")]
+                + [pa.array(c.astype(np.int32)) for c in (p[new], p[np.r_[new[1:], True]])],
+                ["doc_id", "version", "unit", "first", "last"],
+            )
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,28 +234,28 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
-            t = batch.slice(i, 512)
-            zone, place, h, g = _strings(t)
-            rows = pa.array(zone)
-            yield pa.RecordBatch.from_arrays(
-                [t.column("doc_id").take(rows), t.column("version").take(rows), pa.array(place.astype(np.int32)),
-                 t.column("known").take(rows), pa.array(h.astype(np.int64)), pa.array(g.astype(np.int64))],
-                ["doc_id", "version", "first", "known", "h", "g"],
-            )
+            for unit, t in _by_unit(batch.slice(i, 512)):
+                zone, place, h, g = _strings(t, unit)
+                rows = pa.array(zone)
+                yield pa.RecordBatch.from_arrays(
+                    [t.column(c).take(rows) for c in ("doc_id", "version", "unit")]
+                    + [pa.array(place.astype(np.int32)), t.column("known").take(rows), pa.array(h.astype(np.int64)), pa.array(g.astype(np.int64))],
+                    ["doc_id", "version", "unit", "first", "known", "h", "g"],
+                )
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Runs of places where a repeated 400-byte string starts: doc_id, version, first, last; runs may overlap."""
+    """Runs of places where a repeated string starts, for each unit: doc_id, version, unit, first, last; runs may overlap."""
     zones = _keyed(docs).mapInArrow(_zone_rows, _ZONES)
-    shared = zones.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1")
-    zones = written(zones.join(shared, "k1").select(*zones.columns))
-    names = written(
-        zones.groupBy("k1", "k2a", "k2b").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "version", "first", "last", "anchor")).alias("zone")
-        )
-    )
+    # Written, so that both sides of the join are plain exchanges, whose hot partitions adaptive execution splits.
+    shared = written(zones.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1"))
+    some = marked(zones, F.col("k1"), shared, F.col("k1")).filter("maybe").select(*zones.columns)
+    zones = written(some.join(shared, "k1").select(*zones.columns))
+    dropped(shared)
+    place = F.struct("doc_id", "version", "unit", "first", "last", "anchor", "begin", "end")
+    names = written(zones.groupBy("k1", "k2a", "k2b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("zone")))
     whole = names.filter("n > 1").select("k2a", "k2b")
-    runs = zones.join(whole, ["k2a", "k2b"]).select("doc_id", "version", "first", "last")
+    runs = zones.join(whole, ["k2a", "k2b"]).select("doc_id", "version", "unit", "first", "last")
     mixed_groups = (
         names.groupBy("k1")
         .agg(F.count(F.lit(1)).alias("names"), F.min("n").alias("least"))
@@ -233,59 +264,81 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     )
     wanted = names.join(mixed_groups, "k1").select(
         "zone.doc_id", "zone.version",
-        F.struct("k1", "hot", (F.col("n") > 1).alias("known"), "zone.first", "zone.last", "zone.anchor").alias("q"),
+        F.struct("k1", "hot", (F.col("n") > 1).alias("known"), *[f"zone.{c}" for c in ("unit", "first", "last", "anchor", "begin", "end")]).alias("q"),
     )
-    lists = wanted.groupBy("doc_id", "version").agg(F.collect_list("q").alias("list"))
+    lists = written(wanted.groupBy("doc_id", "version").agg(F.collect_list("q").alias("list")))
     # Repeated rows of a document would cut its zones again.
     pieces = written(
-        _with_text(docs, lists, "inner").mapInArrow(_cut, _BYTES).dropDuplicates(["doc_id", "version", "first"])
+        _joined(_maybe(docs, lists).filter("maybe"), lists).mapInArrow(_cut, _BYTES).dropDuplicates(["doc_id", "version", "unit", "first"])
     )
+    dropped(lists)
     runs = runs.union(
         pieces.filter("NOT hot").repartition("k1").sortWithinPartitions("k1").mapInArrow(_compared, _RUNS)
     )
     if pieces.filter("hot").limit(1).count():
         strings = pieces.filter("hot").mapInArrow(
-            _counted, "doc_id long, version long, first int, known boolean, h long, g long"
+            _counted, "doc_id long, version long, unit int, first int, known boolean, h long, g long"
         )
         again = strings.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g")
         found = strings.filter("NOT known").join(again, ["h", "g"])
-        runs = runs.union(found.select("doc_id", "version", "first", F.col("first").alias("last")))
-    return runs
+        runs = runs.union(found.select("doc_id", "version", "unit", "first", F.col("first").alias("last")))
+    out = written(runs)
+    dropped(zones, names, pieces)
+    return out
+
+
+def _merged(runs: list[tuple[int, int]], length: int) -> list[list[int]]:
+    spans: list[list[int]] = []
+    for first, last in sorted(runs):
+        if spans and first <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], last + length)
+        else:
+            spans.append([first, last + length])
+    return spans
+
+
+_KEPT = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+     ("kept", pa.binary()), ("passage_words", pa.int64())]
+)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names = ["doc_id", "n_bytes", "spans", "kept"]
-    kinds = [pa.int64(), pa.int64(), span, pa.binary()]
     for batch in batches:
         rows, size = [], 0
         for doc_id, z, runs in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
-            text, spans, kept, at = unpack(z.as_py()), [], [], 0
-            for first, last in sorted((r["first"], r["last"]) for r in runs.as_py() or ()):
-                if spans and first <= spans[-1]["end"]:
-                    spans[-1]["end"] = max(spans[-1]["end"], last + LENGTH)
-                else:
-                    spans.append({"start": first, "end": last + LENGTH})
-            for s in spans:
-                kept.append(text[at : s["start"]])
-                at = s["end"]
-            rows.append((doc_id.as_py(), len(text), spans, b"".join([*kept, text[at:]])))
+            text, runs = unpack(z.as_py()), runs.as_py() or ()
+            spans, passages = (_merged([(r["first"], r["last"]) for r in runs if r["unit"] == u], UNITS[u][0]) for u in (BYTES, WORDS))
+            kept, at = [], 0
+            for start, end in spans:
+                kept.append(text[at:start])
+                at = end
+            words = sum(end - start for start, end in passages)
+            rows.append((doc_id.as_py(), len(text), [{"start": a, "end": b} for a, b in spans], b"".join([*kept, text[at:]]), words))
             size += len(text)
             if size > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KEPT.types, strict=True)], schema=_KEPT)
                 rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KEPT.types, strict=True)], schema=_KEPT)
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, spans removed (start, end), kept bytes."""
-    runs = written(repeated_runs(docs))
-    lists = runs.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "last")).alias("list"))
-    return _with_text(docs, lists, "left").mapInArrow(
-        _kept, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
+    """One row per row of ``docs``: doc_id, n_bytes, spans removed (start, end), kept bytes, words in repeated passages."""
+    runs = repeated_runs(docs)
+    lists = written(runs.groupBy("doc_id", "version").agg(F.collect_set(F.struct("unit", "first", "last")).alias("list")))
+    dropped(runs)
+    rows = _maybe(docs, lists)
+    changed = _joined(rows.filter("maybe"), lists, "left").mapInArrow(
+        _kept, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, passage_words long"
     )
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    same = rows.filter("NOT maybe").select(
+        "doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.array().cast(changed.schema["spans"].dataType).alias("spans"),
+        raw.alias("kept"), F.lit(0).cast("long").alias("passage_words"),
+    )
+    return changed.union(same)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,4 +350,5 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "passage_words",
     )

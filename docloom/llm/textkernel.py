@@ -104,17 +104,25 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int
         begin = end
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: bool = False, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and the offsets of each document's words in them."""
+def placed_words(raw: np.ndarray, offsets: np.ndarray, fold: bool = False, seed: int = 1) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all words in order, their starts and ends in ``raw``, and the offsets of each document's words."""
     table = byte_table(seed)[FOLDED if fold else SAME]
-    hashes, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    hashes, starts, ends = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for begin, end, s, e in word_bounds(raw, offsets):
         up, down = POWERS.get(end - begin + 1)
         sums = np.zeros(end - begin + 1, U)
         np.cumsum(table[raw[begin:end]] * up[:-1], out=sums[1:])
         hashes.append(mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(U)))
-        places.append(s + begin)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
+        starts.append(s + begin)
+        ends.append(e + begin)
+    starts = np.concatenate(starts)
+    return np.concatenate(hashes), starts, np.concatenate(ends), np.searchsorted(starts, offsets)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: bool = False, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and the offsets of each document's words in them."""
+    hashes, _, _, bounds = placed_words(raw, offsets, fold, seed)
+    return hashes, bounds
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -35,6 +35,20 @@ def substrings(rows: list[tuple], length: int = 400) -> list[tuple]:
     return out
 
 
+def passages(rows: list[tuple], length: int = 51) -> list[tuple]:
+    """(doc_id, words in strings of ``length`` words that also start elsewhere)."""
+    data = [(i, words(t)) for i, t in rows]
+    seen = Counter(tuple(w[p : p + length]) for _, w in data for p in range(len(w) - length + 1))
+    out = []
+    for i, w in data:
+        covered = [False] * len(w)
+        for p in range(len(w) - length + 1):
+            if seen[tuple(w[p : p + length])] > 1:
+                covered[p : p + length] = [True] * length
+        out.append((i, sum(covered)))
+    return out
+
+
 def shingles(text: str | None, n: int = 5) -> frozenset:
     w = words(text)
     return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()

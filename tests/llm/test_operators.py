@@ -155,17 +155,20 @@ def test_slices(spark, sf_dir, monkeypatch):
 @pytest.mark.parametrize("hot", [4096, 0])
 def test_substrings(spark, messy, messy_rows, nothing, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
-    out = substrings.dedup_substrings(messy)
-    res = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect()]
+    out = substrings.dedup_substrings(messy).collect()
+    res = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out]
     want = brute.substrings([r[:2] for r in messy_rows])
     assert sorted(res, key=str) == sorted(want, key=str) and sum(w[2] for w in want) > 3000
+    want = brute.passages([r[:2] for r in messy_rows])
+    assert sorted([(r.doc_id, r.passage_words) for r in out], key=str) == sorted(want, key=str) and sum(w > 0 for _, w in want) > 5
     if hot:
         assert substrings.dedup_substrings(nothing).count() == 0
 
 
 def test_substrings_query(spark, sf_dir):
     docs = duck(sf_dir).execute("SELECT doc_id, text FROM documents").fetchall()
-    assert got(substrings.op6_substring_dedup(spark, sf_dir)) == sorted(brute.substrings(docs), key=str)
+    want = [(*a, b[1]) for a, b in zip(brute.substrings(docs), brute.passages(docs), strict=True)]
+    assert got(substrings.op6_substring_dedup(spark, sf_dir)) == sorted(want, key=str)
 
 
 # URL filters
