@@ -11,8 +11,10 @@ similarity of their sets is 0.8 or more. Steps:
 3. The classes around a hub are compared value by value, 16 more at a time. With a uniform prior, after
    m of n equal values the similarity is 0.8 or more with probability P(Bin(n + 1, 0.8) <= m); a pair for which that is
    below TOLERANCE is dropped. What is left of a group is told as a spanning forest, not as pairs.
-4. Components of those forests hold every pair that may be linked. Within them the sets themselves are
-   compared, exactly, and each class is told its links and a forest of its linked group.
+4. Components of those forests hold every pair that may be linked. Within one, each class's set is told as its
+   difference from the set of the component's least class, so that what is compared is short for near copies, and no
+   text is sent to a pair. Those differences are compared, exactly, and each class is told its links and a forest
+   of its linked group.
 
 Groups of any size are cut into blocks, and a task holds two blocks at a time, so no group is gathered.
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import textkernel as tk
 from docloom.llm.components import components
-from docloom.llm.shared import written
+from docloom.llm.shared import dropped, marked, written
 
 THRESHOLD = Fraction(4, 5)
 WORDS = 5
@@ -124,18 +126,21 @@ def grouped(rows: DataFrame, keys: list[str], run: Callable, schema: str) -> Dat
 
 
 def in_blocks(members: DataFrame, group: str) -> DataFrame:
-    """Each member once for every pair of blocks that its block is in: columns i <= j, own (the member's block)."""
+    """Each member with its group's number of blocks, and own, the one that it is in."""
     sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     # Only groups of several blocks are joined, each once a salt, so that a large one spreads over the tasks.
     large = sizes.filter("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     place = F.xxhash64("id", "version")
     salted = members.withColumn("salt", F.pmod(place, F.lit(SALTS)).cast("int")).join(large, [group, "salt"], "left")
-    placed = salted.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(place, F.col("blocks")).cast("int"))
-    pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    other = placed.select("*", pairs.alias("other"))
-    return other.select(
-        *members.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
+    placed = salted.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return placed.select(*members.columns, "blocks", F.pmod(place, F.col("blocks")).cast("int").alias("own"))
+
+
+def paired(placed: DataFrame) -> DataFrame:
+    """Each member once for every pair of blocks i <= j that its block is in."""
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = [c for c in placed.columns if c != "blocks"]
+    return other.select(*columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
 def _pairs(sig: np.ndarray, own: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,6 +206,51 @@ def _pruned(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _told(ids, versions, np.zeros(len(ids), np.int64), x, y, nulls)
 
 
+_TOLD = "grp long, own int, blocks int, id long, version long, copies long, sig binary, apart binary, gone long, base long"
+
+
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    words, bounds = tk.word_hashes(*tk.text_bytes(texts))
+    h, at = tk.shingle_hashes(words, bounds, WORDS)
+    return [np.unique(h[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member's set as apart, the hashes that only it or only its group's first set has; gone, how many of them it
+    lacks; base, the size of the first set. The first set leads the rows of each (grp, own)."""
+    key, first = None, np.zeros(0, tk.U)
+    for batch in batches:
+        at = {c: batch.schema.get_field_index(c) for c in batch.schema.names}
+        grp, own, leads = (batch.column(at[c]).to_numpy(zero_copy_only=False) for c in ("grp", "own", "leads"))
+        offsets = tk.text_bytes(batch.column(at["text"]))[1]
+        for i, j in tk.parts(offsets):
+            rows, apart, gone, base = [], [], [], []
+            for k, mine in zip(range(i, j), _sets(batch.column(at["text"])[i:j]), strict=True):
+                if leads[k]:
+                    key, first = (grp[k], own[k]), mine
+                    continue
+                assert key == (grp[k], own[k])
+                both = np.isin(first, mine, assume_unique=True)
+                lacks = first[~both]
+                rows.append(k)
+                apart.append(np.concatenate([lacks, mine[~np.isin(mine, first[both], assume_unique=True)]]).tobytes())
+                gone.append(len(lacks))
+                base.append(len(first))
+            out = batch.take(pa.array(rows, pa.int64())).select(["grp", "own", "blocks", "id", "version", "copies", "sig"])
+            more = [pa.array(apart, pa.binary()), pa.array(gone, pa.int64()), pa.array(base, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*out.columns, *more], [*out.schema.names, "apart", "gone", "base"])
+
+
+def differences(placed: DataFrame) -> DataFrame:
+    """`_differences` of members with their text; the first set of a group goes to each of its blocks."""
+    mine = F.array(F.struct(F.col("own"), F.lit(False).alias("leads")))
+    first = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("own"), F.lit(True).alias("leads")))
+    rows = placed.withColumn("to", F.explode(F.when(F.col("first"), F.concat(mine, first)).otherwise(mine)))
+    rows = rows.select("grp", F.col("to.own").alias("own"), F.col("to.leads").alias("leads"), "blocks", "id", "version", "copies", "sig", "text")
+    dealt = rows.repartition("grp", "own").sortWithinPartitions("grp", "own", F.desc("leads"), "id", "version")
+    return dealt.mapInArrow(_differences, _TOLD)
+
+
 def _verified(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if sum(b.num_rows for b in held) < 2:
         return
@@ -208,23 +258,25 @@ def _verified(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     x, y = _pairs(sig, own, i, j)
     if not len(x):
         return
-    words, bounds = tk.word_hashes(*tk.text_bytes(t["text"].combine_chunks() if t["text"].num_chunks != 1 else t["text"].chunk(0)))
-    h, at = tk.shingle_hashes(words, bounds, WORDS)
-    number = np.unique(h, return_inverse=True)[1]
-    sets = [np.unique(number[at[k] : at[k + 1]]) for k in range(len(ids))]
-    mark, linked = np.zeros(len(h) + 1, bool), np.zeros(len(x), bool)
+    packed = t["apart"].to_pylist()
+    number = np.unique(np.frombuffer(b"".join(packed), tk.U), return_inverse=True)[1]
+    ends = np.cumsum([0] + [len(p) // 8 for p in packed])
+    apart = [number[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    gone, base = t["gone"].to_numpy(), int(t["base"][0].as_py())
+    size = base - 2 * gone + np.diff(ends)
+    mark, linked = np.zeros(len(number) + 1, bool), np.zeros(len(x), bool)
     order = np.argsort(x, kind="stable")
     marked = -1
     for p in order.tolist():
         if x[p] != marked:
             if marked >= 0:
-                mark[sets[marked]] = False
+                mark[apart[marked]] = False
             marked = int(x[p])
-            mark[sets[marked]] = True
-        other = sets[y[p]]
-        both = int(np.count_nonzero(mark[other]))
-        union = len(sets[marked]) + len(other) - both
-        linked[p] = both * THRESHOLD.denominator >= THRESHOLD.numerator * union
+            mark[apart[marked]] = True
+        # Of the first set, both have all that neither lacks; of the rest, what both add.
+        shared = base - gone[marked] - gone[y[p]] + int(np.count_nonzero(mark[apart[y[p]]]))
+        union = size[marked] + size[y[p]] - shared
+        linked[p] = shared * THRESHOLD.denominator >= THRESHOLD.numerator * union
     x, y = x[linked], y[linked]
     if len(x):
         copies = t["copies"].to_numpy()
@@ -260,23 +312,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = written(bands.join(hubs, "band").select("hub", "a").distinct())
     # A clash of a, half the digest, only adds a candidate.
     around = near.join(classes.select("a", "id", "version", "sig"), "a").select("hub", "id", "version", "sig")
-    maybe = written(grouped(in_blocks(around, "hub"), ["hub", "i", "j"], _pruned, _FOREST))
-    groups = components(_edges(maybe)).select(
+    maybe = written(grouped(paired(in_blocks(around, "hub")), ["hub", "i", "j"], _pruned, _FOREST))
+    dropped(near)
+    groups = components(_edges(maybe))
+    dropped(maybe)
+    groups = groups.select(
         F.col("node.id").alias("id"), F.col("node.version").alias("version"),
-        F.xxhash64("label.id", "label.version").alias("grp"),
+        F.xxhash64("label.id", "label.version").alias("grp"), (F.col("node") == F.col("label")).alias("first"),
     )
     same = lambda l, r: l["id"].eqNullSafe(r["id"]) & (l["version"] == r["version"])
     few = classes.select("id", "version", "copies", "sig")
-    members = few.join(groups, same(few, groups)).select(few["id"], few["version"], "copies", "sig", "grp")
+    members = few.join(groups, same(few, groups)).select(few["id"], few["version"], "copies", "sig", "grp", "first")
+    members = written(in_blocks(members, "grp"))
+    # Only texts of members are shuffled; repeated rows of a document are one member, and the text goes with it.
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("version"), "text")
-    members = written(members)
-    # Repeated rows of a document are one member; the text goes with it.
+    key = F.xxhash64("id", "version")
+    texts = marked(texts, key, members, key).filter("maybe").select("id", "version", "text")
     full = (
         members.join(texts, same(members, texts))
-        .groupBy(members["id"], members["version"], "copies", "grp")
+        .groupBy(*[members[c] for c in ("id", "version", "copies", "grp", "first", "blocks", "own")])
         .agg(F.first("sig").alias("sig"), F.first("text").alias("text"))
     )
-    sure = written(grouped(in_blocks(full, "grp"), ["grp", "i", "j"], _verified, _FOREST))
+    sure = written(grouped(paired(differences(full)), ["grp", "i", "j"], _verified, _FOREST))
+    dropped(members)
     labels = components(_edges(sure)).select("node", "label")
     degrees = sure.groupBy(F.struct("id", "version").alias("node")).agg(F.sum("links").alias("links"))
     linked = labels.join(degrees, "node").select(
