@@ -1,16 +1,21 @@
 """Column functions on paths and chunk texts, all built from Spark's own expressions.
 
-Lengths count code points. Null in gives null out unless a function says otherwise.
+Lengths count code points, but for token estimates, which count UTF-16 units. Null in gives null out unless a
+function says otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions import rules
 
-_EDGE = r"[\s ﻿]"
+_EDGE = "[\\s\\u00a0\\ufeff]"
 
 
 def trimmed(c: Column) -> Column:
@@ -19,7 +24,13 @@ def trimmed(c: Column) -> Column:
 
 
 def estimate_tokens(c: Column) -> Column:
-    return F.ceil(F.length(c) / rules.CHARS_PER_TOKEN).cast("int")
+    units = F.octet_length(F.encode(c, "UTF-16BE")) / 2
+    return F.ceil(units / rules.CHARS_PER_TOKEN).cast("int")
+
+
+def on_lower(content: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(lower(content))``, the lower-cased text made once however often f looks at it."""
+    return F.get(F.transform(F.array(F.lower(content)), f), 0)
 
 
 def file_name(path: Column) -> Column:
@@ -50,19 +61,18 @@ def extract_category(path: Column, content: Column, product: str | None = None)
         F.try_element_at(names, F.replace(name, F.lit("."), F.lit("-"))),
         F.when(name.contains("-vs-"), F.lit("comparison")),
     ]
-    lower = F.lower(content)
-    for words, c in rules.CONTENT_CATEGORIES:
-        found = F.lit(False)
-        for w in rules.of_product(words, product):
-            found = found | lower.contains(w)
-        tiers.append(F.when(found, F.lit(c)))
-    return F.coalesce(*tiers, F.lit(rules.DEFAULT_CATEGORY))
+
+    def by_content(lower: Column) -> Column:
+        found = [(reduce(or_, map(lower.contains, rules.of_product(words, product))), c) for words, c in rules.CONTENT_CATEGORIES]
+        return F.coalesce(*[F.when(hit, F.lit(c)) for hit, c in found])
+
+    return F.coalesce(*tiers, on_lower(content, by_content), F.lit(rules.DEFAULT_CATEGORY))
 
 
 def extract_tags(content: Column, product: str | None = None, tags: tuple[str, ...] = rules.TAGS) -> Column:
     """The tags that occur in the text, in the list's order."""
-    lower = F.lower(content)
-    return F.array_compact(F.array(*[F.when(lower.contains(t), F.lit(t)) for t in rules.of_product(tags, product)]))
+    words = rules.of_product(tags, product)
+    return on_lower(content, lambda lower: F.array_compact(F.array(*[F.when(lower.contains(t), F.lit(t)) for t in words])))
 
 
 def extract_code_languages(content: Column, opening_fences_only: bool = False) -> Column:

@@ -22,22 +22,22 @@ def version_stats(chunks: DataFrame) -> DataFrame:
         F.countDistinct("sourceFile").alias("files"), F.count(F.lit(1)).alias("chunks"), F.count_if("hasCode").alias("withCode"),
         F.sort_array(F.collect_set("category")).alias("categories"),
     )
-    tags = rows.select("kb_version", F.explode("tags").alias("tag")).distinct().groupBy("kb_version").agg(F.count(F.lit(1)).alias("n"))
+    # Not F.explode: the filter on empty arrays that Spark adds to it would compute the tags once more below.
+    exploded = rows.select("kb_version", F.explode_outer("tags").alias("tag")).distinct()
+    tags = exploded.groupBy("kb_version").agg(F.count("tag").alias("n"))
     return main.join(tags, "kb_version", "left").select(
         "kb_version", "files", "chunks", "withCode", "categories", F.coalesce("n", F.lit(0)).alias("tags")
     )
 
 
 def file_summary(chunks: DataFrame) -> DataFrame:
-    """For each file: chunks, tokens of the first, numbers of distinct categories, tags and sub-headings."""
-    main = chunks.groupBy("sourceFile").agg(
+    """For each file: chunks, tokens of the first, numbers of distinct categories, tags and sub-headings. One pass."""
+    kinds = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    return chunks.groupBy("sourceFile").agg(
         F.count(F.lit(1)).alias("chunks"), F.min_by("tokens", "chunk_index").alias("first_tokens"),
-        F.countDistinct("category").alias("categories"),
+        F.size(F.collect_set("category")).cast("long").alias("categories"), kinds("tags").alias("tags"),
+        kinds("subHeadings").alias("subheadings"),
     )
-    for c, name in (("tags", "tags"), ("subHeadings", "subheadings")):
-        n = chunks.select("sourceFile", F.explode(c).alias("x")).groupBy("sourceFile").agg(F.countDistinct("x").alias(name))
-        main = main.join(n, "sourceFile", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return main
 
 
 def category_index(chunks: DataFrame) -> DataFrame:

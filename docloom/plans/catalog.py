@@ -108,17 +108,16 @@ def subheadings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH x AS (SELECT doc_id, substr(text, 1, 200) AS s, regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS g FROM documents)
+    r"""WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS g FROM documents)
     SELECT doc_id, substr(g, 1, 40) AS slug, 'docs/contrib/19700101T000000Z-' || substr(g, 1, 40) AS branch,
       CASE WHEN doc_id % 86400 < 60 THEN (doc_id % 86400) || 's ago' WHEN doc_id < 3600 THEN doc_id // 60 || 'm ago' WHEN doc_id < 86400 THEN doc_id // 3600 || 'h ago'
            ELSE doc_id // 86400 || 'd ago' END AS age FROM x"""
 )
 def names(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring("text", 1, 200)
     return t.read(spark, d, "documents").select(
         "doc_id",
-        text.slugify(head).alias("slug"),
-        text.branch_name(head, F.lit("1970-01-01 00:00:00").cast("timestamp")).alias("branch"),
+        text.slugify(F.col("text")).alias("slug"),
+        text.branch_name(F.col("text"), F.lit("1970-01-01 00:00:00").cast("timestamp")).alias("branch"),
         text.human_age(F.col("doc_id") * 1000).alias("age"),
     )
 
@@ -230,15 +229,15 @@ def dot_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id AS query_id, trim(substr(text, 1, doc_id % 40), ' ' || chr(9) || chr(10) || chr(13)) AS query,
+    """SELECT doc_id AS query_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS query,
       CASE WHEN doc_id % 4 = 0 THEN 'v5' WHEN doc_id % 4 = 1 THEN 'both' ELSE 'all' END AS version,
       (CASE WHEN doc_id % 7 = 0 THEN 10 WHEN doc_id % 7 = 1 THEN 0 WHEN doc_id % 7 = 2 THEN 10 ELSE least(doc_id % 120 + 1, 50) END)::INT AS "limit",
-      greatest(doc_id % 9 - 3, 0) AS tokens_budget FROM documents WHERE trim(substr(text, 1, doc_id % 40), ' ' || chr(9) || chr(10) || chr(13)) <> ''"""
+      greatest(doc_id % 9 - 3, 0) AS tokens_budget FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''"""
 )
 def normalize_queries(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
     rows = t.read(spark, d, "documents").select(
-        n.alias("query_id"), F.substring("text", F.lit(1), (n % 40).cast("int")).alias("query"),
+        n.alias("query_id"), F.col("text").alias("query"),
         F.when(n % 4 == 0, "v5").when(n % 4 == 1, "both").when(n % 4 == 2, "v9").alias("version"),
         F.when(n % 7 == 0, F.lit(-1.0)).when(n % 7 == 1, F.lit(0.5)).when(n % 7 > 2, (n % 120 + 1).cast("double")).alias("limit"),
         (n % 9 - 3 + 0.25).cast("double").alias("tokens_budget"),
@@ -328,10 +327,14 @@ def version_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {t.CHUNKS_SQL} SELECT "sourceFile", count(*) AS chunks, min_by(tokens, chunk_index) AS first_tokens FROM chunks GROUP BY 1"""
+    f"""WITH {t.CHUNKS_SQL}, c AS (SELECT "sourceFile" AS path, raw AS text, tokens, chunk_index FROM chunks),
+    e AS (SELECT path, tokens, chunk_index, {_CATEGORY_SQL} AS category,
+      list_filter({_quoted(rules.of_product(rules.TAGS, None))}, lambda x: contains(lower(text), x)) AS tags FROM c)
+    SELECT path AS "sourceFile", count(*) AS chunks, min_by(tokens, chunk_index) AS first_tokens, count(DISTINCT category) AS categories,
+      len(list_distinct(flatten(list(tags)))) AS tags FROM e GROUP BY 1"""
 )
 def file_summary(spark: SparkSession, d: str) -> DataFrame:
-    return stats.file_summary(t.chunks(spark, d)).select("sourceFile", "chunks", "first_tokens")
+    return stats.file_summary(t.chunks(spark, d)).select("sourceFile", "chunks", "first_tokens", "categories", "tags")
 
 
 @query(f"WITH {t.DOCS_MD_SQL} SELECT {_CATEGORY_SQL} AS category, count(*) AS chunks, count(DISTINCT path) AS files FROM docs_md GROUP BY 1")
@@ -465,13 +468,35 @@ def validation_stages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("request_id", "op", "failed_stage", "path_exists")
 
 
-@query()
+_CLOCK_SQL = _STAGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+n AS (SELECT request_id, op || request_id % 50 AS clock, request_id * 7000000 AS us,
+  row_number() OVER (PARTITION BY op || request_id % 50 ORDER BY request_id) AS k FROM f WHERE failed_stage IS NULL),
+w AS (SELECT request_id, clock, k, us AS last, 0::BIGINT AS rest FROM n WHERE k = 1
+  UNION ALL SELECT n.request_id, n.clock, n.k, CASE WHEN n.us - w.last >= 60000000 THEN n.us ELSE w.last END, greatest(w.last + 60000000 - n.us, 0)
+  FROM w JOIN n ON n.clock = w.clock AND n.k = w.k + 1),
+v AS (SELECT f.request_id, op, CASE WHEN rest > 0 THEN 'rate' ELSE failed_stage END AS failed_stage,
+  op = 'update' OR (op = 'submit' AND there) AS "isUpdate", CASE WHEN rest > 0 THEN 'Rate limited. Please try again in ' || ceil(rest / 1000000)::BIGINT || ' seconds.' END AS late
+  FROM f LEFT JOIN w ON f.request_id = w.request_id)"""
+
+
+@query(_CLOCK_SQL + """ SELECT request_id, op, failed_stage, CASE WHEN failed_stage IS NULL THEN 'accepted' ELSE 'rejected' END AS status, "isUpdate", late FROM v""")
 def validate_requests(spark: SparkSession, d: str) -> DataFrame:
     rows = validation.validate_requests(t.requests(spark, d), t.known_paths(spark, d))
-    return rows.select("request_id", "op", "failed_stage", "status", "isUpdate", F.array_join("errors", "|").alias("errors"))
+    late = F.when(F.col("failed_stage") == "rate", F.array_join("errors", "|"))
+    return rows.select("request_id", "op", "failed_stage", "status", "isUpdate", late.alias("late"))
 
 
-@query()
+@query(
+    _CLOCK_SQL
+    + r""", m AS (SELECT v.*, r.title, r.version, r.category, r.path, 'docs: ' || title AS pr_title,
+      strftime(make_timestamp(request_id * 7000000), '%Y%m%dT%H%M%SZ') AS stamp, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
+      FROM v JOIN r USING (request_id) WHERE failed_stage IS NULL AND v.op <> 'remove')
+    SELECT request_id, 'docs/contrib/' || stamp || '-' || substr(slug, 1, 40) AS branch,
+      CASE WHEN "isUpdate" THEN 'docs: update ' ELSE 'docs: add ' END || path AS commit_message, pr_title,
+      concat('## Community Documentation Contribution', chr(10), chr(10), '**Contributor:** user', request_id % 50, chr(10), '**Target version:** ', version, chr(10),
+        '**Category:** ', category, chr(10), '**File:** `', path, '`', chr(10), '**Type:** ', CASE WHEN "isUpdate" THEN 'Update to existing doc' ELSE 'New documentation' END,
+        chr(10), chr(10), '### Description', chr(10), 'No description provided.') AS pr_body FROM m"""
+)
 def contribution_manifest(spark: SparkSession, d: str) -> DataFrame:
     rows = validation.validate_requests(t.requests(spark, d), t.known_paths(spark, d))
     return validation.contribution_manifest(rows.filter("status = 'accepted' AND op <> 'remove'"), F.col("ts"))

@@ -1,6 +1,7 @@
 """The same operators on streams: documents that change, requests that arrive, a rate limit as keyed state.
 
-Rows later than the watermark are dropped, and a verdict is never rewritten. Order within a micro-batch is by time, then id.
+A verdict is never rewritten. Order within a micro-batch is by time, then id; there is no watermark, so an event that comes
+after a later one of its key is judged by the clock as it then is, and the clock of each key is kept for good.
 """
 
 from __future__ import annotations

@@ -68,6 +68,23 @@ def test_validate_and_manifest(spark, paths):
     assert "**Contributor:** Anonymous" in manifest.pr_body and "New documentation" in manifest.pr_body
 
 
+def test_validate_repeated_and_null_ids(spark, paths):
+    """One row out for each row in, whatever the ids."""
+    same = [tuple(GOOD.values())] * 3
+    odd = [tuple((GOOD | {"request_id": None, "contributorName": "other", "title": f"Another title {i}"}).values()) for i in range(2)]
+    bad = [tuple((GOOD | {"title": "x"}).values()), tuple((GOOD | {"ts": None, "contributorName": "third"}).values())]
+    out = validation.validate_requests(spark.createDataFrame(same + odd + bad, SCHEMA), paths).collect()
+    assert len(out) == 7
+    of = lambda f: sorted(r.status for r in out if f(r))
+    assert of(lambda r: r.request_id is not None and r.title == GOOD["title"] and r.ts is not None) == ["accepted", "rejected", "rejected"]
+    assert of(lambda r: r.request_id is None) == ["accepted", "rejected"]
+    assert of(lambda r: r.title == "x") == ["rejected"] and of(lambda r: r.ts is None) == ["accepted"]
+
+
+def test_tokens_count_utf16(spark):
+    assert [r[0] for r in spark.createDataFrame([("\U0001f600" * 4,), ("abcde",), ("",), (None,)], "s string").select(text.estimate_tokens(F.col("s"))).collect()] == [2, 2, 0, None]
+
+
 def test_text_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]
