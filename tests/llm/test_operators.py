@@ -123,8 +123,9 @@ def test_decontamination_parts(spark, messy_rows, monkeypatch):
 # Mixing
 
 
-def test_mixing(spark, messy, nothing):
+def test_mixing(spark, messy, messy_rows, nothing):
     out = mixing.mix_plan(messy)
+    assert rows(out.columns, out.collect()) == plain_sql(messy_rows, mixing.SQL)
     assert out.count() == messy.count()
     first, again = got(out), got(mixing.mix_plan(messy.repartition(5)))
     assert first == again
@@ -134,6 +135,24 @@ def test_mixing(spark, messy, nothing):
     assert mixing.mix_plan(nothing).count() == mixing.mixed(nothing).count() == 0
 
 
+def test_mixing_draws_by_length(spark):
+    """Chances halve with each tier of length, rows of one doc_id are drawn apart, and the words come near the target."""
+    texts = [(7, f"t{i} " * (10 if i % 2 else 300), "a") for i in range(4000)] + [(i, f"w{i} " * 20, "b") for i in range(60_000)]
+    plan = mixing.mix_plan(spark.createDataFrame(texts, "doc_id long, text string, source string"))
+    of = plan.filter("target < source_size * 2 AND source_size = 620000")
+    r = of.agg(F.sum("taken"), F.max("target"), F.avg(F.when(F.col("size") == 10, F.col("taken") / 10)), F.avg(F.when(F.col("size") == 300, F.col("taken") / 300))).first()
+    if r[0]:
+        assert r[0] == pytest.approx(r[1], rel=0.01)
+    b = plan.filter("source_size = 1200000").agg(F.sum("taken"), F.max("target")).first()
+    assert b[0] == pytest.approx(b[1], rel=0.01)
+    tiers = spark.createDataFrame([("a", 0, 100), ("a", 1, 1000), ("a", 2, 4000)], "source string, tier int, words long")
+    chance = lambda need: mixing.inclusion(tiers, spark.createDataFrame([("a", need)], "source string, need double")).first()["chances"]
+    for need in (10.0, 1000.0, 4000.0, 5100.0):
+        c = chance(need)
+        assert 100 * c[0] + 1000 * c[1] + 4000 * c[2] == pytest.approx(need) and 1 >= c[0] >= c[1] >= c[2] > 0
+        assert c[2] == pytest.approx(min(1, c[1] / 2)) or c[1] == 1
+
+
 def test_targets(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     t = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
