@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ LEAST_SCORE, LEAST_OVERLAP = 0.5, 0.5
 RUN = 5
 BLOCK = 16
 PART_TOKENS = 500_000
+#: Postings that are looked at together.
+HELD = 1 << 21
 
 _WORD = tk.FOLDED.copy()
 _WORD[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
@@ -66,6 +69,11 @@ class Index:
     ids: list[int | None]
     longest: int
 
+    @cached_property
+    def short(self) -> list[int]:
+        """Lengths of items that are shorter than a run."""
+        return sorted({w for w in self.words if 0 < w < RUN})
+
 
 def build_index(
     ids: list, tokens: list[np.ndarray], question: list[int], df: dict[int, int], n: int, mean: float, longest: int
@@ -133,22 +141,31 @@ def candidates(index: Index, words: np.ndarray, bounds: np.ndarray, least: float
     found: dict[tuple[int, int], float] = {}
     if not len(passage):
         return found
-    # Sums by passage and block in a dense table: parts of the index bound the blocks, `parts` the passages.
-    blocks = int(index.blocks.max()) + 1
+    # A piece of passages has HELD postings, or is one passage, which has no more than the part of the index.
+    postings = np.cumsum(index.at[term + 1] - index.at[term])
+    piece = np.maximum.accumulate(np.where(np.r_[True, passage[1:] != passage[:-1]], postings // HELD, 0))
+    cuts = np.r_[np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]), len(piece)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        for k, s in _scored(index, passage[i:j], term[i:j], slack):
+            pair = (int(doc[k // len(index.ids)]), k % len(index.ids))
+            found[pair] = max(found.get(pair, 0.0), s)
+    return found
+
+
+def _scored(index: Index, passage: np.ndarray, term: np.ndarray, slack: float) -> Iterator[tuple[int, float]]:
+    """(passage * items + item, score) of those that reach ``slack``; only blocks whose bounds do are looked into."""
+    blocks, n = int(index.blocks.max()) + 1, len(index.ids)
     e, own = _spread(index.block_at, term)
-    open_blocks = np.bincount(passage[own] * blocks + index.blocks[e], index.block_most[e], len(doc) * blocks) >= slack
-    stay = open_blocks.reshape(-1, blocks).any(axis=1)[passage]
+    key, back = np.unique(passage[own] * blocks + index.blocks[e], return_inverse=True)
+    open_blocks = key[np.bincount(back, index.block_most[e]) >= slack]
+    stay = np.isin(passage, open_blocks // blocks)
     passage, term = passage[stay], term[stay]
     e, own = _spread(index.at, term)
-    stay = open_blocks[passage[own] * blocks + index.items[e] // BLOCK]
+    stay = np.isin(passage[own] * blocks + index.items[e] // BLOCK, open_blocks)
     e, own = e[stay], own[stay]
-    n = len(index.ids)
     key, back = np.unique(passage[own] * n + index.items[e], return_inverse=True)
     score = np.bincount(back, index.impacts[e])
-    for k, s in zip(key[score >= slack].tolist(), score[score >= slack].tolist(), strict=True):
-        pair = (int(doc[k // n]), k % n)
-        found[pair] = max(found.get(pair, 0.0), s)
-    return found
+    yield from zip(key[score >= slack].tolist(), score[score >= slack].tolist(), strict=True)
 
 
 def overlaps(index: Index, item: int, runs: np.ndarray) -> tuple[float, float]:
@@ -169,11 +186,9 @@ def matches(index: Index, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tupl
         if doc != last:
             own = words[bounds[doc] : bounds[doc + 1]]
             last, runs = doc, tk.shingle_hashes(own, np.array([0, len(own)]), RUN)[0]
-            if index_short := {w for w in index.words if w < RUN}:  # items shorter than a run, at any place
-                for w in index_short:
-                    if 0 < w <= len(own):
-                        bits = [tk.shingle_hashes(own[k : k + w], np.array([0, w]), RUN)[0] for k in range(len(own) - w + 1)]
-                        runs = np.concatenate([runs, *bits])
+            for w in index.short:  # items shorter than a run, at any place
+                bits = [tk.shingle_hashes(own[k : k + w], np.array([0, w]), RUN)[0] for k in range(len(own) - w + 1)]
+                runs = np.concatenate([runs, *bits])
         q, a = overlaps(index, item, runs)
         if q >= LEAST_OVERLAP and a >= LEAST_OVERLAP:
             yield doc, item, score, q, a

@@ -265,6 +265,28 @@ def test_least_matches():
     assert jaccard.least_matches(16) < 8 and 60 < jaccard.least_matches(128) < 90
 
 
+def test_candidates_of_many_short_items(monkeypatch):
+    """100,000 items of five words: what is held follows the passages that stay, and pieces of any size agree."""
+    import numpy as np
+
+    from docloom.llm import textkernel as tk
+
+    r = np.random.default_rng(3)
+    tokens = [tk.mixed(x.astype(np.uint64)) for x in r.zipf(1.3, (100_000, 5)) % 30_000]
+    df: dict = {}
+    for t in tokens:
+        for x in set(t.tolist()):
+            df[x] = df.get(x, 0) + 1
+    index = contamination.build_index(list(range(len(tokens))), tokens, [3] * len(tokens), df, len(tokens), 5.0, 5)
+    docs = [np.concatenate([tk.mixed(x.astype(np.uint64)) for x in r.zipf(1.3, (4, 9)) % 30_000] + [tokens[k]]) for k in range(0, 1000, 10)]
+    words, bounds = np.concatenate(docs), np.cumsum([0] + [len(d) for d in docs])
+    found = contamination.candidates(index, words, bounds)
+    assert {(k, k * 10) for k in range(100)} <= set(found)
+    monkeypatch.setattr(contamination, "HELD", 1)
+    again = contamination.candidates(index, words, bounds)
+    assert again.keys() == found.keys() and all(again[k] == pytest.approx(v) for k, v in found.items())
+
+
 # Language model
 
 
