@@ -96,20 +96,22 @@ def find_zones(x: np.ndarray, offsets: np.ndarray, unit: int = BYTES) -> Iterato
 
 def _zone_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, offsets = tk.text_bytes(batch.column(2))
-        words, starts, ends, bounds = tk.placed_words(raw, offsets)
-        for unit, x, at in ((BYTES, raw, offsets), (WORDS, words, bounds)):
-            for first, last, anchor, *names in find_zones(x, at, unit):
-                doc = np.searchsorted(at, first, "right") - 1
-                rows = pa.array(doc)
-                begin, end = (first, last + LENGTH) if unit == BYTES else (starts[first], ends[last + UNITS[WORDS][0] - 1])
-                numbers = [np.full(len(doc), unit), *(c - at[doc] for c in (first, last, anchor)), begin - offsets[doc], end - offsets[doc]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows)]
-                    + [pa.array(c.astype(np.int32)) for c in numbers]
-                    + [pa.array(c.astype(np.int64)) for c in names],
-                    ["doc_id", "version", "unit", "first", "last", "anchor", "begin", "end", "k1", "k2a", "k2b"],
-                )
+        all_bytes, all_offsets = tk.text_bytes(batch.column(2))
+        for i, j in tk.parts(all_offsets):
+            raw, offsets = all_bytes[all_offsets[i] : all_offsets[j]], all_offsets[i : j + 1] - all_offsets[i]
+            words, starts, ends, bounds = tk.placed_words(raw, offsets)
+            for unit, x, at in ((BYTES, raw, offsets), (WORDS, words, bounds)):
+                for first, last, anchor, *names in find_zones(x, at, unit):
+                    doc = np.searchsorted(at, first, "right") - 1
+                    rows = pa.array(doc + i)
+                    begin, end = (first, last + LENGTH) if unit == BYTES else (starts[first], ends[last + UNITS[WORDS][0] - 1])
+                    numbers = [np.full(len(doc), unit), *(c - at[doc] for c in (first, last, anchor)), begin - offsets[doc], end - offsets[doc]]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(rows), batch.column(1).take(rows)]
+                        + [pa.array(c.astype(np.int32)) for c in numbers]
+                        + [pa.array(c.astype(np.int64)) for c in names],
+                        ["doc_id", "version", "unit", "first", "last", "anchor", "begin", "end", "k1", "k2a", "k2b"],
+                    )
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
