@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import settled
+from docloom.llm.shared import marked, settled, written
 
 WINDOW = 3
 _BLANKS = " \t\r\x0b\x0c"
@@ -79,13 +79,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` as a struct ``row``, with its text left, and the numbers of lines, removed lines, spans."""
-    gone = removed_lines(docs).select(
-        F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), "gone"
+    gone = written(
+        removed_lines(docs).select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), "gone")
     )
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"))
-    joined = rows.join(
+    # Only documents that may lose lines are shuffled.
+    rows = marked(rows, F.xxhash64("id", "version"), gone, F.xxhash64("gone_id", "gone_version"))
+    joined = rows.filter("maybe").join(
         gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left"
-    )
+    ).select("row", "gone")
+    joined = joined.union(rows.filter("NOT maybe").select("row", F.lit(None).cast(gone.schema["gone"].dataType)))
     split = joined.select("row", "gone", F.when(F.col("gone").isNotNull(), _lines(F.col("row.text"))).alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     text = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
