@@ -34,8 +34,8 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 DEFAULT_VERDICT = "allow"
-#: Shares of the urls in the sweep; each also gets all the bounds.
-SHARES = 64
+#: Urls in a share of the sweep, and the least number of shares; each also gets all the bounds.
+SHARE_ROWS, LEAST_SHARES = 1_000_000, 64
 
 
 def host_column(url: Column) -> Column:
@@ -81,9 +81,10 @@ def rule_bounds(rules: DataFrame) -> DataFrame:
 
 
 def url_verdicts(
-    pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, shares: int = SHARES
+    pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, shares: int | None = None
 ) -> DataFrame:
-    """One row per page: page_id, url, host, path, rule, verdict."""
+    """One row per page: page_id, url, host, path, rule, verdict. Without ``shares``, their number grows with the pages."""
+    shares = shares or max(LEAST_SHARES, -(-pages.count() // SHARE_ROWS))
     bounds = rule_bounds(rules)
     depth = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
     parts = pages.select("page_id", "url", host_column(F.col("url")).alias("host"), path_column(F.col("url")).alias("path"))
