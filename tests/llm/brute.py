@@ -35,6 +35,57 @@ def substrings(rows: list[tuple], length: int = 400) -> list[tuple]:
     return out
 
 
+def secret_spans(text: str | None) -> list[tuple[str, int, int]]:
+    """Base spans by looking at every place, leftmost first for each kind; then by start, then by kind as listed."""
+    text, out = text or "", []
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = set(letters + letters.lower() + "0123456789+/_.=-")
+
+    def run(p: int, allowed) -> int:
+        while p < len(text) and text[p] in allowed:
+            p += 1
+        return p
+
+    def assigned(p: int) -> tuple[int, int] | None:
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(word, p):
+                q = p + len(word)
+                for quoted in (True, False):
+                    at = q + 1 if quoted and text[q : q + 1] in ("\"", "'") and q < len(text) else None if quoted else q
+                    if at is None:
+                        continue
+                    at = run(at, " ")
+                    if text[at : at + 1] not in (":", "=") or at >= len(text):
+                        continue
+                    at = run(at + 1, " ")
+                    if text[at : at + 1] in ("\"", "'") and at < len(text):
+                        at += 1
+                    if (end := run(at, value)) > at:
+                        return at, end
+        return None
+
+    p = 0
+    while p < len(text):
+        if found := assigned(p):
+            if found[1] - found[0] >= 8:
+                out.append((p, 0, found[1]))
+            p = found[1]
+        else:
+            p += 1
+    for kind, head, allowed, least in ((1, "AKIA", set(letters + "0123456789"), 16), (2, "", set("0123456789abcdef"), 32)):
+        p = 0
+        while p < len(text):
+            end = run(p + len(head), allowed) if text.startswith(head, p) else p
+            if end > p + len(head):
+                if end - p >= least:
+                    out.append((p, kind, end))
+                p = end
+            else:
+                p += 1
+    return [(("assign", "access", "hex")[k], a, b) for a, k, b in sorted(out)]
+
+
 def passages(rows: list[tuple], length: int = 51) -> list[tuple]:
     """(doc_id, words in strings of ``length`` words that also start elsewhere)."""
     data = [(i, words(t)) for i, t in rows]

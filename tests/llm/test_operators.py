@@ -240,6 +240,38 @@ def test_secrets_without_digits_or_short():
         assert secrets.find_spans(f"see {name} now")[1] == [], name
 
 
+def test_secrets_against_brute_force(spark, sf_dir, messy, messy_rows):
+    """Base spans of every text, odd ones by value too; added spans are random strings outside of them."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    odd = ["token=abcdefgh" * 3, "secret='\n password=\"x\"=12345678", "apikey=apikey=abcdefgh", "AKIAAKIA" * 3, "f" * 31 + " " + "f" * 100_000, "passwd : 'a=b=c.d-e/f'", "token=\u0130abcdefgh"]
+    docs += [(10**6 + i, t) for i, t in enumerate(odd * 2)] + [r[:2] for r in messy_rows]
+    out = secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = []
+    for d, t in docs:
+        base = brute.secret_spans(t)
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        want.append((d, *[sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex")], digest))
+    assert sorted([(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in out], key=str) == sorted(want, key=str)
+    assert sum(sum(w[1:4]) for w in want) > 5
+
+
+def test_secrets_error_rates(spark, sf_dir):
+    """Planted random strings of several alphabets are found; long words of the documents are left alone."""
+    import random
+    import re
+    import string
+
+    r = random.Random(8)
+    for letters, least in ((string.ascii_letters + string.digits, 0.95), (string.ascii_letters, 0.95), (string.ascii_lowercase, 0.85), (string.ascii_letters + string.digits + "-_", 0.95)):
+        for n in (20, 32):
+            found = sum(bool(secrets.find_spans("key " + "".join(r.choice(letters) for _ in range(n)) + " end")[1]) for _ in range(300))
+            assert found >= 300 * least, (letters, n, found)
+    texts = [x.text for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    long = {w for t in texts for w in re.findall(r"(?<![A-Za-z])[A-Za-z]{12,}(?![A-Za-z])", t or "")}
+    wrong = [w for w in long if secrets.find_spans(w)[1]]
+    assert len(long) > 100 and len(wrong) <= 0.02 * len(long), wrong
+
+
 # N-gram Jaccard join
 
 
