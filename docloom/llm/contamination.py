@@ -40,7 +40,7 @@ RUN = 5
 BLOCK = 16
 PART_TOKENS = 500_000
 #: Postings that are looked at together.
-HELD = 1 << 21
+HELD = 1 << 18
 
 _WORD = tk.FOLDED.copy()
 _WORD[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32

@@ -1,4 +1,4 @@
-"""The pipeline against brute force, stage by stage on what the stage before it kept."""
+"""The pipeline against its SQL as a whole, and stage by stage on what the stage before it kept."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from docloom.llm import mixing
 from docloom.llm.lines import op3_rows
 from docloom.llm.quality import quality_metrics
 from docloom.llm.shared import written
+from tests.compare import duck, same
 from tests.llm import brute
 
 
@@ -37,6 +38,17 @@ def test_stages(spark, sf_dir):
     assert docs.count() > 0
 
 
-def test_run_is_the_stages(spark, sf_dir):
+def test_run_is_the_sql(spark, sf_dir):
     out = cp.run(spark, sf_dir)
-    assert out.count() > 0 and {"doc_id", "text", "taken", "target"} <= set(out.columns)
+    got = [tuple(r) for r in out.collect()]
+    assert got and {"doc_id", "text", "taken", "target"} <= set(out.columns)
+    same(got, out.columns, duck(sf_dir), cp.ORACLE_SQL)
+
+
+def test_stages_on_empty_and_clashing_tables(spark, sf_dir, messy, nothing):
+    for docs in (messy, nothing):
+        columns = docs.columns
+        for name, stage in cp.STAGES:
+            docs = written(stage(spark, docs, sf_dir))
+            assert name == "source mix" or docs.columns == columns
+    assert docs.count() == 0
