@@ -47,15 +47,16 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 
 @cache
-def encoding(path: str):
-    """The tokenizer, read once per worker."""
+def encoding(vocabulary: str | bytes):
+    """The tokenizer of a vocabulary file's path or content, made once per worker."""
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+    data = Path(vocabulary).read_bytes() if isinstance(vocabulary, str) else vocabulary
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_random(s: str, vocabulary: str = VOCABULARY, most: float = MOST_CHARS_PER_TOKEN) -> bool:
+def is_random(s: str, vocabulary: str | bytes = VOCABULARY, most: float = MOST_CHARS_PER_TOKEN) -> bool:
     if not _LETTERS.search(s) or _DIGEST.fullmatch(s) or _UUID.fullmatch(s):
         return False
     encode = encoding(vocabulary).encode_ordinary
@@ -66,7 +67,7 @@ def is_random(s: str, vocabulary: str = VOCABULARY, most: float = MOST_CHARS_PER
     return len(s) / len(encode(s)) < most
 
 
-def find_spans(text: str, vocabulary: str = VOCABULARY) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find_spans(text: str, vocabulary: str | bytes = VOCABULARY) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and added spans, each (start, kind number, end), by start, then kind."""
     base = []
     if "=" in text or ":" in text:
@@ -89,13 +90,17 @@ def told(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, counts of the base kinds, their digest, all spans."""
+    """One row per row of ``docs``: doc_id, counts of the base kinds, their digest, all spans.
+
+    The driver reads the vocabulary, a file of fixed size, and sends it to the workers.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                base, added = find_spans(text.as_py() or "", vocabulary)
+                base, added = find_spans(text.as_py() or "", sent.value)
                 kinds = [k for _, k, _ in base]
                 digest = hashlib.sha256(told(base).encode()).hexdigest()
                 rows.append((doc_id, kinds.count(0), kinds.count(1), kinds.count(2), digest, told(sorted(base + added))))
