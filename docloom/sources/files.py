@@ -91,14 +91,26 @@ def write_outcomes(outcomes: DataFrame, out: str) -> None:
     ).json(out)
 
 
+def _pointers(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.schema("n long, name string").json(f"{target}/pointers")
+
+
 def swap_snapshot(table: DataFrame, target: str) -> str:
-    """Writes a new snapshot below ``target`` and then points to it; what is being read is never overwritten."""
-    name = f"snapshot-{uuid.uuid4().hex}"
+    """Writes a new snapshot below ``target`` and then points to it, for one writer at a time.
+
+    Pointers are numbered rows that are only added, and the highest counts, so a reader finds the old snapshot or the new
+    one and never neither. The snapshot before the new one stays for those who still read it; older ones are deleted.
+    """
+    spark, name = table.sparkSession, f"snapshot-{uuid.uuid4().hex}"
     table.write.parquet(f"{target}/{name}")
-    table.sparkSession.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").json(f"{target}/current")
+    known = _pointers(spark, target).orderBy(F.desc("n")).limit(3).collect() if _exists(spark, f"{target}/pointers") else []
+    spark.createDataFrame([(known[0]["n"] + 1 if known else 0, name)], "n long, name string").coalesce(1).write.mode("append").json(f"{target}/pointers")
+    for old in known[1:]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{old['name']}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return name
 
 
 def read_snapshot(spark: SparkSession, target: str) -> DataFrame:
-    name = spark.read.schema("name string").json(f"{target}/current").first()[0]
+    name = _pointers(spark, target).orderBy(F.desc("n")).first()["name"]
     return spark.read.parquet(f"{target}/{name}")

@@ -80,3 +80,13 @@ def test_stream_rate_limit_is_the_batch(spark, sf_dir, tmp_path):
     want = rate_limit(events.withColumn("ts", F.timestamp_micros("us")), "key", "ts", "event_id", 6 * 3600)
     cols = ["event_id", "allowed", "wait_seconds"]
     assert sorted(map(tuple, spark.table("limited").select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_snapshots_are_swapped_and_retired(spark, tmp_path):
+    """Readers find the newest of all snapshots, and the one before stays readable."""
+    target, names = str(tmp_path / "kb"), []
+    for i in range(4):
+        names.append(files.swap_snapshot(spark.range(i, i + 2), target))
+        assert sorted(r.id for r in files.read_snapshot(spark, target).collect()) == [i, i + 1]
+    left = {p.name for p in (tmp_path / "kb").iterdir() if p.name.startswith("snapshot-")}
+    assert left == set(names[2:]) and spark.read.parquet(f"{target}/{names[2]}").count() == 2
