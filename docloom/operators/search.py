@@ -9,10 +9,13 @@ Defined results for odd input: chunks without a vector, or with one of another s
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +25,11 @@ from docloom.functions.text import trimmed
 CANDIDATES, MIN_SCORE, PER_SOURCE, MAX_LIMIT, DEFAULT_LIMIT = 50, 0.05, 2, 50, 10
 #: Queries in a block; a block's vectors are what is broadcast.
 QUERY_BLOCK = 2048
+#: Chunks that are scored at once against a block.
+SLICE = 1024
 
 HITS = "query_id long, sourceFile string, chunk_index int, score double"
+HITS_ARROW = pa.schema([("query_id", pa.int64()), ("sourceFile", pa.string()), ("chunk_index", pa.int32()), ("score", pa.float64())])
 
 
 def normalize_queries(queries: DataFrame) -> DataFrame:
@@ -63,34 +69,94 @@ def _blocks(queries: DataFrame) -> Iterator[list]:
         yield block
 
 
-def _best(query_ids: list, versions: list, vectors: np.ndarray, k: int, min_score: float):
-    allowed = {v: np.array([q in ("all", "both") or v in (q, "both") for q in versions]) for v in ("v5", "v6", "both")}
-    whole = np.array([q in ("all", "both") for q in versions])
+class _Best:
+    """The best k rows of each query among those a task has seen: at most 4 k a query and what one slice adds."""
+
+    def __init__(self, query_ids: list, versions: list, k: int) -> None:
+        self.ids, self.k = np.array(query_ids, np.int64), k
+        self.allowed = {v: np.array([q in ("all", "both") or v in (q, "both") for q in versions], bool) for v in ("v5", "v6", "both")}
+        self.whole = np.array([q in ("all", "both") for q in versions], bool)
+        self.floor = np.full(len(query_ids), -np.inf)
+        self.held: list[pd.DataFrame] = []
+        self.rows = 0
+
+    def add(self, keys: pd.DataFrame, scores: np.ndarray, least: float) -> None:
+        """``keys(sourceFile, chunk_index, version)`` and their scores, a row a chunk and a column a query."""
+        fits = np.array([self.allowed.get(v, self.whole) for v in keys["version"]])
+        scores = np.where(fits & (scores >= np.maximum(least, self.floor)), scores, -np.inf)
+        if len(scores) > self.k:
+            kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
+            scores[scores < kth] = -np.inf
+        row, q = np.nonzero(scores > -np.inf)
+        if len(row):
+            part = keys.iloc[row][["sourceFile", "chunk_index"]].assign(q=q, score=scores[row, q])
+            self.held.append(part)
+            self.rows += len(part)
+        if self.rows > 4 * self.k * len(self.ids):
+            self._compact()
+
+    def _compact(self) -> pd.DataFrame:
+        rows = pd.concat(self.held, ignore_index=True).assign(minus=lambda f: -f["score"])
+        rows = rows.sort_values(["q", "minus", "sourceFile", "chunk_index"], na_position="first").drop(columns="minus")
+        rows = rows.groupby("q").head(self.k)
+        counts, last = rows.groupby("q")["score"].size(), rows.groupby("q")["score"].min()
+        full = counts.index[counts == self.k]
+        self.floor[full] = last[full]
+        self.held, self.rows = [rows], len(rows)
+        return rows
+
+    def result(self) -> pa.RecordBatch:
+        if not self.held:
+            return pa.RecordBatch.from_pylist([], HITS_ARROW)
+        rows = self._compact()
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(self.ids[rows["q"]]), pa.Array.from_pandas(rows["sourceFile"], type=pa.string()),
+                pa.Array.from_pandas(rows["chunk_index"], type=pa.int32()), pa.array(rows["score"].to_numpy(np.float64)),
+            ],
+            schema=HITS_ARROW,
+        )
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE):
+            yield batch.slice(begin, SLICE)
+
+
+def _by_vector(query_ids: list, versions: list, vectors: np.ndarray, k: int, min_score: float):
+    """Chunks without a vector of the right size are skipped, and so are numbers that are null or not a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple]] = [[] for _ in query_ids]
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                b = batch.slice(begin, 1024)
-                keys = [c.to_pylist() for c in b.columns[:3]]
-                rows = [(i, v) for i, v in enumerate(b.column(3).to_pylist()) if v is not None and len(v) == vectors.shape[1] and None not in v]
-                if not rows:
-                    continue
-                scores = np.array([v for _, v in rows], np.float64) @ vectors.T
-                fits = np.array([allowed.get(keys[2][i], whole) for i, _ in rows])
-                for q in range(len(query_ids)):
-                    ok = np.flatnonzero(fits[:, q] & (scores[:, q] >= min_score))
-                    if len(held[q]) == k and len(ok):
-                        ok = ok[scores[ok, q] >= -held[q][-1][0]]
-                    if len(ok):
-                        new = [(-scores[i, q], keys[0][rows[i][0]], keys[1][rows[i][0]]) for i in ok]
-                        held[q] = sorted(held[q] + new)[:k]
-        out = [(query_ids[q], s, i, -x) for q, h in enumerate(held) for x, s, i in h]
-        cols = zip(*out, strict=True) if out else ((),) * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.float64()), strict=True)],
-            ["query_id", "sourceFile", "chunk_index", "score"],
-        )
+        best = _Best(query_ids, versions, k)
+        for b in _slices(batches):
+            b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b["embedding"]), vectors.shape[1]), False))
+            if b.num_rows:
+                flat = b["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                best.add(b.select(["sourceFile", "chunk_index", "version"]).to_pandas(), flat.reshape(b.num_rows, -1) @ vectors.T, min_score)
+        yield best.result()
+
+    return run
+
+
+def _by_words(query_ids: list, versions: list, terms: list[list[str]], k: int):
+    """One pass of Arrow's substring search for each distinct word of the block."""
+    where: dict[str, Counter] = {}
+    for q, words in enumerate(terms):
+        for w in words:
+            where.setdefault(w, Counter())[q] += 1
+    asked = {w: (np.array(list(c)), np.array(list(c.values()), np.float64)) for w, c in where.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(query_ids, versions, k)
+        for b in _slices(batches):
+            scores = np.zeros((b.num_rows, len(query_ids)))
+            for word, (queries, times) in asked.items():
+                rows = np.flatnonzero(pc.match_substring(b["text"], word).to_numpy(zero_copy_only=False))
+                if len(rows):
+                    scores[np.ix_(rows, queries)] += times
+            best.add(b.select(["sourceFile", "chunk_index", "version"]).to_pandas(), scores, 1.0)
+        yield best.result()
 
     return run
 
@@ -109,7 +175,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, min_
         for d in sorted(dims):
             own = [i for i, r in enumerate(block) if len(r[2]) == d]
             vectors = np.array([block[i][2] for i in own], np.float64)
-            run = _best([ids[i] for i in own], [versions[i] for i in own], vectors, k, min_score)
+            run = _by_vector([ids[i] for i in own], [versions[i] for i in own], vectors, k, min_score)
             found = keys.mapInArrow(run, HITS)
             parts = found if parts is None else parts.unionByName(found)
     if parts is None:
@@ -205,27 +271,7 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_LIMIT
     for block in _blocks(queries.select("query_id", "version", "query")):
         ids, versions = [r[0] for r in block], [r[1] or "all" for r in block]
         terms = [(r[2] or "").lower().split() for r in block]
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, versions=versions, terms=terms) -> Iterator[pa.RecordBatch]:
-            known = sorted({t for ts in terms for t in ts})
-            held: list[list[tuple]] = [[] for _ in ids]
-            for batch in batches:
-                for source, index, version, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    here = {t for t in known if t in text}
-                    for q, ts in enumerate(terms) if here else ():
-                        if versions[q] in ("all", "both") or version in (versions[q], "both"):
-                            if hits := sum(t in here for t in ts):
-                                held[q].append((-float(hits), source, index))
-                                if len(held[q]) > 4 * k:
-                                    held[q] = sorted(held[q])[:k]
-            out = [(ids[q], s, i, -x) for q, h in enumerate(held) for x, s, i in sorted(h)[:k]]
-            cols = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.float64()), strict=True)],
-                ["query_id", "sourceFile", "chunk_index", "score"],
-            )
-
-        found = rows.mapInArrow(run, HITS)
+        found = rows.mapInArrow(_by_words(ids, versions, terms, k), HITS)
         parts = found if parts is None else parts.unionByName(found)
     if parts is None:
         parts = chunks.sparkSession.createDataFrame([], HITS)
