@@ -1,7 +1,8 @@
 """The same operators on streams: documents that change, requests that arrive, a rate limit as keyed state.
 
-A verdict is never rewritten. Order within a micro-batch is by time, then id; there is no watermark, so an event that comes
-after a later one of its key is judged by the clock as it then is, and the clock of each key is kept for good.
+A verdict is never rewritten. The rate limit has two forms. With a ``delay`` events wait until the watermark has passed them and
+are judged in the order of their times, whatever order they came in. Without one each micro-batch is judged as it comes, in order
+of time, then id; an event that comes after a later one of its key is then judged by the clock as it is.
 """
 
 from __future__ import annotations
@@ -62,6 +63,22 @@ def stream_validate(requests: DataFrame, paths: DataFrame) -> DataFrame:
     return stage_errors(joined)
 
 
+RATE_SCHEMA = "key long, event_id long, us long, allowed boolean, wait_seconds long"
+
+
+def _judge(key, frame: pd.DataFrame, last: int | None, limit: int) -> tuple[pd.DataFrame, int | None]:
+    """Verdicts of a key's events in order, and the time of the last allowed one."""
+    frame = frame.sort_values(["us", "event_id"], kind="stable")
+    allowed, waits = [], []
+    for us in frame["us"].tolist():
+        rest = 0 if last is None else last + limit - us
+        allowed.append(rest <= 0)
+        waits.append(max(0, -(-rest // 1_000_000)))
+        if rest <= 0:
+            last = us
+    return pd.DataFrame({"key": key[0], "event_id": frame["event_id"], "us": frame["us"], "allowed": allowed, "wait_seconds": waits}), last
+
+
 class RateLimiter(StatefulProcessor):
     """State: the time of a key's last allowed event, in microseconds."""
 
@@ -72,27 +89,68 @@ class RateLimiter(StatefulProcessor):
         self.last = handle.getValueState("last", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
-        allowed, waits = [], []
-        for us in frame["us"].tolist():
-            rest = 0 if last is None else last + self.limit - us
-            allowed.append(rest <= 0)
-            waits.append(max(0, -(-rest // 1_000_000)))
-            if rest <= 0:
-                last = us
+        out, last = _judge(key, pd.concat(list(rows)), self.last.get()[0] if self.last.exists() else None, self.limit)
         self.last.update((last,))
-        yield pd.DataFrame({"key": key[0], "event_id": frame["event_id"], "us": frame["us"], "allowed": allowed, "wait_seconds": waits})
+        yield out
 
     def close(self) -> None:
         pass
 
 
-def stream_rate_limit(events: DataFrame, seconds: float = rules.RATE_SECONDS) -> DataFrame:
-    """``events(key, event_id, us)`` with ``allowed`` and ``wait_seconds``; needs the RocksDB state store."""
-    return events.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=RateLimiter(seconds),
-        outputStructType="key long, event_id long, us long, allowed boolean, wait_seconds long",
-        outputMode="Append",
-        timeMode="None",
+class OrderedRateLimiter(StatefulProcessor):
+    """Events wait in state by the step of time they fall in, and a timer at its end judges each step, in order of time.
+
+    A task holds one step of one key, so a busy key's backlog stays in the state store. A clock is dropped once the watermark has
+    passed the end of its wait, when it can no longer change a verdict.
+    """
+
+    def __init__(self, seconds: float, step_ms: int) -> None:
+        self.limit, self.step = int(seconds * 1e6), step_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+        self.waiting = handle.getMapState("waiting", "end long", "us array<long>, ids array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for frame in rows:
+            ends = (frame["us"] // (1000 * self.step) + 1) * self.step
+            for end, part in frame.groupby(ends):
+                at = (int(end),)
+                us, ids = self.waiting.getValue(at) if self.waiting.containsKey(at) else ([], [])
+                self.waiting.updateValue(at, ([*us, *part["us"].tolist()], [*ids, *part["event_id"].tolist()]))
+                self.handle.registerTimer(at[0])
+        yield pd.DataFrame({"key": [], "event_id": [], "us": [], "allowed": [], "wait_seconds": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = (expiredTimerInfo.getExpiryTimeInMs(),)
+        last = self.last.get()[0] if self.last.exists() else None
+        if self.waiting.containsKey(at):
+            us, ids = self.waiting.getValue(at)
+            self.waiting.removeKey(at)
+            out, last = _judge(key, pd.DataFrame({"us": list(us), "event_id": list(ids)}), last, self.limit)
+            self.last.update((last,))
+            # One step after the end of the wait, so that the step it ends in has been judged.
+            self.handle.registerTimer(((last + self.limit) // (1000 * self.step) + 2) * self.step)
+            yield out
+        elif last is not None and last + self.limit <= at[0] * 1000:
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_limit(events: DataFrame, seconds: float = rules.RATE_SECONDS, delay: str | None = None, step_ms: int = 1000) -> DataFrame:
+    """``events(key, event_id, us)`` with ``allowed`` and ``wait_seconds``; needs the RocksDB state store.
+
+    With ``delay`` (such as "10 minutes") events may come out of order by so much and get the batch's verdicts. Later ones are left
+    out by the watermark, and the verdicts of the last ``delay`` wait for the events that move it on.
+    """
+    if delay is None:
+        return events.groupBy("key").transformWithStateInPandas(
+            statefulProcessor=RateLimiter(seconds), outputStructType=RATE_SCHEMA, outputMode="Append", timeMode="None"
+        )
+    timed = events.withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
+    return timed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=OrderedRateLimiter(seconds, step_ms), outputStructType=RATE_SCHEMA, outputMode="Append", timeMode="EventTime"
     )

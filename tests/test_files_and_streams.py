@@ -82,6 +82,25 @@ def test_stream_rate_limit_is_the_batch(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, spark.table("limited").select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
 
+def test_stream_rate_limit_in_order_of_time(spark, tmp_path):
+    """Batches out of order, ties and repeated rows get the batch's verdicts once the watermark has passed them; clocks go."""
+    schema, second = "key long, event_id long, us long", 1_000_000
+    times = [(k, i, (1000 + i * 37 % 101 * 7) * second) for k in (1, 2) for i in range(101)]
+    times += [(1, 500, 1070 * second), (1, 500, 1070 * second), (None, 7, 1005 * second), (None, 8, 1004 * second)]
+    end = (9, 999, 100_000 * second)
+    for rows in (times[1::2], times[0::2], [end], [(9, 1000, 200_000 * second)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.stream_rate_limit(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 60, "1 hour")
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True)
+        query.option("checkpointLocation", str(tmp_path / "ck")).start().awaitTermination()
+    events = spark.createDataFrame([*times, end], schema)
+    want = rate_limit(events.withColumn("ts", F.timestamp_micros("us")), "key", "ts", "event_id", 60).drop("ts")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    rows = lambda d: sorted(map(str, d.select("key", "event_id", "us", "allowed", "wait_seconds").collect()))
+    assert rows(got) == rows(want)
+    assert got.filter("key = 1 AND us = 1070000000").count() == 3
+
+
 def test_snapshots_are_swapped_and_retired(spark, tmp_path):
     """Readers find the newest of all snapshots, and the one before stays readable."""
     target, names = str(tmp_path / "kb"), []
