@@ -94,12 +94,16 @@ def hash_embed(c: Column, dim: int = 64) -> Column:
         lambda h, x: F.pmod(h * 31 + F.ascii(x), F.lit(1 << 32)),
         lambda h: F.pmod(h, F.lit(dim)).cast("int"),
     )
-    slots = F.array_distinct(F.transform(words, slot))
-    value = (F.lit(1.0) / F.sqrt(F.size(slots))).cast("float")
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.array_contains(slots, i), value).otherwise(F.lit(0.0).cast("float"))
-    )
-    return F.when(F.size(slots) > 0, vector)
+
+    def vector(slots: Column) -> Column:
+        value = (F.lit(1.0) / F.sqrt(F.size(slots))).cast("float")
+        places = F.sequence(F.lit(0), F.lit(dim - 1))
+        return F.when(
+            F.size(slots) > 0, F.transform(places, lambda i: F.when(F.array_contains(slots, i), value).otherwise(F.lit(0.0).cast("float")))
+        )
+
+    # Through a lambda's variable, so that the slots of a text are computed once and not for each place.
+    return F.transform(F.array(F.array_distinct(F.transform(words, slot))), vector)[0]
 
 
 def embedding_progress(chunks: DataFrame, dim: int) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -140,7 +141,7 @@ def _by_vector(query_ids: list, versions: list, vectors: np.ndarray, k: int, min
 
 
 def _by_words(query_ids: list, versions: list, terms: list[list[str]], k: int):
-    """One pass of Arrow's substring search for each distinct word of the block."""
+    """One pass over each chunk finds all words of the block, however many there are."""
     where: dict[str, Counter] = {}
     for q, words in enumerate(terms):
         for w in words:
@@ -149,12 +150,16 @@ def _by_words(query_ids: list, versions: list, terms: list[list[str]], k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(query_ids, versions, k)
-        for b in _slices(batches):
+        words = ahocorasick.Automaton()
+        for word in asked:
+            words.add_word(word, word)
+        words.make_automaton()
+        for b in _slices(batches) if asked else ():
             scores = np.zeros((b.num_rows, len(query_ids)))
-            for word, (queries, times) in asked.items():
-                rows = np.flatnonzero(pc.match_substring(b["text"], word).to_numpy(zero_copy_only=False))
-                if len(rows):
-                    scores[np.ix_(rows, queries)] += times
+            for row, text in zip(scores, b["text"].to_pylist(), strict=True):
+                for word in {w for _, w in words.iter(text)}:
+                    queries, times = asked[word]
+                    row[queries] += times
             best.add(b.select(["sourceFile", "chunk_index", "version"]).to_pandas(), scores, 1.0)
         yield best.result()
 
@@ -237,7 +242,7 @@ def pipeline(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFram
 
 
 def search(queries: DataFrame, chunks: DataFrame, embed) -> DataFrame:
-    """Results for raw queries; ``embed`` maps a text column to a vector column."""
+    """Results for raw queries; ``embed`` maps a text column to a vector column. ``chunks`` is read three times: pass a stored table."""
     q = normalize_queries(queries)
     hits = vector_topk(q.withColumn("embedding", embed(F.col("query"))), chunks)
     return limit_and_project(pipeline(hits, q, chunks), chunks)
@@ -260,8 +265,7 @@ def search_response(queries: DataFrame, results: DataFrame) -> DataFrame:
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_LIMIT) -> DataFrame:
     """Chunks by the number of a query's words (repeated ones count) that occur in heading and text.
 
-    The words of a block of queries are literals in the plan; each chunk is read once a block, and the best k
-    of each task's share are what is shuffled.
+    Each chunk is read once a block of queries, and the best k of each task's share are what is shuffled.
     """
     rows = chunks.select(
         "sourceFile", "chunk_index", "version",

@@ -11,7 +11,7 @@ from docloom.functions.markdown import cleaned_sections, extract_subheadings
 from docloom.operators import maintenance, search, stats, validation
 from docloom.operators.chunks import doc_title, fold_blocks
 from docloom.plans import tables as t
-from docloom.plans.streams import as_stream, streamed
+from docloom.plans.streams import as_stream, stored, streamed
 from docloom.sources.files import read_snapshot
 from docloom.streaming import jobs
 
@@ -79,6 +79,24 @@ _CATEGORY_SQL = (
 )
 
 
+@query(
+    rf"""WITH {t.CHUNKS_SQL}, x AS (SELECT chunks.*, title.title, list_filter({_quoted(rules.of_product(rules.TAGS, None))}, lambda w: contains(lower(raw), w)) AS tags,
+      list_transform(list_filter(string_split(raw, chr(10)), lambda l: regexp_matches(l, '^##{{1,3}}\s+.')),
+        lambda l: trim(regexp_replace(l, '^#+\s+', ''), ' ' || chr(9) || chr(13))) AS subs
+      FROM chunks JOIN title ON title.path = chunks."sourceFile")
+    SELECT "sourceFile", chunk_index, CASE WHEN heading = title THEN title ELSE title || ' > ' || heading END AS breadcrumb, array_to_string(subs, '|') AS covers,
+      sha256('# ' || heading || chr(10) || 'Breadcrumb: ' || CASE WHEN heading = title THEN title ELSE title || ' > ' || heading END || chr(10)
+        || CASE WHEN len(subs) > 0 THEN 'Covers: ' || array_to_string(subs, ' | ') || chr(10) ELSE '' END
+        || CASE WHEN len(tags) > 0 THEN 'Topics: ' || array_to_string(tags, ', ') || chr(10) ELSE '' END || chr(10) || raw) AS digest FROM x"""
+)
+def chunk_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Breadcrumb, sub-headings and the whole content of every chunk."""
+    return t.chunks(spark, d).select(
+        "sourceFile", "chunk_index", "breadcrumb", F.array_join("subHeadings", "|").alias("covers"),
+        F.sha2(F.col("content").cast("binary"), 256).alias("digest"),
+    )
+
+
 @query(
     f"""WITH {t.DOCS_MD_SQL} SELECT path, CASE WHEN contains(path, 'v5_docs') THEN 'v5' WHEN contains(path, 'v6_docs') THEN 'v6' ELSE 'both' END AS version,
     {_CATEGORY_SQL} AS category, ceil(len(text) / 4)::INT AS tokens, contains(text, '```') AS has_code,
@@ -216,6 +234,15 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("e IS NOT NULL AND exists(e, x -> x > 0)").select("doc_id", F.size(slots).alias("slots"), places.alias("places"))
 
 
+@query(ORACLES["hash_embed"])
+def hash_embed_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The embedder in Spark's own expressions."""
+    rows = t.read(spark, d, "documents").select("doc_id", embedding.hash_embed(F.col("text")).alias("e")).filter("e IS NOT NULL")
+    slots = F.array_compact(F.transform("e", lambda x, i: F.when(x > 0, i)))
+    places = F.aggregate(slots, F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", F.size(slots).alias("slots"), places.alias("places"))
+
+
 # Search
 
 
@@ -266,6 +293,30 @@ def search_vectors(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "sourceFile", "chunk_index", "rank", "score", "tokens")
 
 
+@query(
+    _SEARCH_SQL.replace("SELECT query_id, \"sourceFile\", chunk_index, r::INT AS rank, s AS score, tokens FROM final WHERE r <= lim", """,
+    few AS (SELECT * FROM final WHERE r <= lim)
+    SELECT query_id, few."sourceFile", few.chunk_index, r::INT AS rank, 'c' || few.chunk_index AS id,
+      CASE WHEN few.chunk_index % 2 = 0 THEN 'uncategorized' ELSE 'hooks' END AS category, c.version AS content, 0::INT AS covers, c.version AS tags
+    FROM few JOIN c ON few."sourceFile" = c."sourceFile" AND few.chunk_index = c.chunk_index""").replace(")\n,\n", "),\n").replace(")\n,", "),")
+)
+def limit_and_project(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits with what their chunks say; some categories and all sub-headings are null."""
+    queries = t.vector_queries(spark, d)
+    chunks = t.vector_chunks(spark, d).withColumns({
+        "id": F.concat(F.lit("c"), F.col("chunk_index")), "heading": F.col("sourceFile"), "breadcrumb": F.col("sourceFile"), "content": F.col("version"),
+        "category": F.when(F.col("chunk_index") % 2 == 1, "hooks"), "subHeadings": F.lit(None).cast("array<string>"), "tags": F.array("version"),
+    })
+    hits = search.normalize_scores(search.vector_topk(queries, chunks))
+    told = queries.select("query_id", "limit", "tokens_budget")
+    kept = search.token_budget(
+        search.cap_per_source(hits).join(chunks.select("sourceFile", "chunk_index", "tokens"), ["sourceFile", "chunk_index"]).join(told, "query_id")
+    )
+    return search.limit_and_project(kept, chunks).select(
+        "query_id", "sourceFile", "chunk_index", "rank", "id", "category", "content", F.size("covers").alias("covers"), F.array_join("tags", ",").alias("tags")
+    )
+
+
 def _text_queries(spark: SparkSession, d: str) -> DataFrame:
     return t.read(spark, d, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"),
@@ -279,7 +330,7 @@ def search_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every benchmark text as a query on the chunks, embedded offline; one JSON a query."""
     chunks = t.chunks(spark, d)
     model = embedding.hash_model(64)
-    chunks = chunks.withColumn("embedding", embedding.embed(embedding.embed_text(chunks), model))
+    chunks = stored(chunks.withColumn("embedding", embedding.embed(embedding.embed_text(chunks), model)))
     q = search.normalize_queries(_text_queries(spark, d))
     return search.search_response(q, search.search(_text_queries(spark, d), chunks, lambda c: embedding.embed(c, model)))
 
@@ -502,7 +553,21 @@ def contribution_manifest(spark: SparkSession, d: str) -> DataFrame:
     return validation.contribution_manifest(rows.filter("status = 'accepted' AND op <> 'remove'"), F.col("ts"))
 
 
-@query()
+@query(
+    f"""WITH {t.REQUESTS_SQL}, b AS (SELECT *, request_id % 7 = 0 AS bad FROM r)
+    SELECT request_id, concat_ws('|',
+      CASE WHEN NOT bad AND title IS NULL THEN '/title: is required' END, CASE WHEN bad THEN '/title: must be string' END,
+      CASE WHEN NOT bad AND len(title) < 10 THEN '/title: must have at least 10 characters' END,
+      CASE WHEN NOT bad AND len(title) > 120 THEN '/title: must have at most 120 characters' END,
+      CASE WHEN path IS NULL THEN '/filePath: is required' END,
+      CASE WHEN NOT regexp_full_match(path, 'docs/(v5_docs|v6_docs)/[a-zA-Z0-9_][a-zA-Z0-9_/.\\-]*\\.md') THEN '/filePath: must match the pattern' END,
+      CASE WHEN content IS NULL THEN '/content: is required' END,
+      CASE WHEN len(content) < 100 THEN '/content: must have at least 100 characters' END,
+      CASE WHEN len(content) > 50000 THEN '/content: must have at most 50000 characters' END,
+      CASE WHEN version NOT IN ('v5', 'v6') THEN '/version: must be one of the allowed values' END,
+      CASE WHEN NOT bad AND category = 'nonsense' THEN '/category: must be one of the allowed values' END,
+      CASE WHEN bad THEN '/more: is not an allowed property' END) AS errors FROM b"""
+)
 def check_request_schema(spark: SparkSession, d: str) -> DataFrame:
     """Requests as raw JSON, every seventh with a number for a title and an unknown property."""
     r = t.requests(spark, d)

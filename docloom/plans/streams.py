@@ -1,4 +1,4 @@
-"""A given table as a stream, and a stream run until all of it is read."""
+"""A given table as a stream, a stream run until all of it is read, and a derived table written once."""
 
 from __future__ import annotations
 
@@ -26,6 +26,13 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='docloom-')}/stream-{uuid.uuid4().hex}"
 
 
+def stored(table: DataFrame) -> DataFrame:
+    """The table as written to the shared folder, for those who read it several times."""
+    folder = _folder(table.sparkSession)
+    table.write.parquet(folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)
+
+
 def streamed(stream: DataFrame, start: Callable | None = None):
     """Runs a stream over what is there. The rows it has written, or the folder if ``start(stream, folder)`` writes."""
     spark = stream.sparkSession
