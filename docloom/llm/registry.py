@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, contamination, jaccard, lines, lm, mixing, quality, secrets, substrings, urls
+from docloom.llm import chat, contamination, fingerprints, jaccard, lines, lm, mixing, periods, quality, secrets, substrings, urls, whitening
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_ngram_join": jaccard.op9_ngram_join,
     "op10_lm_scoring": lm.op10_lm_scoring,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_document_fingerprints": fingerprints.op12_document_fingerprints,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 
 ORACLES = {
@@ -25,4 +28,5 @@ ORACLES = {
     "op5_source_mix": mixing.SQL,
     "op7_url_filter": urls.SQL,
     "op9_ngram_join": jaccard.SQL,
+    "op12_document_fingerprints": fingerprints.SQL,
 }

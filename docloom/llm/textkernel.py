@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 SLICE = 1 << 18
@@ -104,6 +105,40 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int
         begin = end
 
 
+def word_places(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in ``raw``, and the offsets of each document's words."""
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for begin, _, s, e in word_bounds(raw, offsets):
+        starts.append(s + begin)
+        ends.append(e + begin)
+    starts = np.concatenate(starts)
+    return starts, np.concatenate(ends), np.searchsorted(starts, offsets)
+
+
+#: Words of more bytes are hashed one by one.
+EIGHTS = 8
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def word_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of words, their bytes mixed in eight at a time; no two words of one length up to eight bytes share one."""
+    sizes = ends - starts
+    padded = np.r_[raw, np.zeros(8, np.uint8)]
+    eights = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = mixed(sizes.astype(U) * U(0x9FB21C651E98DF25) + U(seed))
+        live = np.flatnonzero(sizes <= 8 * EIGHTS)
+        for k in range(EIGHTS):
+            live = live[sizes[live] > 8 * k]
+            if not len(live):
+                break
+            piece = eights[starts[live] + 8 * k] & _LOW[np.minimum(sizes[live] - 8 * k, 8)]
+            h[live] = mixed(h[live] ^ piece) + U(k)
+    for i in np.flatnonzero(sizes > 8 * EIGHTS):
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
+    return h
+
+
 def placed_words(raw: np.ndarray, offsets: np.ndarray, fold: bool = False, seed: int = 1) -> tuple[np.ndarray, ...]:
     """64-bit hashes of all words in order, their starts and ends in ``raw``, and the offsets of each document's words."""
     table = byte_table(seed)[FOLDED if fold else SAME]

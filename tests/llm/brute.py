@@ -182,3 +182,45 @@ def leaks(rows: list[tuple], items: list[tuple], least: float = 0.5) -> dict:
             if share(covered[:q]) >= 0.5 and share(covered[q:]) >= 0.5:
                 out[d, item] = best
     return out
+
+
+def planted_words(doc_id: int | None, text: str | None) -> list[bytes]:
+    w = words(text)
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not w:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def periodic_runs(w: list, least: int = 6) -> list[tuple[int, int, int]]:
+    """(start, length, period) by looking at every period."""
+    out = []
+    for q in range(1, len(w) // 4 + 1):
+        i = 0
+        while i + q < len(w):
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            stretch = w[i : j + q]
+            smaller = any(all(stretch[k] == stretch[k + r] for k in range(len(stretch) - r)) for r in range(1, q))
+            if len(stretch) >= max(least, 4 * q) and not smaller:
+                out.append((i, len(stretch), q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def op13_row(doc_id: int | None, text: str | None) -> tuple:
+    w = planted_words(doc_id, text)
+    runs = periodic_runs(w)
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else None
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    told = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+    kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    return (doc_id, len(runs), *((best[0], best[1], best[2], 1000 * best[1] // best[2]) if best else (None,) * 4), digest(told.encode()), digest(kept))
