@@ -8,13 +8,12 @@ Defined results for odd input: null counts as missing; repeated rows are judged
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import rules, text
+from docloom.operators.rates import rate_limit
+from docloom.sources.scratch import stored
 
 Message = tuple[Column, str | Column]
 
@@ -155,59 +154,33 @@ def stage_errors(requests: DataFrame) -> DataFrame:
     return rows.withColumn("failed_stage", failed).withColumn("errors", errors).drop(*[f"_{n}" for n, _ in stages])
 
 
-def rate_limit(events: DataFrame, key: str, ts: str, order: str | list[str], seconds: float = rules.RATE_SECONDS) -> DataFrame:
-    """Adds ``allowed`` and ``wait_seconds``: an event is allowed ``seconds`` after the last allowed one of its key.
-
-    The recurrence needs a key's events in order: by time, then ``order``. They are streamed through tasks that hold one
-    clock a key, so the events of a key are never gathered; a key's events do share a task, as the rule is sequential.
-    An event without a time is allowed and sets no clock; a null key is a key.
-    """
-    keyed = events.withColumns({"_key": F.col(key).cast("string"), "_us": F.unix_micros(F.col(ts).cast("timestamp"))})
-    limit = int(seconds * 1e6)
-    schema = events.schema.add("allowed", "boolean").add("wait_seconds", "long")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now_key: object = None
-        last: int | None = None
-        for f in frames:
-            allowed, waits = [], []
-            for k, us in zip(f["_key"], f["_us"], strict=True):
-                if k != now_key:
-                    now_key, last = k, None
-                rest = 0 if last is None or us != us else last + limit - int(us)
-                allowed.append(rest <= 0)
-                waits.append(max(0, -(-rest // 1_000_000)))
-                if rest <= 0 and us == us:
-                    last = int(us)
-            yield f.drop(columns=["_key", "_us"]).assign(allowed=allowed, wait_seconds=waits)
-
-    orders = [order] if isinstance(order, str) else order
-    return keyed.repartition("_key").sortWithinPartitions("_key", "_us", *orders).mapInPandas(run, schema)
-
-
 def validate_requests(requests: DataFrame, paths: DataFrame, seconds: float = rules.RATE_SECONDS) -> DataFrame:
     """All stages: ``failed_stage``, ``errors``, ``warnings``, ``isUpdate``, ``status``. One clock a tool and contributor.
 
     One row per row: each row is a request of its own, so of repeated rows the first that comes to the clock is accepted
-    and the others are late; ids may be null or repeat.
+    and the others are late; ids may be null or repeat. Verdicts are written once; only what the clock needs goes to it, and what comes
+    back is the requests that are late.
     """
     judged = stage_errors(check_existence(requests, paths))
     judged = judged.withColumn("warnings", F.when(F.col("op") != "remove", sanitize_warnings(F.coalesce("content", F.lit(""))))).withColumn(
         "isUpdate", (F.col("op") == "update") | ((F.col("op") == "submit") & F.col("path_exists"))
     )
-    passed = F.col("failed_stage").isNull()
+    # Repeated rows may change places: they are equal but for this number.
+    tie = F.xxhash64("title", "filePath", F.xxhash64(F.coalesce("content", F.lit(""))))
+    rows = stored(judged.withColumn("_tie", tie).withColumn("_request", F.monotonically_increasing_id()))
     clock = F.concat_ws("/", "op", F.coalesce("contributorName", F.lit("")))
-    # The text is long and the clock does not need it, but a join that brings it back would need a key.
-    content = F.xxhash64(F.coalesce("content", F.lit("")))
-    fine = judged.filter(passed).withColumn("_clock", clock).withColumn("_tie", F.xxhash64("title", "filePath", content))
-    limited = rate_limit(fine, "_clock", "ts", ["request_id", "_tie"], seconds).drop("_clock", "_tie")
-    failed = judged.filter(~passed).withColumn("allowed", F.lit(True)).withColumn("wait_seconds", F.lit(0).cast("long"))
-    rows = limited.unionByName(failed)
-    late = ~F.col("allowed")
+    fine = rows.filter("failed_stage IS NULL").select("_request", clock.alias("_clock"), "ts", "request_id", "_tie")
+    limited = rate_limit(fine, "_clock", "ts", ["request_id", "_tie"], seconds)
+    late = limited.filter(~F.col("allowed")).select("_request", "wait_seconds")
     message = F.concat(F.lit("Rate limited. Please try again in "), F.col("wait_seconds"), F.lit(" seconds."))
-    return rows.withColumn("errors", F.when(late, F.array(message)).otherwise(F.col("errors"))).withColumn(
-        "failed_stage", F.when(late, "rate").otherwise(F.col("failed_stage"))
-    ).withColumn("status", F.when(F.col("failed_stage").isNull(), "accepted").otherwise("rejected")).drop("allowed", "wait_seconds")
+    is_late = F.col("wait_seconds").isNotNull()
+    return (
+        rows.join(late, "_request", "left")
+        .withColumn("errors", F.when(is_late, F.array(message)).otherwise(F.col("errors")))
+        .withColumn("failed_stage", F.when(is_late, "rate").otherwise(F.col("failed_stage")))
+        .withColumn("status", F.when(F.col("failed_stage").isNull(), "accepted").otherwise("rejected"))
+        .drop("_request", "_tie", "wait_seconds")
+    )
 
 
 def contribution_manifest(accepted: DataFrame, at: Column) -> DataFrame:

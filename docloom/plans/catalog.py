@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from docloom.functions import embedding, rules, text
 from docloom.functions.markdown import clean_markdown as cleaned
 from docloom.functions.markdown import cleaned_sections, extract_subheadings
-from docloom.operators import maintenance, search, stats, validation
+from docloom.operators import maintenance, rates, search, stats, validation
 from docloom.operators.chunks import doc_title, fold_blocks
 from docloom.plans import tables as t
-from docloom.plans.streams import as_stream, stored, streamed
+from docloom.plans.streams import as_stream, streamed
 from docloom.sources.files import read_snapshot
+from docloom.sources.scratch import stored
 from docloom.streaming import jobs
 
 FLAGSHIP = "search_vectors"
@@ -604,10 +605,17 @@ def sanitize_pages(spark: SparkSession, d: str) -> DataFrame:
 )
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Events of each user, at most one in six hours."""
-    rows = validation.rate_limit(t.read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 6 * 3600)
+    rows = rates.rate_limit(t.read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 6 * 3600)
     return rows.select("event_id", "user_id", "allowed", "wait_seconds")
 
 
+@query(ORACLES["rate_limit"])
+def rate_limit_busy_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with every user's events spread over all tasks."""
+    rows = t.read(spark, d, "events").select("event_id", "user_id", "ts")
+    return rates.rate_limit(rows, "user_id", "ts", "event_id", 6 * 3600, hot=0).select("event_id", "user_id", "allowed", "wait_seconds")
+
+
 # Streams: the same operators, run over a table as a stream until it is read, and what they have written
 
 

@@ -1,13 +1,13 @@
-"""A given table as a stream, a stream run until all of it is read, and a derived table written once."""
+"""A given table as a stream, and a stream run until all of it is read."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.sources.scratch import new_folder
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -20,23 +20,10 @@ def as_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares; in tests, where that is unset, one of our own."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='docloom-')}/stream-{uuid.uuid4().hex}"
-
-
-def stored(table: DataFrame) -> DataFrame:
-    """The table as written to the shared folder, for those who read it several times."""
-    folder = _folder(table.sparkSession)
-    table.write.parquet(folder)
-    return table.sparkSession.read.schema(table.schema).parquet(folder)
-
-
 def streamed(stream: DataFrame, start: Callable | None = None):
     """Runs a stream over what is there. The rows it has written, or the folder if ``start(stream, folder)`` writes."""
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = new_folder(spark, "stream")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     if start is not None:
         start(stream, folder).awaitTermination()

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators.chunks import build_chunks
-from docloom.operators.validation import rate_limit, stage_errors, check_existence
+from docloom.operators.rates import rate_limit
+from docloom.operators.validation import check_existence, stage_errors
 from docloom.sources import files
 from docloom.streaming import jobs
 from tests.test_operators import GOOD, SCHEMA

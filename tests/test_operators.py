@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import embedding, text
-from docloom.operators import maintenance, search, stats, validation
+from docloom.operators import maintenance, rates, search, stats, validation
 
 GOOD = {
     "request_id": 1, "op": "submit", "ts": dt.datetime(2024, 1, 1), "title": "A good title here",
@@ -52,7 +52,7 @@ def test_rate_limit_is_not_a_lag(spark):
     base = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
     rows = [(i, "k", base + dt.timedelta(seconds=s)) for i, s in enumerate(times)] + [(9, "other", base)]
     events = spark.createDataFrame(rows, "id long, key string, ts timestamp")
-    got = {r.id: (r.allowed, r.wait_seconds) for r in validation.rate_limit(events, "key", "ts", "id").collect()}
+    got = {r.id: (r.allowed, r.wait_seconds) for r in rates.rate_limit(events, "key", "ts", "id").collect()}
     assert [got[i][0] for i in range(6)] == [True, False, False, True, False, True]
     assert (got[1][1], got[2][1], got[4][1], got[9]) == (30, 1, 1, (True, 0))
 
