@@ -1,7 +1,7 @@
 """Batches of similarity and keyword searches over a chunk table.
 
-Chunks are never multiplied with queries in a table. Queries travel to the chunks in blocks of a bounded number of rows; each
-task keeps the best k of its share for each query, so what is shuffled is k rows a query and task.
+Chunks are never multiplied with queries in a table, and queries never pass the driver: tiles of queries meet shares of the chunks,
+see `tiles`, and each share keeps its best k for each query.
 
 Defined results for odd input: chunks without a vector, or with one of another size, are skipped; ties go by
 (sourceFile, chunk_index); an empty query has no hits; empty tables give empty results.
@@ -9,28 +9,16 @@ Defined results for odd input: chunks without a vector, or with one of another s
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import ahocorasick
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.text import trimmed
+from docloom.operators.postings import Index, piece_index, word_matches, words_of
+from docloom.operators.tiles import best_by_tiles, count_scorer, dot_scorer
+from docloom.sources.scratch import stored
 
 CANDIDATES, MIN_SCORE, PER_SOURCE, MAX_LIMIT, DEFAULT_LIMIT = 50, 0.05, 2, 50, 10
-#: Queries in a block; a block's vectors are what is broadcast.
-QUERY_BLOCK = 2048
-#: Chunks that are scored at once against a block.
-SLICE = 1024
-
-HITS = "query_id long, sourceFile string, chunk_index int, score double"
-HITS_ARROW = pa.schema([("query_id", pa.int64()), ("sourceFile", pa.string()), ("chunk_index", pa.int32()), ("score", pa.float64())])
 
 
 def normalize_queries(queries: DataFrame) -> DataFrame:
@@ -58,134 +46,16 @@ def dot_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(product, F.lit(0.0), lambda s, x: s + x)).otherwise(F.lit(0.0))
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    """Queries in blocks of QUERY_BLOCK, streamed to the driver one block at a time."""
-    block: list = []
-    for row in queries.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-class _Best:
-    """The best k rows of each query among those a task has seen: at most 4 k a query and what one slice adds."""
-
-    def __init__(self, query_ids: list, versions: list, k: int) -> None:
-        self.ids, self.k = np.array(query_ids, np.int64), k
-        self.allowed = {v: np.array([q in ("all", "both") or v in (q, "both") for q in versions], bool) for v in ("v5", "v6", "both")}
-        self.whole = np.array([q in ("all", "both") for q in versions], bool)
-        self.floor = np.full(len(query_ids), -np.inf)
-        self.held: list[pd.DataFrame] = []
-        self.rows = 0
-
-    def add(self, keys: pd.DataFrame, scores: np.ndarray, least: float) -> None:
-        """``keys(sourceFile, chunk_index, version)`` and their scores, a row a chunk and a column a query."""
-        fits = np.array([self.allowed.get(v, self.whole) for v in keys["version"]])
-        scores = np.where(fits & (scores >= np.maximum(least, self.floor)), scores, -np.inf)
-        if len(scores) > self.k:
-            kth = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
-            scores[scores < kth] = -np.inf
-        row, q = np.nonzero(scores > -np.inf)
-        if len(row):
-            part = keys.iloc[row][["sourceFile", "chunk_index"]].assign(q=q, score=scores[row, q])
-            self.held.append(part)
-            self.rows += len(part)
-        if self.rows > 4 * self.k * len(self.ids):
-            self._compact()
-
-    def _compact(self) -> pd.DataFrame:
-        rows = pd.concat(self.held, ignore_index=True).assign(minus=lambda f: -f["score"])
-        rows = rows.sort_values(["q", "minus", "sourceFile", "chunk_index"], na_position="first").drop(columns="minus")
-        rows = rows.groupby("q").head(self.k)
-        counts, last = rows.groupby("q")["score"].size(), rows.groupby("q")["score"].min()
-        full = counts.index[counts == self.k]
-        self.floor[full] = last[full]
-        self.held, self.rows = [rows], len(rows)
-        return rows
-
-    def result(self) -> pa.RecordBatch:
-        if not self.held:
-            return pa.RecordBatch.from_pylist([], HITS_ARROW)
-        rows = self._compact()
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(self.ids[rows["q"]]), pa.Array.from_pandas(rows["sourceFile"], type=pa.string()),
-                pa.Array.from_pandas(rows["chunk_index"], type=pa.int32()), pa.array(rows["score"].to_numpy(np.float64)),
-            ],
-            schema=HITS_ARROW,
-        )
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for begin in range(0, batch.num_rows, SLICE):
-            yield batch.slice(begin, SLICE)
-
-
-def _by_vector(query_ids: list, versions: list, vectors: np.ndarray, k: int, min_score: float):
-    """Chunks without a vector of the right size are skipped, and so are numbers that are null or not a number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(query_ids, versions, k)
-        for b in _slices(batches):
-            b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b["embedding"]), vectors.shape[1]), False))
-            if b.num_rows:
-                flat = b["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                best.add(b.select(["sourceFile", "chunk_index", "version"]).to_pandas(), flat.reshape(b.num_rows, -1) @ vectors.T, min_score)
-        yield best.result()
-
-    return run
-
-
-def _by_words(query_ids: list, versions: list, terms: list[list[str]], k: int):
-    """One pass over each chunk finds all words of the block, however many there are."""
-    where: dict[str, Counter] = {}
-    for q, words in enumerate(terms):
-        for w in words:
-            where.setdefault(w, Counter())[q] += 1
-    asked = {w: (np.array(list(c)), np.array(list(c.values()), np.float64)) for w, c in where.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(query_ids, versions, k)
-        words = ahocorasick.Automaton()
-        for word in asked:
-            words.add_word(word, word)
-        words.make_automaton()
-        for b in _slices(batches) if asked else ():
-            scores = np.zeros((b.num_rows, len(query_ids)))
-            for row, text in zip(scores, b["text"].to_pylist(), strict=True):
-                for word in {w for _, w in words.iter(text)}:
-                    queries, times = asked[word]
-                    row[queries] += times
-            best.add(b.select(["sourceFile", "chunk_index", "version"]).to_pandas(), scores, 1.0)
-        yield best.result()
-
-    return run
-
-
 def rank_order() -> list[Column]:
     return [F.col("score").desc(), F.col("sourceFile"), F.col("chunk_index")]
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, min_score: float = MIN_SCORE) -> DataFrame:
     """Best k chunks for each of ``queries(query_id, version, embedding)``, with score and rank."""
-    keys = chunks.select("sourceFile", "chunk_index", "version", "embedding").filter(F.size("embedding") > 0)
-    parts = None
-    for block in _blocks(queries.select("query_id", "version", "embedding").filter(F.size("embedding") > 0)):
-        ids, versions = [r[0] for r in block], [r[1] for r in block]
-        dims = {len(r[2]) for r in block}
-        for d in sorted(dims):
-            own = [i for i, r in enumerate(block) if len(r[2]) == d]
-            vectors = np.array([block[i][2] for i in own], np.float64)
-            run = _by_vector([ids[i] for i in own], [versions[i] for i in own], vectors, k, min_score)
-            found = keys.mapInArrow(run, HITS)
-            parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        parts = chunks.sparkSession.createDataFrame([], HITS)
-    return _ranked(parts, k)
+    asked = queries.filter(F.size("embedding") > 0).select("query_id", "version", F.col("embedding").cast("array<double>").alias("asked"))
+    rows = chunks.filter(F.size("embedding") > 0).select("sourceFile", "chunk_index", "version", F.col("embedding").alias("told"))
+    widest = asked.agg(F.max(F.size("asked"))).first()[0] or 0
+    return _ranked(best_by_tiles(asked, rows, dot_scorer, k, min_score, 8 * widest), k)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -262,21 +132,18 @@ def search_response(queries: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select("query_id", F.to_json(body).alias("response"))
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_LIMIT) -> DataFrame:
-    """Chunks by the number of a query's words (repeated ones count) that occur in heading and text.
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_LIMIT, index: Index | None = None) -> DataFrame:
+    """Chunks by the number of a query's words (repeated ones count) that occur in heading and text, as parts of words, too.
 
-    Each chunk is read once a block of queries, and the best k of each task's share are what is shuffled.
+    ``index`` is the `piece_index` of the chunks, by default made for this search. Texts are read where a word of more than
+    three characters may be, however many queries ask for it; what goes to the queries is the words that a chunk has.
     """
-    rows = chunks.select(
-        "sourceFile", "chunk_index", "version",
-        F.lower(F.concat_ws(" ", "heading", F.coalesce("rawContent", "content"))).alias("text"),
-    )
-    parts = None
-    for block in _blocks(queries.select("query_id", "version", "query")):
-        ids, versions = [r[0] for r in block], [r[1] or "all" for r in block]
-        terms = [(r[2] or "").lower().split() for r in block]
-        found = rows.mapInArrow(_by_words(ids, versions, terms, k), HITS)
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        parts = chunks.sparkSession.createDataFrame([], HITS)
-    return _ranked(parts, k)
+    index = index or piece_index(chunks)
+    asked = stored(queries.select("query_id", F.coalesce("version", F.lit("all")).alias("version"), "query").withColumn("_query", F.monotonically_increasing_id()))
+    words = words_of(asked)
+    terms = stored(words.select("word").distinct().withColumn("term", F.monotonically_increasing_id()))
+    wanted = words.join(terms, "word").groupBy("_query").agg(F.collect_list("term").alias("asked"))
+    has = word_matches(index, terms).groupBy("n").agg(F.collect_list("term").alias("told"))
+    rows = index.texts.select("n", "sourceFile", "chunk_index", "version").join(has, "n").drop("n")
+    sent = asked.join(wanted, "_query").select("query_id", "version", "asked")
+    return _ranked(best_by_tiles(sent, rows, count_scorer, k, 1.0), k)
