@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from docloom.sources.scratch import new_folder, stored
 
-LIST_TEXTS, BUCKETS = 4096, 64
+LIST_TEXTS, BUCKETS = 4096, 32
 #: Characters that are made into pieces at once.
 _CHARS = 1 << 22
 #: What parts words: white space of all alphabets, and the byte order mark.
@@ -41,19 +41,33 @@ def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (piece, number of the text) in order; a piece of up to three characters is a whole number of 21 bits for each."""
     codes, sizes = _codes(texts)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    pieces, owners = [codes], [owner]
-    for size in (2, 3):
-        if len(codes) >= size:
-            inside = owner[size - 1 :] == owner[: len(owner) - size + 1]
-            pieces.append((pieces[-1][: len(codes) - size + 1] << 21 | codes[size - 1 :]))
-            owners.append(np.where(inside, owner[: len(owner) - size + 1], -1))
-    piece, own = np.concatenate(pieces), np.concatenate(owners)
-    piece, own = piece[own >= 0], own[own >= 0]
-    order = np.lexsort((own, piece))
-    piece, own = piece[order], own[order]
-    new = np.r_[True, (piece[1:] != piece[:-1]) | (own[1:] != own[:-1])] if len(piece) else np.zeros(0, bool)
-    return piece[new], own[new]
+    # In the few characters that are there, a piece and its text are one number, which is sorted faster.
+    alphabet = np.r_[0, np.flatnonzero(np.bincount(codes, minlength=1))] if len(codes) else np.zeros(1, np.int64)
+    dense = np.zeros(int(alphabet[-1]) + 1, np.int64)
+    dense[alphabet[1:]] = np.arange(1, len(alphabet))
+    bits, low = len(alphabet).bit_length(), max(len(sizes) - 1, 1).bit_length()
+    codes, owner = dense[codes], np.repeat(np.arange(len(sizes)), sizes)
+    found = []
+    for size in range(1, 4):
+        piece = codes[: max(len(codes) - size + 1, 0)].copy()
+        for k in range(1, size):
+            piece = piece << bits | codes[k : len(codes) - size + 1 + k]
+        own = owner[: len(piece)]
+        inside = own == owner[size - 1 :][: len(piece)]
+        if 3 * bits + low < 63:
+            pairs = np.unique(piece[inside] << low | own[inside])
+            piece, own = pairs >> low, pairs & ((1 << low) - 1)
+        else:
+            order = np.lexsort((own[inside], piece[inside]))
+            piece, own = piece[inside][order], own[inside][order]
+            new = np.r_[True, (piece[1:] != piece[:-1]) | (own[1:] != own[:-1])] if len(piece) else inside[:0]
+            piece, own = piece[new], own[new]
+        letters = [alphabet[piece >> bits * k & ((1 << bits) - 1)] for k in range(size - 1, -1, -1)]
+        whole = letters[0]
+        for letter in letters[1:]:
+            whole = whole << 21 | letter
+        found.append((whole, own))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _lists(most: int):
@@ -95,8 +109,9 @@ def piece_index(chunks: DataFrame, list_texts: int = LIST_TEXTS) -> Index:
     texts = stored(chunks.select(F.monotonically_increasing_id().alias("n"), "sourceFile", F.col("chunk_index").cast("int").alias("chunk_index"), "version", words.alias("text")))
     lists = texts.select("n", "text").mapInArrow(_lists(list_texts), "gram long, size int, texts array<long>").withColumn("bucket", _bucket(F.col("gram")))
     folder = new_folder(chunks.sparkSession, "postings")
-    # Lists of one piece go to several files, whichever texts they are of.
-    dealt = lists.repartition("bucket", F.pmod(F.get("texts", 0), F.lit(8))).sortWithinPartitions("bucket", "gram")
+    # As many files as the session has partitions: where that is more than buckets, a bucket has several.
+    files = max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    dealt = lists.repartition("bucket", F.pmod(F.get("texts", 0), F.lit(files))).sortWithinPartitions("bucket", "gram")
     dealt.write.partitionBy("bucket").parquet(folder)
     return Index(texts, chunks.sparkSession.read.schema("gram long, size int, texts array<long>, bucket int").parquet(folder))
 

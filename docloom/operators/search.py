@@ -54,8 +54,7 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, min_
     """Best k chunks for each of ``queries(query_id, version, embedding)``, with score and rank."""
     asked = queries.filter(F.size("embedding") > 0).select("query_id", "version", F.col("embedding").cast("array<double>").alias("asked"))
     rows = chunks.filter(F.size("embedding") > 0).select("sourceFile", "chunk_index", "version", F.col("embedding").alias("told"))
-    widest = asked.agg(F.max(F.size("asked"))).first()[0] or 0
-    return _ranked(best_by_tiles(asked, rows, dot_scorer, k, min_score, 8 * widest), k)
+    return _ranked(best_by_tiles(asked, rows, dot_scorer, k, min_score), k)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:

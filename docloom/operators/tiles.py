@@ -133,14 +133,14 @@ def _kernel(scorer: Scorer, k: int, least: float):
     return run
 
 
-def best_by_tiles(queries: DataFrame, rows: DataFrame, scorer: Scorer, k: int, least: float, bytes_a_query: int = 0) -> DataFrame:
+def best_by_tiles(queries: DataFrame, rows: DataFrame, scorer: Scorer, k: int, least: float) -> DataFrame:
     """(query_id, sourceFile, chunk_index, score): the best k of each share of ``rows`` for each query, of scores from ``least`` on.
 
     ``queries(query_id, version, asked)`` and ``rows(sourceFile, chunk_index, version, told)``; what is asked and told is for the scorer.
     """
     spark = queries.sparkSession
-    of_bytes = TILE_BYTES // bytes_a_query if bytes_a_query else QUERY_TILE
-    tiles = max(1, -(-queries.count() // min(QUERY_TILE, max(1024, of_bytes))))
+    n, longest = queries.agg(F.count(F.lit(1)), F.max(F.size("asked"))).first()
+    tiles = max(1, -(-n // min(QUERY_TILE, max(1024, TILE_BYTES // (8 * max(longest or 0, 1))))))
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked, told = queries.schema["asked"].dataType, rows.schema["told"].dataType
