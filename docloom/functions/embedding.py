@@ -40,29 +40,48 @@ def select_for_embedding(chunks: DataFrame, dim: int, force: bool = False) -> Da
     return rows.withColumn("embed_text", embed_text(rows)).filter(F.col("embed_text") != "")
 
 
-def embed(texts: Column, model: Callable[[], Callable[[list[str]], np.ndarray]]) -> Column:
-    """Vectors for a text column. ``model`` is called once a worker and gives a function from texts to rows.
-
-    Rows are scaled to length 1; a batch that fails gives nulls.
+def _encoded(encode: Callable[[list[str]], np.ndarray], texts: list[str]) -> list[tuple[np.ndarray | None, int, str | None]]:
+    """(vector, attempts, error) of each text; a batch that fails is halved until the texts that make it fail stand alone."""
+    try:
+        rows = np.asarray(encode(texts), np.float64)
+        if rows.ndim != 2 or len(rows) != len(texts):
+            raise ValueError(f"{len(texts)} texts gave an array of shape {rows.shape}")
+    except Exception as e:  # noqa: BLE001 - a model may raise anything, and the rows beside a bad one are to be kept
+        if len(texts) == 1:
+            return [(None, 1, f"{type(e).__name__}: {e}")]
+        half = len(texts) // 2
+        return [(v, n + 1, error) for v, n, error in [*_encoded(encode, texts[:half]), *_encoded(encode, texts[half:])]]
+    lengths = np.linalg.norm(rows, axis=1)
+    fine = np.isfinite(lengths)
+    return [(r / max(n, 1e-12), 1, None) if ok else (None, 1, "no finite vector") for r, n, ok in zip(rows, lengths.tolist(), fine.tolist(), strict=True)]
+
+
+def embed_attempts(texts: Column, model: Callable[[], Callable[[list[str]], np.ndarray]]) -> Column:
+    """(vector, attempts, error) for a text column: attempts are the calls of the model that had the text among theirs.
+
+    ``model`` is called once a worker and gives a function from texts to rows. Rows are scaled to length 1. Of a batch that
+    fails, whatever it raises, only the texts that fail by themselves have no vector. Null and empty texts are not tried.
     """
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("vector array<float>, attempts int, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encode = model()
         for batch in batches:
-            out: list = [None] * len(batch)
+            out: list[tuple] = [(None, 0, None)] * len(batch)
             some = [i for i, t in enumerate(batch) if t]
-            try:
-                rows = np.asarray(encode([batch.iloc[i] for i in some]), np.float64) if some else []
-                for i, v in zip(some, rows, strict=True):
-                    out[i] = (v / max(float(np.linalg.norm(v)), 1e-12)).astype(np.float32)
-            except (ValueError, RuntimeError):
-                out = [None] * len(batch)
-            yield pd.Series(out, dtype=object)
+            for i, (v, n, error) in zip(some, _encoded(encode, [batch.iloc[i] for i in some]) if some else [], strict=True):
+                out[i] = (None if v is None else v.astype(np.float32), n, error)
+            vectors, attempts, errors = zip(*out, strict=True) if out else ((), (), ())
+            yield pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "attempts": pd.Series(attempts, dtype="int32"), "error": pd.Series(errors, dtype=object)})
 
     return run(texts)
 
 
+def embed(texts: Column, model: Callable[[], Callable[[list[str]], np.ndarray]]) -> Column:
+    """The vectors of `embed_attempts`; null where there is none."""
+    return embed_attempts(texts, model)["vector"]
+
+
 def hash_model(dim: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
     """Deterministic and offline: each distinct lower-cased word sets the slot of its hash."""
 

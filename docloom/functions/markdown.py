@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +18,7 @@ _IMAGE = re.compile(r"!\[.*\]\(.*\)")
 _FENCE = re.compile("```")
 _HEADING = re.compile(r"(#{1,3}) (.+)")
 _SUBHEADING = re.compile(r"#{2,4}\s+(.+)")
-_EDGES = " \t\n\r\x0b\x0c ﻿  "
+_EDGES = " \t\n\r\x0b\x0c\u00a0\ufeff\u2028\u2029"
 
 SECTIONS = "array<struct<level: int, heading: string, body: string>>"
 
@@ -105,9 +105,31 @@ def split_sections(c: Column) -> Column:
     return _udf(sections_of, SECTIONS)(c)
 
 
+def cleaned_sections_of(text: str) -> list[dict]:
+    return sections_of(clean_text(text))
+
+
 def cleaned_sections(c: Column) -> Column:
     """`split_sections` of `clean_markdown` in one crossing."""
-    return _udf(lambda t: sections_of(clean_text(t)), SECTIONS)(c)
+    return _udf(cleaned_sections_of, SECTIONS)(c)
+
+
+def guarded_sections(c: Column, parse: Callable[[str], list[dict]] = cleaned_sections_of) -> Column:
+    """(sections, error) of each text: what ``parse`` raises is told, and stops no other text."""
+
+    @F.pandas_udf(f"sections {SECTIONS}, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        sections, errors = [], []
+        for t in texts:
+            try:
+                sections.append(None if t is None else parse(t))
+                errors.append(None)
+            except Exception as e:  # noqa: BLE001 - any file that fails is to be left aside
+                sections.append(None)
+                errors.append(f"{type(e).__name__}: {e}")
+        return pd.DataFrame({"sections": pd.Series(sections, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    return run(c)
 
 
 def extract_subheadings(c: Column) -> Column:

@@ -6,11 +6,13 @@ chunks; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import rules, text
-from docloom.functions.markdown import cleaned_sections, extract_subheadings
+from docloom.functions.markdown import cleaned_sections_of, extract_subheadings, guarded_sections
 
 CHUNK_COLUMNS = [
     "id", "content", "rawContent", "breadcrumb", "version", "sourceFile", "heading", "subHeadings", "hasCode",
@@ -62,22 +64,29 @@ def overflow_split(blocks: Column, title: Column, most: int = rules.MAX_TOKENS,
 
 
 def build_chunks(
-    files: DataFrame, most: int = rules.MAX_TOKENS, keep_intro: bool = False, product: str | None = None
-) -> DataFrame:
-    """``files(path, text)`` as chunks, with chunk_index; (sourceFile, chunk_index) is the key."""
-    read = files.select(
-        F.col("path").alias("sourceFile"), cleaned_sections(F.coalesce(F.col("text"), F.lit(""))).alias("sections")
-    )
+    files: DataFrame, most: int = rules.MAX_TOKENS, keep_intro: bool = False, product: str | None = None,
+    parse: Callable[[str], list[dict]] = cleaned_sections_of, errors: bool = False,
+) -> DataFrame:
+    """``files(path, text)`` as chunks, with chunk_index; (sourceFile, chunk_index) is the key.
+
+    A file for which ``parse``, from a text to its sections, raises has no chunks and stops no other. With ``errors`` there is a
+    column ``error``, and such a file has one row of it, whose other columns but sourceFile are null.
+    """
+    read = files.select(F.col("path").alias("sourceFile"), guarded_sections(F.coalesce(F.col("text"), F.lit("")), parse).alias("read"))
     folded = read.select(
-        "sourceFile", doc_title(F.col("sections"), F.col("sourceFile")).alias("title"),
-        fold_blocks(F.col("sections"), keep_intro).alias("blocks"),
-    )
-    parts = folded.select(
-        "sourceFile", "title", F.inline(overflow_split(F.col("blocks"), F.col("title"), most))
+        "sourceFile", "read.error", doc_title(F.col("read.sections"), F.col("sourceFile")).alias("title"),
+        fold_blocks(F.col("read.sections"), keep_intro).alias("blocks"),
     )
+    split = overflow_split(F.col("blocks"), F.col("title"), most)
+    if errors:
+        nothing = F.array(F.struct(F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("raw")))
+        split = F.when(F.col("error").isNull(), split).otherwise(nothing)
+    else:
+        folded = folded.filter("error IS NULL")
+    parts = folded.select("sourceFile", "title", "error", F.inline(split))
     raw, path = F.col("raw"), F.col("sourceFile")
     named = parts.select(
-        "sourceFile", "chunk_index", "heading", "raw",
+        "sourceFile", "chunk_index", "heading", "raw", "error",
         text.breadcrumb(F.col("title"), F.col("heading")).alias("breadcrumb"),
         text.extract_version(path).alias("version"),
         extract_subheadings(raw).alias("subHeadings"),
@@ -87,9 +96,12 @@ def build_chunks(
         text.extract_category(path, raw, product).alias("category"),
         text.extract_tags(raw, product).alias("tags"),
     )
-    return named.select(
+    made = named.select(
         text.chunk_id(F.col("version"), path, F.col("chunk_index")).alias("id"),
         text.build_content(*(F.col(c) for c in ("heading", "breadcrumb", "subHeadings", "tags", "raw"))).alias("content"),
         F.col("raw").alias("rawContent"),
-        *CHUNK_COLUMNS[3:],
-    )
+        *CHUNK_COLUMNS[3:], "error",
+    )
+    if not errors:
+        return made.drop("error")
+    return made.select(*[c if c in ("sourceFile", "error") else F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in made.columns])

@@ -40,3 +40,12 @@ def nearest_before(rows: DataFrame, value: str, out: str) -> DataFrame:
 
 def nearest_after(rows: DataFrame, value: str, out: str) -> DataFrame:
     return _running(rows, value, out, False)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows``, of `in_order`, with their ``number`` in the order, from 0."""
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(PART).agg(F.count(F.lit(1)).alias("_size"), F.min(PLACE).alias("_first"))
+    sizes = sizes.select(PART, "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    # Places follow each other within a range.
+    return rows.join(F.broadcast(sizes), PART).withColumn("number", F.col(PLACE) - F.col("_first") + F.col("_before")).drop("_first", "_before")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.ordered import in_order, numbered
+
 
 def kb_versions(version: Column) -> Column:
     """The tables a chunk belongs to: v5 and v6 for both."""
@@ -40,10 +42,22 @@ def file_summary(chunks: DataFrame) -> DataFrame:
     )
 
 
+def _category() -> Column:
+    return F.coalesce(F.nullif("category", F.lit("")), F.lit("uncategorized"))
+
+
 def category_index(chunks: DataFrame) -> DataFrame:
     """For each category, the number of chunks and files; null and empty are uncategorized."""
-    c = F.coalesce(F.nullif("category", F.lit("")), F.lit("uncategorized"))
-    return chunks.groupBy(c.alias("category")).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("sourceFile").alias("files"))
+    return chunks.groupBy(_category().alias("category")).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("sourceFile").alias("files"))
+
+
+def category_ids(chunks: DataFrame, size: int = 10_000) -> DataFrame:
+    """(category, piece, ids): all ids of each category in order, in pieces of ``size``, however many a category has."""
+    named = chunks.select(_category().alias("category"), F.coalesce("id", F.lit("")).alias("id"), "sourceFile", "chunk_index")
+    ordered = numbered(in_order(named, "category", "id", "sourceFile", "chunk_index"))
+    first = ordered.groupBy("category").agg(F.min("number").alias("first"))
+    placed = ordered.join(first, "category").withColumn("piece", F.floor((F.col("number") - F.col("first")) / size))
+    return placed.groupBy("category", "piece").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
 def id_cardinality(chunks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from docloom.operators import maintenance, rates, search, stats, validation
 from docloom.operators.chunks import doc_title, fold_blocks
 from docloom.plans import tables as t
 from docloom.plans.streams import as_stream, streamed
-from docloom.sources.files import read_snapshot
+from docloom.sources.buckets import read_buckets
 from docloom.sources.scratch import stored
 from docloom.streaming import jobs
 
@@ -394,6 +394,18 @@ def category_index(spark: SparkSession, d: str) -> DataFrame:
     return stats.category_index(_plain_chunks(spark, d))
 
 
+@query(
+    f"""WITH {t.DOCS_MD_SQL}, c AS (SELECT {_CATEGORY_SQL} AS category, path, CASE WHEN contains(path, 'v5_docs') THEN 'v5' WHEN contains(path, 'v6_docs') THEN 'v6' ELSE 'both' END
+      || '-' || regexp_extract(path, '([^/]*)\\.md$', 1) || '-0' AS id FROM docs_md),
+    n AS (SELECT *, (row_number() OVER (PARTITION BY category ORDER BY id, path) - 1) // 100 AS piece FROM c)
+    SELECT category, piece, string_agg(id, ',' ORDER BY id) AS ids FROM n GROUP BY 1, 2"""
+)
+def category_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every category, in pieces of a hundred."""
+    found = stats.category_ids(_plain_chunks(spark, d), 100)
+    return found.select("category", "piece", F.array_join("ids", ",").alias("ids"))
+
+
 _IDS = f"""WITH {t.DOCS_MD_SQL}, i AS (SELECT CASE WHEN contains(path, 'v5_docs') THEN 'v5' WHEN contains(path, 'v6_docs') THEN 'v6' ELSE 'both' END
   || '-' || regexp_extract(path, '([^/]*)\\.md$', 1) || '-0' AS id FROM docs_md)"""
 
@@ -638,4 +650,4 @@ def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     files = t.as_markdown(as_stream(spark, d, "documents")).select("path", "text", F.lit(0).cast("timestamp").alias("ts"))
     target = streamed(files, lambda f, folder: jobs.stream_ingest(f, f"{folder}/kb", f"{folder}/state", most=t.MOST_TOKENS))
-    return read_snapshot(spark, f"{target}/kb").select("sourceFile", "chunk_index", "heading", "tokens")
+    return read_buckets(spark, f"{target}/kb").select("sourceFile", "chunk_index", "heading", "tokens")

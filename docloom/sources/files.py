@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from docloom.functions.rules import SKIP_DIRS
 from docloom.operators.stats import by_kb
+from docloom.sources.tree import list_files, with_texts
 
 CHUNK_SCHEMA = (
     "id string, content string, rawContent string, breadcrumb string, version string, sourceFile string, heading string, "
     "subHeadings array<string>, hasCode boolean, codeLanguages array<string>, tokens int, category string, tags array<string>, "
     "embedding array<float>, chunk_index int"
 )
-FILES_SCHEMA = "path string, text string"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -33,29 +33,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_markdown_corpus(spark: SparkSession, roots: list[str], skip: tuple[str, ...] = SKIP_DIRS) -> DataFrame:
     """(path, text) of all .md files below the roots that exist, but for hidden and skipped directories.
 
-    Spark's file sources leave out names that begin with _ or a dot; ingest such files as rows (path, text) instead.
+    File names may begin with _ or a dot. A path is its root as it was given, then what is below.
     """
-    out = spark.createDataFrame([], FILES_SCHEMA)
-    bad = "|".join(s.replace(".", r"\.") for s in skip)
-    for root in roots:
-        if _exists(spark, root):
-            files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-            path = F.col("_metadata.file_path")
-            below = F.substring(path, F.instr(path, root.rstrip("/")) + len(root.rstrip("/")), F.length(path))
-            out = out.unionByName(
-                files.select(path.alias("path"), below.alias("below"), F.col("value").alias("text"))
-                .filter(~F.col("below").rlike(rf"/(\.[^/]*|{bad})/"))
-                .select("path", "text")
-            )
-    return out
+    return with_texts(list_files(spark, roots, skip, ".md"))
 
 
-def read_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """All JSON arrays of chunks below a root; files that are not, and rows without an id, are left out."""
+def _chunk_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(path, value, entries): the .json files below a root as texts, and how many entries a file has if it is an array."""
     if not _exists(spark, root):
-        return spark.createDataFrame([], CHUNK_SCHEMA)
-    read = spark.read.schema(CHUNK_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
-    return read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root).filter("id IS NOT NULL")
+        return spark.createDataFrame([], "path string, value string, entries int")
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    return files.select(F.col("_metadata.file_path").alias("path"), "value", F.json_array_length("value").alias("entries"))
+
+
+def read_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks of all files below a root that are JSON arrays.
+
+    Entries that are no objects or have no id are left out; a field of another type than it should have is null.
+    """
+    rows = _chunk_texts(spark, root).filter("entries IS NOT NULL")
+    each = rows.select(F.explode(F.from_json("value", "array<string>")).alias("entry")).filter(F.col("entry").startswith("{"))
+    return each.select(F.from_json("entry", CHUNK_SCHEMA).alias("c")).select("c.*").filter("id IS NOT NULL")
+
+
+def unread_chunk_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, reason): the files below a root that `read_chunks` leaves out: broken, or no array."""
+    other = F.json_object_keys("value").isNotNull() | F.try_parse_json("value").isNotNull()
+    return _chunk_texts(spark, root).filter("entries IS NULL").select("path", F.when(other, "no array").otherwise("no JSON").alias("reason"))
 
 
 def read_chunk_file(spark: SparkSession, root: str, category: str, file: str) -> DataFrame:
@@ -83,12 +87,12 @@ def write_kb_metadata(stats: DataFrame, out: str, last_changed: list[str] | None
     rows.coalesce(1).write.mode("overwrite").json(out)
 
 
-def write_outcomes(outcomes: DataFrame, out: str) -> None:
-    """Staged payloads of judged requests, by operation and status."""
+def write_outcomes(outcomes: DataFrame, out: str, batch_id: int | None = None) -> None:
+    """Staged payloads of judged requests, by operation and status; with a batch's id in a folder of its own, which it overwrites."""
     payload = F.struct(*[F.col(c) for c in outcomes.columns if c not in ("op", "status")])
-    outcomes.select("op", "status", F.current_timestamp().alias("timestamp"), payload.alias("request")).write.mode("append").partitionBy(
-        "op", "status"
-    ).json(out)
+    rows = outcomes.select("op", "status", F.current_timestamp().alias("timestamp"), payload.alias("request"))
+    folder, mode = (out, "append") if batch_id is None else (f"{out}/batch={batch_id}", "overwrite")
+    rows.write.mode(mode).partitionBy("op", "status").json(folder)
 
 
 def _pointers(spark: SparkSession, target: str) -> DataFrame:

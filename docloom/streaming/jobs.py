@@ -10,46 +10,49 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.window import Window
 
 from docloom.functions import rules
 from docloom.operators.chunks import build_chunks
-from docloom.operators.maintenance import replace_by_source
 from docloom.operators.validation import stage_errors
-from docloom.sources.files import read_snapshot, swap_snapshot
+from docloom.sources.buckets import BUCKETS, merge_into_buckets
+from docloom.sources.files import write_outcomes
 
 
-def merge_batch(target: str, most: int = rules.MAX_TOKENS, embed: Callable | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the last version of each path is chunked and replaces its file's chunks in the snapshot.
+def merge_batch(
+    target: str, stream: str, most: int = rules.MAX_TOKENS, embed: Callable | None = None, buckets: int = BUCKETS
+) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the last version of each path is chunked and replaces its file's chunks in the table at ``target``.
 
-    Merging is idempotent, so a batch that runs again changes nothing.
+    Only the buckets of files in the batch are read and rewritten. A batch that runs again changes nothing.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        w = Window.partitionBy("path").orderBy(F.col("ts").desc(), F.col("text").desc())
-        last = batch.withColumn("nth", F.row_number().over(w)).filter("nth = 1").select("path", "text")
+        last = batch.groupBy("path").agg(F.max_by("text", F.struct("ts", "text")).alias("text"))
         fresh = build_chunks(last, most)
         if embed is not None:
             fresh = fresh.withColumn("embedding", embed(fresh))
-        try:
-            old = read_snapshot(batch.sparkSession, target)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = fresh.limit(0)
-        swap_snapshot(replace_by_source(old, fresh), target)
+        merge_into_buckets(fresh, target, stream, batch_id, buckets)
 
     return run
 
 
 def stream_ingest(files: DataFrame, target: str, checkpoint: str, **options):
-    """``files(path, text, ts)`` flow into the snapshot at ``target``; returns the started query of what is there."""
+    """``files(path, text, ts)`` flow into the table at ``target`` (see `read_buckets`); returns the started query of what is there."""
     return (
-        files.writeStream.foreachBatch(merge_batch(target, **options))
+        files.writeStream.foreachBatch(merge_batch(target, checkpoint, **options))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stream_outcomes(judged: DataFrame, out: str, checkpoint: str):
+    """Payloads of judged requests, a folder a batch, which a batch that runs again overwrites; returns the started query."""
+    return (
+        judged.writeStream.foreachBatch(lambda batch, batch_id: write_outcomes(batch, out, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -10,17 +10,27 @@ from docloom.operators.chunks import build_chunks
 from docloom.operators.rates import rate_limit
 from docloom.operators.validation import check_existence, stage_errors
 from docloom.sources import files
+from docloom.sources.buckets import merge_into_buckets, read_buckets
 from docloom.streaming import jobs
 from tests.test_operators import GOOD, SCHEMA
 
 
 def test_corpus_and_tables(spark, tmp_path):
-    for name in ("v5_docs/a.md", "v5_docs/.vitepress/b.md", "v5_docs/assets/c.md", "v6_docs/d/e.md", "v6_docs/d/x.txt", "other/f.md"):
+    (tmp_path / "docs" / "v6_docs" / "empty").mkdir(parents=True)
+    names = ["v5_docs/a.md", "v5_docs/.vitepress/b.md", "v5_docs/assets/c.md", "v5_docs/d/.git/y.md", "v6_docs/d/e.md", "v6_docs/d/x.txt", "other/f.md"]
+    for name in [*names, "v5_docs/d/_discord.md", "v6_docs/_sidebar/g.md", "other/.h.md", "_top.md", ".hidden/i.md", "assets/j.md", "other/assets.md"]:
         (tmp_path / "docs" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "docs" / name).write_text(f"# T\n\n## {name}\ntext\n")
     read = files.read_markdown_corpus(spark, [str(tmp_path / "docs"), str(tmp_path / "missing")])
-    assert sorted(r.path.split("docs/", 1)[1] for r in read.collect()) == ["other/f.md", "v5_docs/a.md", "v6_docs/d/e.md"]
-    chunks = build_chunks(read)
+    assert sorted(r.path.split("docs/", 1)[1] for r in read.collect()) == [
+        "_top.md", "other/.h.md", "other/assets.md", "other/f.md", "v5_docs/a.md", "v5_docs/d/_discord.md", "v6_docs/_sidebar/g.md", "v6_docs/d/e.md",
+    ]
+    uri = files.read_markdown_corpus(spark, [f"file://{tmp_path}/docs/"]).filter("path LIKE '%/_discord.md'").first()
+    assert uri.path == f"file://{tmp_path}/docs/v5_docs/d/_discord.md" and uri.text == "# T\n\n## v5_docs/d/_discord.md\ntext\n"
+    assert files.read_markdown_corpus(spark, [str(tmp_path / "missing")]).count() == files.read_markdown_corpus(spark, []).count() == 0
+    (tmp_path / "docs" / "other" / "bytes.md").write_bytes(b"caf\xe9 \xc3\xa9")
+    assert files.read_markdown_corpus(spark, [str(tmp_path / "docs/other")]).filter("path LIKE '%bytes.md'").first().text == "caf\ufffd é"
+    chunks = build_chunks(read.filter("path RLIKE '/(a|e|f)[.]md$'"))
     files.write_chunks(chunks, str(tmp_path / "out"))
     table = spark.read.parquet(str(tmp_path / "out"))
     assert {r.kb_version: r["count"] for r in table.groupBy("kb_version").count().collect()} == {"v5": 2, "v6": 2}
@@ -36,7 +46,15 @@ def test_chunk_files(spark, tmp_path):
     (root / "core" / "a.json").write_text(json.dumps([{"id": "1", "tokens": 3}, {"id": "2"}]))
     (root / "meta.json").write_text(json.dumps({"generated": "now"}))
     (root / "bad.json").write_text("{ not json")
-    assert sorted(r.id for r in files.read_chunks(spark, str(root)).collect()) == ["1", "2"]
+    (root / "half.json").write_text('[{"id": "3"}, {"id"')
+    (root / "object.json").write_text(json.dumps({"id": "4", "content": "no array"}))
+    (root / "deep.json").write_text(json.dumps([{"id": "5", "tokens": "many", "tags": ["a"], "embedding": [1, 2.5], "more": 1}, {"content": "no id"}, 7, [{"id": "6"}]]))
+    (root / "empty.json").write_text("")
+    read = files.read_chunks(spark, str(root))
+    assert sorted(r.id for r in read.collect()) == ["1", "2", "5"]
+    assert [(r.tokens, r.tags, r.embedding) for r in read.filter("id = '5'").collect()] == [(None, ["a"], [1.0, 2.5])]
+    left = {r.path.rsplit("/", 1)[1]: r.reason for r in files.unread_chunk_files(spark, str(root)).collect()}
+    assert {k: v for k, v in left.items() if k != "empty.json"} == {"meta.json": "no array", "object.json": "no array", "bad.json": "no JSON", "half.json": "no JSON"}
     assert files.read_chunk_file(spark, str(root), "core", "a.json").count() == 2
     assert files.read_chunk_file(spark, str(root), "core", "missing.json").count() == 0
     assert files.read_chunks(spark, str(root / "none")).count() == 0
@@ -54,7 +72,7 @@ def test_ingest(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         jobs.stream_ingest(stream, target, str(tmp_path / "ck")).awaitTermination()
-    got = {r.sourceFile: r.rawContent for r in files.read_snapshot(spark, target).collect()}
+    got = {r.sourceFile: r.rawContent for r in read_buckets(spark, target).collect()}
     assert got == {"docs/v5_docs/a.md": "## x\n\n3", "docs/v6_docs/b.md": "## x\n\n1"}
 
 
@@ -110,3 +128,64 @@ def test_snapshots_are_swapped_and_retired(spark, tmp_path):
         assert sorted(r.id for r in files.read_snapshot(spark, target).collect()) == [i, i + 1]
     left = {p.name for p in (tmp_path / "kb").iterdir() if p.name.startswith("snapshot-")}
     assert left == set(names[2:]) and spark.read.parquet(f"{target}/{names[2]}").count() == 2
+
+
+def _folders(root) -> dict[str, float]:
+    return {str(f.relative_to(root)): f.stat().st_mtime_ns for f in sorted(root.rglob("*.parquet"))}
+
+
+def test_a_merge_rewrites_only_its_buckets(spark, tmp_path):
+    """Files of other buckets stay as they are, a batch that runs again changes nothing, and a failed one runs anew."""
+    schema = "sourceFile string, version string, chunk_index int, heading string"
+    chunks = lambda names, h: spark.createDataFrame([(f"docs/v5_docs/{n}.md", "v5", 0, h) for n in names], schema)
+    target, root = str(tmp_path / "kb"), tmp_path / "kb" / "data"
+    every = merge_into_buckets(chunks("abcdefgh", "one"), target, "s", 0, 8)
+    assert len(every) > 2
+    first = _folders(root)
+    [bucket] = merge_into_buckets(chunks("a", "two"), target, "s", 1)
+    second = _folders(root)
+    assert {k: v for k, v in second.items() if k in first} == first
+    assert {k.split("/")[0] for k in second if k not in first} == {f"bucket={bucket}"}
+    for again in (0, 1):
+        assert merge_into_buckets(chunks("abc", "never"), target, "s", again) == []
+    assert _folders(root) == second
+    got = {r.sourceFile[-4]: r.heading for r in read_buckets(spark, target).collect()}
+    assert got == {n: "two" if n == "a" else "one" for n in "abcdefgh"}
+    # What a failed merge has left in its generation is overwritten when it runs again.
+    chunks("z", "left by a failure").selectExpr("*", f"{bucket} AS bucket", "2 AS generation").write.mode("append").partitionBy("bucket", "generation").parquet(str(root))
+    assert {r.heading for r in read_buckets(spark, target).collect()} == {"one", "two"}
+    merge_into_buckets(chunks("a", "three"), target, "s", 2)
+    merge_into_buckets(chunks("a", "four"), target, "other", 0)
+    merge_into_buckets(spark.createDataFrame([("x", "both", 0, "skipped")], schema), target, "s", 3)
+    assert sorted(r.heading for r in read_buckets(spark, target).collect()) == ["four"] + ["one"] * 7
+    assert {k.split("/")[1] for k in _folders(root) if k.startswith(f"bucket={bucket}/")} == {"generation=3"}
+    assert {p.name for p in (tmp_path / "kb" / "pointers").iterdir()} == {"n=3", "n=4"}
+
+
+def test_outcomes_of_a_batch_are_stored_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "submit", "accepted"), (2, "remove", "rejected")], "id long, op string, status string")
+    for batch in (0, 1, 1):
+        files.write_outcomes(rows, str(tmp_path / "out"), batch)
+    assert spark.read.json(str(tmp_path / "out")).groupBy("batch").count().filter("count = 2").count() == 2
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        jobs.stream_outcomes(stream, str(tmp_path / "streamed"), str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.json(str(tmp_path / "streamed")).count() == 2
+
+
+def _parse(text: str) -> list[dict]:
+    if "broken" in text:
+        raise KeyError(text)
+    return [{"level": 1, "heading": "T", "body": ""}, {"level": 2, "heading": "x", "body": text}]
+
+
+def test_a_failing_file_leaves_a_row(spark):
+    texts = [(f"docs/v5_docs/{i}.md", "broken" if i == 3 else f"text {i}") for i in range(8)]
+    table = spark.createDataFrame(texts, "path string, text string").coalesce(1)
+    told = build_chunks(table, parse=_parse, errors=True)
+    bad = told.filter("error IS NOT NULL").collect()
+    assert [(r.sourceFile, r.error, r.id, r.chunk_index, r.tokens) for r in bad] == [("docs/v5_docs/3.md", "KeyError: 'broken'", None, None, None)]
+    fine = build_chunks(table, parse=_parse)
+    assert sorted(r.rawContent for r in fine.collect()) == sorted(f"## x\n\n{t}" for _, t in texts if t != "broken")
+    assert sorted(map(str, told.filter("error IS NULL").drop("error").collect())) == sorted(map(str, fine.collect()))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,38 @@ def test_embedding(spark):
     assert [r[0] for r in bad.select(embedding.needs_reembedding(F.col("e"), 2)).collect()] == [False, False, False, False, True, True]
 
 
+def _picky_model():
+    def encode(texts):
+        if any("bad" in t for t in texts):
+            raise KeyError("bad")
+        out = np.ones((len(texts), 2))
+        out[[t == "infinite" for t in texts]] = np.inf
+        return out
+
+    return encode
+
+
+def test_one_bad_text_spoils_no_other(spark):
+    """Whatever the model raises, exactly the texts that fail alone have no vector, and the attempts are told."""
+    texts = [None, "", "infinite"] + [f"t{i}" for i in range(13)] + ["bad"] + [f"u{i}" for i in range(16)] + ["bad, too"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").coalesce(1)
+    out = {r.id: r.e for r in rows.select("id", embedding.embed_attempts(F.col("t"), _picky_model).alias("e")).collect()}
+    assert {texts[i] for i, e in out.items() if e.vector is None} == {None, "", "infinite", "bad", "bad, too"}
+    assert [out[i].attempts for i in (0, 1)] == [0, 0] and out[16].error == "KeyError: 'bad'" and out[2].error == "no finite vector"
+    assert 1 < max(e.attempts for e in out.values()) <= 7
+    assert [r.e for r in rows.filter("id > 16 AND id < 20").select(embedding.embed(F.col("t"), _picky_model).alias("e")).collect()] == [pytest.approx([0.5**0.5] * 2)] * 3
+
+
+def test_ids_of_a_category_in_pieces(spark):
+    rows = [("c" if i % 10 else None, f"id{i * 7919 % 1000:04d}", "f", i) for i in range(1000)] + [("", None, "g", 0)]
+    table = spark.createDataFrame(rows, "category string, id string, sourceFile string, chunk_index int").repartition(5)
+    pieces = {(r.category, r.piece): r.ids for r in stats.category_ids(table, 64).collect()}
+    assert all(len(ids) == 64 or (c, n + 1) not in pieces for (c, n), ids in pieces.items())
+    for c, own in (("c", [r for r in rows if r[0] == "c"]), ("uncategorized", [r for r in rows if not r[0]])):
+        assert sum((pieces[k] for k in sorted(pieces) if k[0] == c), []) == sorted(r[1] or "" for r in own)
+    assert stats.category_ids(table.limit(0)).count() == 0
+
+
 def test_merge_is_idempotent(spark):
     schema = "sourceFile string, version string, heading string"
     old = spark.createDataFrame([("a", "v5", "A"), ("b", "v5", "B"), ("a6", "v6", "A6")], schema)
