@@ -12,8 +12,9 @@ from docloom.operators import maintenance, rates, search, stats, validation
 from docloom.operators.chunks import doc_title, fold_blocks
 from docloom.plans import tables as t
 from docloom.plans.streams import as_stream, streamed
+from docloom.sources import files
 from docloom.sources.buckets import read_buckets
-from docloom.sources.scratch import stored
+from docloom.sources.scratch import new_folder, stored
 from docloom.streaming import jobs
 
 FLAGSHIP = "search_vectors"
@@ -155,6 +156,12 @@ def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
     return t.docs_md(spark, d).select("doc_id", F.sha2(cleaned(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
+@query(f"WITH {t.MARKED_SQL} SELECT doc_id, sha256(text) AS digest FROM cleaned")
+def cleaning_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Front matter, badges, image lines, language blocks and block quotes."""
+    return t.docs_marked(spark, d).select("doc_id", F.sha2(cleaned(F.col("text")).cast("binary"), 256).alias("digest"))
+
+
 @query(
     """WITH x AS (SELECT doc_id, text, lower(text) AS l, position('that' IN lower(text)) AS a, position('und' IN lower(text)) AS b FROM documents),
     p AS (SELECT doc_id, text, greatest(coalesce(least(nullif(a, 0), nullif(b, 0)), 1) - 60, 1) AS s FROM x)
@@ -373,6 +380,10 @@ def _plain_chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: The same without the list of categories.
+_STATS_COUNTS = f'SELECT kb_version, files, chunks, "withCode", tags FROM ({_STATS})'
+
+
 @query(_STATS)
 def version_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.version_stats(_plain_chunks(spark, d))
@@ -381,12 +392,14 @@ def version_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {t.CHUNKS_SQL}, c AS (SELECT "sourceFile" AS path, raw AS text, tokens, chunk_index FROM chunks),
     e AS (SELECT path, tokens, chunk_index, {_CATEGORY_SQL} AS category,
-      list_filter({_quoted(rules.of_product(rules.TAGS, None))}, lambda x: contains(lower(text), x)) AS tags FROM c)
+      list_filter({_quoted(rules.of_product(rules.TAGS, None))}, lambda x: contains(lower(text), x)) AS tags,
+      list_transform(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^##{{1,3}}\\s+.')),
+        lambda l: trim(regexp_replace(l, '^#+\\s+', ''), ' ' || chr(9) || chr(13))) AS subs FROM c)
     SELECT path AS "sourceFile", count(*) AS chunks, min_by(tokens, chunk_index) AS first_tokens, count(DISTINCT category) AS categories,
-      len(list_distinct(flatten(list(tags)))) AS tags FROM e GROUP BY 1"""
+      len(list_distinct(flatten(list(tags)))) AS tags, len(list_distinct(flatten(list(subs)))) AS subheadings FROM e GROUP BY 1"""
 )
 def file_summary(spark: SparkSession, d: str) -> DataFrame:
-    return stats.file_summary(t.chunks(spark, d)).select("sourceFile", "chunks", "first_tokens", "categories", "tags")
+    return stats.file_summary(t.chunks(spark, d))
 
 
 @query(f"WITH {t.DOCS_MD_SQL} SELECT {_CATEGORY_SQL} AS category, count(*) AS chunks, count(DISTINCT path) AS files FROM docs_md GROUP BY 1")
@@ -425,6 +438,17 @@ def embedding_dim_audit(spark: SparkSession, d: str) -> DataFrame:
     return stats.embedding_dim_audit(t.vector_chunks(spark, d))
 
 
+@query(
+    """SELECT vec_id, label % 3 = 0 OR label % 3 = 2 AS v5, label % 3 > 0 AS v6, label % 3 = 2 AS v7, TRUE AS "both", TRUE AS "all" FROM embeddings"""
+)
+def filter_by_version(spark: SparkSession, d: str) -> DataFrame:
+    """Which versions a query may ask for to see each chunk."""
+    rows = t.vector_chunks(spark, d)
+    return rows.select(
+        F.col("chunk_index").cast("long").alias("vec_id"), *[search.filter_by_version(F.lit(v), F.col("version")).alias(v) for v in ("v5", "v6", "v7", "both", "all")]
+    )
+
+
 @query(
     """SELECT 'docs/l' || label || '.md' AS "sourceFile", count(*) AS total, count(*) FILTER (WHERE label % 3 = 0) AS v5,
     count(*) FILTER (WHERE label % 3 = 1) AS v6, count(*) FILTER (WHERE label % 3 = 2) AS "both" FROM embeddings GROUP BY 1"""
@@ -433,6 +457,30 @@ def file_version_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.file_version_counts(t.vector_chunks(spark, d))
 
 
+# Files: what is written and read again
+
+
+@query(
+    f"""WITH {t.CHUNKS_SQL} SELECT unnest(CASE WHEN contains("sourceFile", 'v5_docs') THEN ['v5'] WHEN contains("sourceFile", 'v6_docs') THEN ['v6'] ELSE ['v5', 'v6'] END) AS kb_version,
+    "sourceFile", chunk_index, heading, sha256(raw) AS digest FROM chunks"""
+)
+def written_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written by version and read again."""
+    out = new_folder(spark, "chunks")
+    files.write_chunks(t.chunks(spark, d), out)
+    rows = spark.read.parquet(out)
+    return rows.select("kb_version", "sourceFile", "chunk_index", "heading", F.sha2(F.col("rawContent").cast("binary"), 256).alias("digest"))
+
+
+@query(_STATS_COUNTS)
+def kb_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics written with their time and read again."""
+    out = new_folder(spark, "metadata")
+    files.write_kb_metadata(stats.version_stats(_plain_chunks(spark, d)), out, ["a.md"])
+    rows = spark.read.schema("kb_version string, files long, chunks long, withCode long, tags long, generated timestamp, lastChangedFiles array<string>").json(out)
+    return rows.filter("generated IS NOT NULL AND lastChangedFiles[0] = 'a.md'").select("kb_version", "files", "chunks", "withCode", "tags")
+
+
 # Maintenance
 
 
@@ -446,9 +494,9 @@ def _delta(spark: SparkSession, d: str) -> DataFrame:
     FROM docs_md WHERE doc_id % 10 IN (2, 3, 4)"""
 )
 def detect_changes(spark: SparkSession, d: str) -> DataFrame:
-    files = t.docs_md(spark, d)
-    now = files.withColumn("text", F.when(F.col("doc_id") % 10 == 4, F.concat("text", F.lit("+"))).otherwise(F.col("text")))
-    return maintenance.detect_changes(files.filter("doc_id % 10 <> 2"), now.filter("doc_id % 10 <> 3"))
+    was = t.docs_md(spark, d)
+    now = was.withColumn("text", F.when(F.col("doc_id") % 10 == 4, F.concat("text", F.lit("+"))).otherwise(F.col("text")))
+    return maintenance.detect_changes(was.filter("doc_id % 10 <> 2"), now.filter("doc_id % 10 <> 3"))
 
 
 _MERGED = f"""WITH {t.DOCS_MD_SQL}, v AS (SELECT *, CASE WHEN contains(path, 'v5_docs') THEN 'v5' WHEN contains(path, 'v6_docs') THEN 'v6' ELSE 'both' END AS version FROM docs_md)"""
@@ -566,6 +614,17 @@ def contribution_manifest(spark: SparkSession, d: str) -> DataFrame:
     return validation.contribution_manifest(rows.filter("status = 'accepted' AND op <> 'remove'"), F.col("ts"))
 
 
+@query(_CLOCK_SQL + """ SELECT request_id, op, CASE WHEN failed_stage IS NULL THEN 'accepted' ELSE 'rejected' END AS status, failed_stage, 7 AS batch FROM v""")
+def staged_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Judged requests staged as a batch, twice, and read again."""
+    out = new_folder(spark, "outcomes")
+    judged = stored(validation.validate_requests(t.requests(spark, d), t.known_paths(spark, d)))
+    for _ in range(2):
+        files.write_outcomes(judged, out, 7)
+    rows = spark.read.schema("request struct<request_id: long, failed_stage: string>, op string, status string, batch int").json(out)
+    return rows.select("request.request_id", "op", "status", "request.failed_stage", "batch")
+
+
 @query(
     f"""WITH {t.REQUESTS_SQL}, b AS (SELECT *, request_id % 7 = 0 AS bad FROM r)
     SELECT request_id, concat_ws('|',
@@ -646,8 +705,20 @@ def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.col("key").alias("user_id"), "allowed", "wait_seconds")
 
 
+@query(
+    ORACLES["rate_limit"] + " WHERE event_id IN (SELECT event_id FROM events WHERE (epoch_us(ts) // 1000000 + 1) * 1000000 <= (SELECT max(epoch_us(ts)) FROM events) - 86400000000)"
+)
+def stream_rate_limit_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with events that may come a day late, as far as the watermark has come at the end of the stream."""
+    events = as_stream(spark, d, "events").select(
+        F.col("user_id").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    )
+    out = streamed(jobs.stream_rate_limit(events, 6 * 3600, "1 day"))
+    return out.select("event_id", F.col("key").alias("user_id"), "allowed", "wait_seconds")
+
+
 @query(f'WITH {t.CHUNKS_SQL} SELECT "sourceFile", chunk_index, heading, tokens FROM chunks WHERE NOT starts_with("sourceFile", \'docs/other\')')
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    files = t.as_markdown(as_stream(spark, d, "documents")).select("path", "text", F.lit(0).cast("timestamp").alias("ts"))
-    target = streamed(files, lambda f, folder: jobs.stream_ingest(f, f"{folder}/kb", f"{folder}/state", most=t.MOST_TOKENS))
+    rows = t.as_markdown(as_stream(spark, d, "documents")).select("path", "text", F.lit(0).cast("timestamp").alias("ts"))
+    target = streamed(rows, lambda f, folder: jobs.stream_ingest(f, f"{folder}/kb", f"{folder}/state", most=t.MOST_TOKENS))
     return read_buckets(spark, f"{target}/kb").select("sourceFile", "chunk_index", "heading", "tokens")

@@ -63,6 +63,32 @@ DOCS_MD_SQL = f"""docs_md AS (
          WHEN (k - 1) % 7 = 5 THEN '### ' || x ELSE x END), chr(10)) AS text FROM documents)"""
 
 
+def docs_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): `documents` with front matter, and lines in badges, behind images, in language blocks and in block quotes, by number."""
+    put = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+
+    def marked(line: Column, i: Column) -> Column:
+        return (
+            F.when(i % 6 == 1, put("<Badges>\n", line, "\n</Badges>"))
+            .when(i % 6 == 2, put("![an image](a.png) ", line))
+            .when(i % 6 == 3, put('<LanguageBlock global-id="ts">\n', line, "\n \n</LanguageBlock>"))
+            .when(i % 6 == 4, put('<BlockQuote type="tip" label="Note">\n', line, "\n</BlockQuote>"))
+            .when(i % 6 == 5, put('<BlockQuote type="danger">\n', line, "\n</BlockQuote>"))
+            .otherwise(put("+ ", line))
+        )
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), marked)
+    return read(spark, sf_dir, "documents").select("doc_id", put("---\ntitle: t\n---\n", F.array_join(lines, "\n")).alias("text"))
+
+
+#: What the cleaning makes of `docs_marked`: dropped lines are null.
+MARKED_SQL = r"""
+l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+cleaned AS (SELECT doc_id, coalesce(string_agg(CASE i % 6 WHEN 0 THEN '+ ' || x WHEN 3 THEN CASE WHEN regexp_matches(x, '[^\x{20}\x{09}-\x{0D}\x{A0}\x{FEFF}\x{2028}\x{2029}]') THEN x END
+    WHEN 4 THEN '> **Note:**' || chr(10) || '> ' || x WHEN 5 THEN '> **danger:**' || chr(10) || '> ' || x END, chr(10) ORDER BY i), '') AS text FROM l GROUP BY doc_id)
+""".replace("\\\\", "\\")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_chunks(docs_md(spark, sf_dir).select("path", "text"), MOST_TOKENS)
 

@@ -38,28 +38,28 @@ def read_markdown_corpus(spark: SparkSession, roots: list[str], skip: tuple[str,
     return with_texts(list_files(spark, roots, skip, ".md"))
 
 
-def _chunk_texts(spark: SparkSession, root: str) -> DataFrame:
-    """(path, value, entries): the .json files below a root as texts, and how many entries a file has if it is an array."""
+def _chunk_texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, value, entries): the files below a root as texts, and how many entries a file has if it is an array."""
     if not _exists(spark, root):
         return spark.createDataFrame([], "path string, value string, entries int")
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_path").alias("path"), "value", F.json_array_length("value").alias("entries"))
 
 
-def read_chunks(spark: SparkSession, root: str) -> DataFrame:
+def read_chunks(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """The chunks of all files below a root that are JSON arrays.
 
     Entries that are no objects or have no id are left out; a field of another type than it should have is null.
     """
-    rows = _chunk_texts(spark, root).filter("entries IS NOT NULL")
+    rows = _chunk_texts(spark, root, pattern).filter("entries IS NOT NULL")
     each = rows.select(F.explode(F.from_json("value", "array<string>")).alias("entry")).filter(F.col("entry").startswith("{"))
     return each.select(F.from_json("entry", CHUNK_SCHEMA).alias("c")).select("c.*").filter("id IS NOT NULL")
 
 
-def unread_chunk_files(spark: SparkSession, root: str) -> DataFrame:
+def unread_chunk_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """(path, reason): the files below a root that `read_chunks` leaves out: broken, or no array."""
     other = F.json_object_keys("value").isNotNull() | F.try_parse_json("value").isNotNull()
-    return _chunk_texts(spark, root).filter("entries IS NULL").select("path", F.when(other, "no array").otherwise("no JSON").alias("reason"))
+    return _chunk_texts(spark, root, pattern).filter("entries IS NULL").select("path", F.when(other, "no array").otherwise("no JSON").alias("reason"))
 
 
 def read_chunk_file(spark: SparkSession, root: str, category: str, file: str) -> DataFrame:
