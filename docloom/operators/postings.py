@@ -122,8 +122,20 @@ def words_of(queries: DataFrame) -> DataFrame:
     return queries.select("_query", F.explode(split).alias("word")).filter("word != ''")
 
 
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., text, terms, words) to (..., told): the terms whose word is in the text."""
+    for batch in batches:
+        texts, terms, words = (batch.column(c).to_pylist() for c in ("text", "terms", "words"))
+        told = [[t for t, w in zip(ts, ws, strict=True) if w in text] for text, ts, ws in zip(texts, terms, words, strict=True)]
+        kept = [c for c in batch.schema.names if c not in ("text", "terms", "words")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(told, pa.list_(pa.int64()))], [*kept, "told"])
+
+
 def word_matches(index: Index, words: DataFrame) -> DataFrame:
-    """(n, term): the texts that have each of the distinct ``words(term, word)`` in them."""
+    """(n, sourceFile, chunk_index, version, told): the texts that have some of the distinct ``words(term, word)`` in them, and which.
+
+    A text is read if a word's rarest piece is in it, once for all words that it may have.
+    """
     wanted = stored(words.select("term", "word").mapInArrow(_pieces, "term long, gram long").withColumn("bucket", _bucket(F.col("gram"))))
     asked = wanted.select("bucket", "gram").distinct()
     often = index.lists.select("bucket", "gram", "size").join(asked, ["bucket", "gram"]).groupBy("bucket", "gram").agg(F.sum("size").alias("often"))
@@ -131,6 +143,7 @@ def word_matches(index: Index, words: DataFrame) -> DataFrame:
     rare = told.groupBy("term").agg(F.min_by(F.struct("bucket", "gram"), F.struct("often", "gram")).alias("rare"), F.bool_and(F.col("often").isNotNull()).alias("there"))
     rare = stored(rare.filter("there").select("term", "rare.bucket", "rare.gram").join(words, "term"))
     near = index.lists.join(rare, ["bucket", "gram"]).select(F.explode("texts").alias("n"), "term", "word")
-    exact, long = F.char_length("word") <= 3, F.char_length("word") > 3
-    looked = near.filter(long).join(index.texts.select("n", "text"), "n").filter(F.contains("text", F.col("word")))
-    return near.filter(exact).select("n", "term").unionByName(looked.select("n", "term"))
+    of_text = near.groupBy("n").agg(F.collect_list(F.struct("term", "word")).alias("near"))
+    looked = index.texts.join(of_text, "n").select("n", "sourceFile", "chunk_index", "version", "text", F.col("near.term").alias("terms"), F.col("near.word").alias("words"))
+    schema = "n long, sourceFile string, chunk_index int, version string, told array<long>"
+    return looked.mapInArrow(_present, schema).filter(F.size("told") > 0)

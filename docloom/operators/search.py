@@ -142,7 +142,6 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_LIMIT
     words = words_of(asked)
     terms = stored(words.select("word").distinct().withColumn("term", F.monotonically_increasing_id()))
     wanted = words.join(terms, "word").groupBy("_query").agg(F.collect_list("term").alias("asked"))
-    has = word_matches(index, terms).groupBy("n").agg(F.collect_list("term").alias("told"))
-    rows = index.texts.select("n", "sourceFile", "chunk_index", "version").join(has, "n").drop("n")
+    rows = word_matches(index, terms).drop("n")
     sent = asked.join(wanted, "_query").select("query_id", "version", "asked")
     return _ranked(best_by_tiles(sent, rows, count_scorer, k, 1.0), k)

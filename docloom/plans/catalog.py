@@ -325,6 +325,43 @@ def limit_and_project(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(_SEARCH_SQL)
+def search_raw_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search, from raw queries: a text that names a vector, with spaces, an unknown version and odd limits."""
+    chunks = stored(t.vector_chunks(spark, d).withColumns({
+        "id": F.col("sourceFile"), "heading": F.col("sourceFile"), "breadcrumb": F.col("sourceFile"), "content": F.col("version"),
+        "category": F.col("version"), "subHeadings": F.array("version"), "tags": F.array("version"),
+    }))
+    raw = t.vector_queries(spark, d).select(
+        "query_id", F.concat(F.lit(" "), F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), ","), F.lit("\n")).alias("query"),
+        F.when(F.col("version") == "all", "v9").otherwise(F.col("version")).alias("version"), (F.col("limit") + 0.5).alias("limit"),
+        F.when(F.col("tokens_budget") == 0, -3.0).otherwise(F.col("tokens_budget") + 0.25).alias("tokens_budget"),
+    )
+    found = search.search(raw, chunks, lambda c: F.split(c, ",").cast("array<double>"))
+    return found.select("query_id", "sourceFile", "chunk_index", "rank", "score", "tokens")
+
+
+@query(
+    _SEARCH_SQL.replace("SELECT query_id, \"sourceFile\", chunk_index, r::INT AS rank, s AS score, tokens FROM final WHERE r <= lim", """,
+    few AS (SELECT * FROM final WHERE r <= lim AND query_id % 300 <> 0)
+    SELECT q.query_id, 'q' || q.query_id AS query, q.version, count(few.query_id) AS count, coalesce(sum(few.tokens), 0)::BIGINT AS "totalTokens",
+      coalesce(string_agg(few."sourceFile" || '#' || few.chunk_index, ',' ORDER BY r), '') AS hits
+    FROM q LEFT JOIN few ON few.query_id = q.query_id GROUP BY ALL""").replace(")\n,\n", "),\n").replace(")\n,", "),")
+)
+def search_responses(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON a query, read again; every third query has no hits."""
+    queries, chunks = t.vector_queries(spark, d), t.vector_chunks(spark, d)
+    found = search.pipeline(search.vector_topk(queries, chunks), queries, chunks).filter("query_id % 300 <> 0").withColumns({
+        "id": F.concat_ws("#", "sourceFile", "chunk_index"), "heading": F.lit("h"), "breadcrumb": F.lit("b"), "category": F.lit("c"), "content": F.lit("\"x\"\n"),
+        "covers": F.array(F.lit("s")), "tags": F.array(F.lit("t")),
+    })
+    asked = queries.select("query_id", F.concat(F.lit("q"), F.col("query_id")).alias("query"), "version")
+    hit = "rank int, id string, heading string, breadcrumb string, category string, tokens int, score double, covers array<string>, tags array<string>, content string, sourceFile string"
+    body = F.from_json("response", f"query string, version string, results array<struct<{hit}>>, totalTokens long, count long").alias("r")
+    told = search.search_response(asked, found).select("query_id", body)
+    return told.select("query_id", "r.query", "r.version", "r.count", "r.totalTokens", F.array_join(F.col("r.results.id"), ",").alias("hits"))
+
+
 def _text_queries(spark: SparkSession, d: str) -> DataFrame:
     return t.read(spark, d, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"),
