@@ -186,9 +186,10 @@ def matches(index: Index, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tupl
         if doc != last:
             own = words[bounds[doc] : bounds[doc + 1]]
             last, runs = doc, tk.shingle_hashes(own, np.array([0, len(own)]), RUN)[0]
-            for w in index.short:  # items shorter than a run, at any place
-                bits = [tk.shingle_hashes(own[k : k + w], np.array([0, w]), RUN)[0] for k in range(len(own) - w + 1)]
-                runs = np.concatenate([runs, *bits])
+            for w in index.short:  # items shorter than a run, at any place: each w words in a row as a text of their own
+                if len(own) >= w:
+                    places = np.lib.stride_tricks.sliding_window_view(own, w)
+                    runs = np.concatenate([runs, tk.shingle_hashes(places.ravel(), np.arange(len(places) + 1) * w, RUN)[0]])
         q, a = overlaps(index, item, runs)
         if q >= LEAST_OVERLAP and a >= LEAST_OVERLAP:
             yield doc, item, score, q, a
