@@ -69,7 +69,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         .filter("n > 1")
         .select("a", "b", "first")
     )
-    later = windows.join(repeated, ["a", "b"]).filter(place > F.col("first"))
+    # Written, so that both sides of the join are plain exchanges: only then are large partitions of the windows split.
+    later = windows.join(written(repeated), ["a", "b"]).filter(place > F.col("first"))
     return (
         later.select("doc_id", "version", F.explode("at").alias("i"))
         .groupBy("doc_id", "version")
