@@ -7,19 +7,20 @@ Counts. One pass counts all training tokens; counting is pre-aggregated in the t
 The unigram probability of a token is ``(c + 0.1) / (N + 0.1 * (V + 1))``.
 
 Model. Each token seen LEAST_COUNT times or more is a symbol with embeddings of its own, as target and as context, so that
-their number grows with the corpus, up to the HEAD most frequent ones; all others share one. A symbol's score is bilinear in
+their number grows with the corpus, up to the HEAD most frequent ones. The others fall into buckets by their hash, a symbol
+each, whose number grows with that of these tokens: one for each BUCKET_KINDS to twice as many, up to BUCKETS. A symbol's score is bilinear in
 the embeddings of its context, the two symbols before it, and its own, plus a bias. Symbols by falling frequency are the
 leaves of a tree of LEVELS levels with about the same number of children everywhere; each node has an embedding and a bias as
 a target, and the probability of a symbol is the product of those of its path, each among siblings only, so that exact
-sums over siblings, by batched matrix products, normalise it. A token without a symbol has the shared symbol's probability
-times its unigram share among such tokens, so that the probabilities of all tokens, with one slot for unseen ones, add to 1.
+sums over siblings, by batched matrix products, normalise it. A token in a bucket has the bucket's probability times its
+unigram share in it, so that the probabilities of all tokens, with one slot a bucket for unseen ones, add to 1.
 
 Training is noise-contrastive estimation at each level, with noise from the siblings, and reads every training
 token once: each of ROUNDS rounds takes the documents of its hash, in shards whose number grows with the corpus. The tasks
 improve the same parameters on their shard and pass on the rows they touched; Spark deals these out by row and averages
 each, weighted by the tokens behind it. A shard too small for STEPS batches goes over its tokens again.
 
-The parameters are broadcast: 2 * DIM + 4 bytes for each of 2.05 * HEAD rows at most, 40 MB, at any size of the corpus; so are
+The parameters are broadcast: 2 * DIM + 4 bytes for each of 2.05 * (HEAD + BUCKETS) rows at most, 49 MB, at any size of the corpus; so are
 the counts of the HEAD most frequent tokens (20 bytes each, and 8 MB to find them by). A document's other tokens are joined with
 the table of counts, distinct ones with their number.
 
@@ -43,6 +44,8 @@ from docloom.llm.shared import written
 
 #: Tokens whose counts are broadcast, and of which those with LEAST_COUNT have embeddings.
 HEAD, LEAST_COUNT = 1 << 19, 16
+#: Other tokens that share a symbol, at least, and symbols that are shared, at most.
+BUCKET_KINDS, BUCKETS = 128, 1 << 17
 DIM, LEVELS, ROUNDS, RATE = 16, 3, 4, 0.15
 #: Noise of each position: among siblings on upper levels, and among leaves.
 NOISE, LEAF_NOISE = 12, 2
@@ -52,6 +55,8 @@ BATCH, SMALL_BATCH, STEPS = 16384, 1024, 80
 HELD_TOKENS = 1 << 20
 #: A round has up to SHARDS shards, of SHARD_LEAST tokens at least, and more when these would have over SHARD_MOST.
 SHARDS, SHARD_LEAST, SHARD_MOST = 12, 1 << 20, 1 << 24
+#: Where the bits of a token's hash that tell its bucket begin.
+BUCKET_SHIFT = 20
 #: The hash that stands for the end of a text.
 END = 0x454E44454E44454E
 #: Distinct keys a task holds before it passes them on.
@@ -101,11 +106,19 @@ def _summed(texts: DataFrame, keys) -> DataFrame:
     return texts.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
+def bucket_count(kinds: int) -> int:
+    """Buckets of so many tokens: a power of two, one at least."""
+    return 1 << max(0, min(kinds // BUCKET_KINDS, BUCKETS).bit_length() - 1)
+
+
 class Head:
-    """The most frequent tokens by falling count: hash to place, len(n) for all others."""
+    """The most frequent tokens by falling count: hash to place, len(n) for all others.
+
+    The first ``own`` are symbols of their own; all other tokens, in the head or not, are in ``buckets`` by bits of their hash.
+    """
 
-    def __init__(self, hashes: np.ndarray, n: np.ndarray) -> None:
-        self.n = n
+    def __init__(self, hashes: np.ndarray, n: np.ndarray, own: int = 0, buckets: int = 1) -> None:
+        self.n, self.own, self.buckets = n, own, buckets
         order = np.argsort(hashes)
         self.hashes, self.places = hashes[order], order.astype(np.int32)
         # Tokens are found by their hash's leading bits: about one in four slots has a token.
@@ -127,6 +140,11 @@ class Head:
         return out
 
 
+    def symbols(self, words: np.ndarray, place: np.ndarray) -> np.ndarray:
+        bucket = (words >> tk.U(BUCKET_SHIFT)) & tk.U(self.buckets - 1)
+        return np.where(place < self.own, place, self.own + bucket.astype(np.int32))
+
+
 def contexts(symbols: np.ndarray, bounds: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The symbol before each token and the one before that; ``start`` before a text."""
     one, two = np.empty_like(symbols), np.empty_like(symbols)
@@ -375,7 +393,7 @@ def train(texts: DataFrame, tokens_in_all: int, shared, targets: int, unigram: n
                 for i, j in tk.parts(offsets):
                     trainer = trainer or Trainer(unpacked(*sent.value), step)
                     words, bounds = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    w = np.minimum(shared.value.of(words), targets - 1)
+                    w = shared.value.symbols(words, shared.value.of(words))
                     held.append((w, *contexts(w, bounds, targets)))
                     size += len(w)
                     if size >= HELD_TOKENS:
@@ -405,7 +423,7 @@ class Learned:
     kinds: int
     head: Head
     model: Model
-    rest: float  # unigram share of the tokens that have no symbol
+    rest: np.ndarray  # unigram share of the tokens of each bucket, with one for unseen ones
 
     @property
     def floor(self) -> float:
@@ -430,13 +448,21 @@ def learned(docs: DataFrame) -> Learned:
         least = s
     top = counts.filter(step >= least).toArrow()
     order = np.lexsort((top["k"].to_numpy(), -top["n"].to_numpy()))
-    head = Head(top["k"].to_numpy()[order].astype(np.int64).astype(tk.U), top["n"].to_numpy()[order].astype(np.int64))
-    own = head.n[: np.count_nonzero(head.n >= LEAST_COUNT)]
-    p = (own + 0.1) / (total + 0.1 * (kinds + 1))
-    rest = max(1.0 - p.sum(), 1e-12)
+    hashes, n = top["k"].to_numpy()[order].astype(np.int64).astype(tk.U), top["n"].to_numpy()[order].astype(np.int64)
+    own = int(np.count_nonzero(n >= LEAST_COUNT))
+    buckets = bucket_count(kinds - own)
+    others = counts.filter(~((step >= least) & (F.col("n") >= LEAST_COUNT)))
+    bucket = F.shiftrightunsigned("k", BUCKET_SHIFT).bitwiseAND(F.lit(buckets - 1))
+    shares = others.groupBy(bucket.alias("bucket")).agg((F.sum("n") + 0.1 * F.count(F.lit(1))).alias("share")).toArrow()  # BUCKETS rows at most
+    rest = np.full(buckets, 0.1)
+    rest[shares["bucket"].to_numpy()] += shares["share"].to_numpy()
+    floor = total + 0.1 * (kinds + 1)
+    rest /= floor
+    unigram = np.r_[(n[:own] + 0.1) / floor, rest]
+    head = Head(hashes, n, own, buckets)
     shared = docs.sparkSession.sparkContext.broadcast(head)
     deal = F.xxhash64("doc_id", F.octet_length("text"))
-    model = train(training.select("text", deal.alias("deal")), total, shared, len(p) + 1, np.r_[p, rest] / (p.sum() + rest))
+    model = train(training.select("text", deal.alias("deal")), total, shared, len(unigram), unigram / unigram.sum())
     shared.unpersist()
     return Learned(counts, total, kinds, head, model, rest)
 
@@ -456,7 +482,6 @@ def scored(docs: DataFrame, known: Learned | None = None) -> DataFrame:
         head, model = shared.value[0], unpacked(*shared.value[1])
         n = np.r_[head.n, 0]
         logs = np.log10((n + 0.1) / floor)
-        other = model.targets - 1
         for batch in batches:
             raw, offsets = tk.text_bytes(batch.column(2))
             for i, j in tk.parts(offsets):
@@ -464,9 +489,10 @@ def scored(docs: DataFrame, known: Learned | None = None) -> DataFrame:
                 place = head.of(words)
                 here = place < len(head.n) if not complete else np.ones(len(words), bool)  # else the count is in the table only
                 base = np.where(here, logs[place], 0.0)
-                w = np.minimum(place, other)
+                w = head.symbols(words, place)
                 lm = model.log_probabilities(w, *contexts(w, bounds, model.targets)) / np.log(10)
-                lm += np.where(w == other, base - log_rest, 0.0)
+                shared_by = np.maximum(w - head.own, 0)
+                lm += np.where(w >= head.own, base - log_rest[shared_by], 0.0)
                 add = lambda x, at=bounds[:-1]: np.add.reduceat(x, at)
                 away = np.flatnonzero(~here)
                 doc, k = np.searchsorted(bounds, away, "right") - 1, words[away].astype(np.int64)

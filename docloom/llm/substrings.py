@@ -258,7 +258,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     names = written(zones.groupBy("k1", "k2a", "k2b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("zone")))
     whole = names.filter("n > 1").select("k2a", "k2b")
     runs = zones.join(whole, ["k2a", "k2b"]).select("doc_id", "version", "unit", "first", "last")
-    mixed_groups = (
+    # Written, so that a hot key's partition of names is split, as above.
+    mixed_groups = written(
         names.groupBy("k1")
         .agg(F.count(F.lit(1)).alias("names"), F.min("n").alias("least"))
         .filter("names > 1 AND least = 1")
@@ -273,7 +274,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     pieces = written(
         _joined(_maybe(docs, lists).filter("maybe"), lists).mapInArrow(_cut, _BYTES).dropDuplicates(["doc_id", "version", "unit", "first"])
     )
-    dropped(lists)
+    dropped(lists, mixed_groups)
     runs = runs.union(
         pieces.filter("NOT hot").repartition("k1").sortWithinPartitions("k1").mapInArrow(_compared, _RUNS)
     )

@@ -1,7 +1,7 @@
 """Vectorised text work inside tasks: words, hashes of words, byte windows. Everything is linear in the text.
 
-Words are the runs ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 bytes. A hash of bytes b[s:e] is
-``sum(table[b[i]] * base**(i - s))`` modulo 2**64, by prefix sums, and then mixed.
+Words are the runs ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 bytes; their hashes mix their bytes in one after the other, eight at
+a time, as sums of powers modulo 2**64 would be equal for some words of two letters, whatever the table.
 """
 
 from __future__ import annotations
@@ -141,13 +141,10 @@ def word_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int =
 
 def placed_words(raw: np.ndarray, offsets: np.ndarray, fold: bool = False, seed: int = 1) -> tuple[np.ndarray, ...]:
     """64-bit hashes of all words in order, their starts and ends in ``raw``, and the offsets of each document's words."""
-    table = byte_table(seed)[FOLDED if fold else SAME]
+    table = FOLDED if fold else SAME
     hashes, starts, ends = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for begin, end, s, e in word_bounds(raw, offsets):
-        up, down = POWERS.get(end - begin + 1)
-        sums = np.zeros(end - begin + 1, U)
-        np.cumsum(table[raw[begin:end]] * up[:-1], out=sums[1:])
-        hashes.append(mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(U)))
+        hashes.append(word_keys(table[raw[begin:end]], s, e, seed))
         starts.append(s + begin)
         ends.append(e + begin)
     starts = np.concatenate(starts)
