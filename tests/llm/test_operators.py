@@ -346,9 +346,8 @@ def brute_score(known, text) -> float:
     hashes = [int(h) for h in lm.tokens(np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))]))[0]]
     m, place = known.model, {int(h): int(p) for h, p in zip(known.head.hashes, known.head.places, strict=True)}
     counts = {r.k & (1 << 64) - 1: r.n for r in known.counts.collect()}
-    own = m.targets - len(known.rest)
-    place = {h: p for h, p in place.items() if p < own}
-    symbol = [place.get(h, own + (h >> lm.BUCKET_SHIFT) % len(known.rest)) for h in hashes]
+    other = m.targets - 1
+    symbol = [min(place.get(h, other), other) for h in hashes]
     total = 0.0
     for i, w in enumerate(symbol):
         one, two = (symbol[i - k] if i >= k else m.targets for k in (1, 2))
@@ -361,21 +360,16 @@ def brute_score(known, text) -> float:
                 scores[x] = math.exp(float(q @ m.rows[m.starts[level] + x]) + float(m.bias[m.starts[level] + x]))
             total += math.log10(scores[node] / sum(scores.values()))
             node = parent
-        if w >= own:
-            total += math.log10((counts.get(hashes[i], 0) + 0.1) / known.floor / known.rest[w - own])
+        if w == other:
+            total += math.log10((counts.get(hashes[i], 0) + 0.1) / known.floor / known.rest)
     return total
 
 
 def test_lm_scores_by_value(spark, messy, messy_rows, monkeypatch):
     monkeypatch.setattr(lm, "LEAST_COUNT", 3)
-    monkeypatch.setattr(lm, "BUCKET_KINDS", 8)
     for head in (lm.HEAD, 50):
         monkeypatch.setattr(lm, "HEAD", head)
         known = lm.learned(messy)
-        # Each token that was seen is in one share, and each bucket has a slot for unseen ones.
-        own = known.model.targets - len(known.rest)
-        mass = known.floor + 0.1 * (len(known.rest) - 1)
-        assert len(known.rest) > 1 and ((known.head.n[:own] + 0.1).sum() + known.rest.sum() * known.floor) == pytest.approx(mass)
         got = sorted((str(r.doc_id), r.n_tokens, round(r.score, 2)) for r in lm.scored(messy, known).collect())
         # Broadcast parameters have 16 bits.
         known.model = lm.unpacked(*known.model.packed())
