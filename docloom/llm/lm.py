@@ -353,8 +353,9 @@ def averaged(sent: DataFrame, model: Model, parts: int) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([new.tobytes()], pa.binary())], ["part", "flat"])
 
     dealt = sent.repartition(parts, F.pmod("row", F.lit(parts))).mapInArrow(run, "part long, flat binary")
-    for r in dealt.toLocalIterator():  # one part at a time in the driver's memory
-        new = np.frombuffer(bytes(r["flat"]), np.float32).reshape(-1, DIM + 1)
+    # One job for all parts, as many as the model has rows: 73 MB at most.
+    for r in dealt.toArrow().to_pylist():
+        new = np.frombuffer(r["flat"], np.float32).reshape(-1, DIM + 1)
         known = ~np.isnan(new[:, 0])
         ids = np.arange(r["part"], rows_in_all, parts)[known]
         model.rows[ids], model.bias[ids] = new[known, :DIM], new[known, DIM]
