@@ -249,3 +249,44 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(F.when(F.size("runs") > 0, F.concat("told", F.lit("\n"))).otherwise("")).alias("runs_sha256"),
         digest(F.col("collapsed")).alias("collapsed_sha256"),
     )
+
+
+#: A run of period q has five words or more in a row that are equal q words on: runs are joined from equal strings of five words.
+SQL = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+           xor(4294967295, list_reduce(
+               list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: (CASE WHEN c = '' THEN -1 ELSE ord(c) END)::BIGINT)),
+               lambda x, y: CASE WHEN y < 0 THEN x ELSE list_reduce(
+                   list_prepend(xor(x, y), range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) END
+           )) AS h
+    FROM documents
+),
+n AS (SELECT r, h % 10 = 0 AS altered, len(words) AS n, h // 10 AS g FROM d WHERE len(words) > 0),
+rule AS MATERIALIZED (SELECT r, altered, n, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM n),
+word AS MATERIALIZED (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM d),
+text AS MATERIALIZED (
+    SELECT r, i, n, word.w
+    FROM (SELECT r, i, n, CASE WHEN altered AND i >= a THEN a + (i - a) % p ELSE i END AS j FROM word JOIN rule USING (r)) t
+    JOIN (SELECT r, i AS j, w FROM word) word USING (r, j)
+),
+five AS MATERIALIZED (
+    SELECT * FROM (
+        SELECT r, i, n, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS f
+        FROM text WINDOW o AS (PARTITION BY r ORDER BY i)
+    ) WHERE i + 5 <= n
+),
+same AS (SELECT x.r, y.i - x.i AS q, x.i FROM five x JOIN five y ON x.r = y.r AND x.f = y.f AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretch AS (
+    SELECT r, q, min(i) AS s, max(i) - min(i) + 5 + q AS l
+    FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same) GROUP BY r, q, island
+),
+run AS MATERIALIZED (SELECT r, s, l, min(q) AS q FROM stretch WHERE l >= greatest(6, 4 * q) GROUP BY r, s, l),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY r ORDER BY l DESC, s, q) = 1),
+told AS (SELECT r, count(*) AS n, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS t FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t FROM text ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(told.n, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period, (1000 * l // q)::BIGINT AS exponent_milli,
+       sha256(coalesce(told.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""

@@ -26,7 +26,9 @@ ORACLES = {
     "op3_line_dedup": lines.SQL,
     "op4_decontamination": contamination.SQL,
     "op5_source_mix": mixing.SQL,
+    "op6_substring_dedup": substrings.SQL,
     "op7_url_filter": urls.SQL,
     "op9_ngram_join": jaccard.SQL,
     "op12_document_fingerprints": fingerprints.SQL,
+    "op13_periodic_runs": periods.SQL,
 }

@@ -355,3 +355,45 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"),
         "passage_words",
     )
+
+
+#: Every string of 400 bytes and of 51 words by its digest; texts are cut first, as DuckDB walks a text to find a place in it.
+SQL = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+),
+piece AS (SELECT r, k, substr(x, 2000 * k + 1, 2798) AS y FROM d, unnest(range(0, strlen(x) // 2000 + 1)) AS u(k)),
+place AS MATERIALIZED (
+    SELECT r, 1000 * k + i AS o, md5(substr(y, 2 * i + 1, 800)) AS h
+    FROM piece, unnest(range(0, least(1000, strlen(y) // 2 - 399))) AS u(i)
+),
+again AS (SELECT r, o FROM place WHERE h IN (SELECT h FROM place GROUP BY h HAVING count(*) > 1)),
+cut AS (SELECT r, o, o - lag(o, 1, -1000) OVER (PARTITION BY r ORDER BY o) > 400 AS new FROM again),
+span AS (
+    SELECT r, min(o) AS s, max(o) + 400 AS e
+    FROM (SELECT r, o, sum(new::INT) OVER (PARTITION BY r ORDER BY o) AS g FROM cut) GROUP BY r, g
+),
+gap AS (
+    SELECT r, s AS k, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) AS a, s AS b FROM span
+    UNION ALL SELECT r, strlen(x) // 2 + 1, coalesce(e, 0), strlen(x) // 2 FROM d LEFT JOIN (SELECT r, max(e) AS e FROM span GROUP BY r) USING (r)
+),
+kept AS (SELECT r, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY k) AS y FROM gap JOIN d USING (r) GROUP BY r),
+word AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS o FROM d),
+passage AS MATERIALIZED (
+    SELECT r, o, md5(y) AS h
+    FROM (
+        SELECT r, o, string_agg(w, ' ') OVER f AS y, count(*) OVER f AS n
+        FROM word WINDOW f AS (PARTITION BY r ORDER BY o ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)
+    ) WHERE n = 51
+),
+said AS (SELECT r, o FROM passage WHERE h IN (SELECT h FROM passage GROUP BY h HAVING count(*) > 1)),
+spoken AS (
+    SELECT r, sum(least(51, o - before)) AS n
+    FROM (SELECT r, o, lag(o, 1, -51) OVER (PARTITION BY r ORDER BY o) AS before FROM said) GROUP BY r
+)
+SELECT doc_id, (strlen(x) // 2)::BIGINT AS n_bytes, coalesce(c.n, 0)::BIGINT AS n_removed, coalesce(c.spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(y)) AS kept_sha256, coalesce(p.n, 0)::BIGINT AS passage_words
+FROM d JOIN kept USING (r) LEFT JOIN (SELECT r, sum(e - s) AS n, count(*) AS spans FROM span GROUP BY r) c USING (r) LEFT JOIN spoken p USING (r)
+"""
