@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import fingerprints, periods, textkernel, whitening
+from docloom.llm import fingerprints, periods, substrings, textkernel, whitening
 from tests.compare import duck, rows
 from tests.llm import brute
 
@@ -196,3 +196,11 @@ def test_word_keys_tell_words_apart():
     starts, ends, _ = textkernel.word_places(raw, offsets)
     keys = textkernel.word_keys(raw, starts, ends)
     assert len(set(keys.tolist())) == len(words) and keys[: len(words)].tolist() == keys[len(words) :].tolist()
+
+
+def test_sql_of_odd_rows(spark, messy_rows, tmp_path):
+    """Null and equal ids, null, empty and very long texts, repeated rows: substring dedup and runs against their SQL."""
+    spark.createDataFrame(messy_rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query, sql in ((substrings.op6_substring_dedup, substrings.SQL), (periods.op13_periodic_runs, periods.SQL)):
+        out = query(spark, str(tmp_path))
+        assert rows(out.columns, out.collect()) == messy_sql(messy_rows, sql)
