@@ -52,6 +52,9 @@ BATCH, SMALL_BATCH, STEPS = 16384, 1024, 80
 HELD_TOKENS = 1 << 20
 #: A round has up to SHARDS shards, of SHARD_LEAST tokens at least, and more when these would have over SHARD_MOST.
 SHARDS, SHARD_LEAST, SHARD_MOST = 12, 1 << 20, 1 << 24
+#: Tokens that are scored together: their scores among siblings stay in a core's cache.
+SCORED = 1024
+COLUMNS = np.arange(SCORED)
 #: The hash that stands for the end of a text.
 END = 0x454E44454E44454E
 #: Distinct keys a task holds before it passes them on.
@@ -153,50 +156,63 @@ def level_sizes(targets: int) -> list[int]:
 class Model:
     """Log-bilinear scores ``(near * E[one] + far * E[two]) . T[node] + b[node]`` on each level of the tree.
 
-    All vectors are rows of one matrix, E, T from the leaves up, near and far; each has a bias, of which those of T count.
+    All vectors are rows of one matrix, E, T from the leaves up, near and far, with a bias as last column, of which those of T count.
     Targets are the symbols of the tree; contexts are these and the start of a text.
     """
 
     def __init__(self, rows: np.ndarray, bias: np.ndarray, targets: int) -> None:
-        self.rows, self.bias, self.targets = rows, bias, targets
+        self.flat = np.empty((len(rows), DIM + 1), np.float32)
+        self.rows, self.bias, self.targets = self.flat[:, :DIM], self.flat[:, DIM], targets
+        self.rows[:], self.bias[:] = rows, bias
         self.fan, self.sizes = fan(targets), level_sizes(targets)
         self.starts = [targets + 1 + sum(self.sizes[:level]) for level in range(LEVELS)]
         self.dense = len(rows) - 2
 
-    def children(self, level: int, parent: int) -> slice:
-        """The rows of a parent's children, which are nodes of ``level``."""
-        first = parent * self.fan
-        return slice(self.starts[level] + first, self.starts[level] + min(first + self.fan, self.sizes[level]))
+    def children(self, level: int, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first rows of the parents' children, which are nodes of ``level``, and their numbers."""
+        first = parents * self.fan
+        return self.starts[level] + first, np.minimum(self.fan, self.sizes[level] - first)
 
     def query(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.rows[self.dense] * self.rows[one] + self.rows[self.dense + 1] * self.rows[two]
-
+        """What vectors with their bias are multiplied with: the last column is 1."""
+        q, far = self.flat.take(one, axis=0), self.flat.take(two, axis=0)
+        q *= self.flat[self.dense]
+        far *= self.flat[self.dense + 1]
+        q += far
+        q[:, DIM] = 1
+        return q
+
+    @np.errstate(over="ignore")
     def log_probabilities(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log of the probability of each w after one and two, from exact sums over the siblings on its path."""
         out = np.zeros(len(w))
         order = np.argsort(w)
-        node, q = w[order], self.query(one[order], two[order])
-        got = np.zeros(len(w), np.float32)
+        node, q = w[order].astype(np.int64), self.query(one[order], two[order]).T  # a token is a column
+        got, z = np.zeros(len(w), np.float32), np.empty(len(w), np.float32)
+        held = np.empty(self.fan * SCORED, np.float32)
         for level in range(LEVELS):
             parent = node // self.fan
-            cuts = np.r_[np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]]), len(parent)].tolist()
             child = node - parent * self.fan
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                rows = self.children(level, int(parent[a]))
-                if rows.stop - rows.start == 1:
+            at, runs = segments(parent)
+            first, size = self.children(level, parent[at])
+            z[:] = 1
+            for a, b, i, n in zip(at.tolist(), (at + runs).tolist(), first.tolist(), size.tolist(), strict=True):
+                if n == 1:
                     continue
-                T, bias = self.rows[rows].T, self.bias[rows]
-                for c in range(a, b, 1 << 13):
-                    d = min(b, c + (1 << 13))
-                    s = q[c:d] @ T
-                    s += bias
-                    mine = s[np.arange(d - c), child[c:d]]
-                    with np.errstate(over="ignore", divide="ignore"):
-                        z = np.log(np.exp(s).sum(axis=1))
-                    if not np.isfinite(z).all():
-                        most = s.max(axis=1)
-                        z = most + np.log(np.exp(s - most[:, None]).sum(axis=1))
-                    got[c:d] += mine - z
+                T = self.flat[i : i + n]
+                for c in range(a, b, SCORED):
+                    d = min(b, c + SCORED)
+                    s = held[: n * (d - c)].reshape(n, d - c)
+                    np.matmul(T, q[:, c:d], out=s)
+                    got[c:d] += held.take(child[c:d] * (d - c) + COLUMNS[: d - c])
+                    np.exp(s, out=s)
+                    s.sum(axis=0, out=z[c:d])
+                    if not (z[c:d].min() > 0 and z[c:d].max() < np.inf):
+                        s = T @ q[:, c:d]
+                        most = s.max(axis=0)
+                        got[c:d] -= most
+                        z[c:d] = np.exp(s - most).sum(axis=0)
+            got -= np.log(z)
             node = parent
         out[order] = got
         return out
@@ -206,7 +222,7 @@ class Model:
 
 
 def unpacked(rows: bytes, bias: bytes, targets: int) -> Model:
-    return Model(np.frombuffer(rows, np.float16).reshape(-1, DIM).astype(np.float32), np.frombuffer(bias, np.float32).copy(), targets)
+    return Model(np.frombuffer(rows, np.float16).reshape(-1, DIM), np.frombuffer(bias, np.float32), targets)
 
 
 def fresh(unigram: np.ndarray) -> Model:
@@ -241,75 +257,88 @@ class Trainer:
 
     def __init__(self, model: Model, seed: int) -> None:
         self.m = model
-        self.squares, self.bias_squares = np.ones(len(model.rows), np.float32), np.full(len(model.rows), 1000, np.float32)
+        self.squares = np.repeat(np.array([[1, 1000]], np.float32), len(model.rows), axis=0)  # of vectors and biases
         self.weight = np.zeros(len(model.rows), np.float32)
         self.r, self.steps = np.random.default_rng(seed), 0
 
-    def move(self, rows: np.ndarray, g: np.ndarray, gb: np.ndarray | None = None) -> None:
-        squares = self.squares[rows] + np.einsum("nd,nd->n", g, g) / DIM
+    def move(self, rows: np.ndarray, g: np.ndarray) -> None:
+        """One step of distinct rows by gradients of their vectors and biases, which it uses up."""
+        squares = self.squares.take(rows, axis=0)
+        squares[:, 0] += np.einsum("nd,nd->n", g[:, :DIM], g[:, :DIM]) / DIM
+        squares[:, 1] += g[:, DIM] * g[:, DIM]
         self.squares[rows] = squares
-        self.m.rows[rows] += g * (RATE / np.sqrt(squares))[:, None]
-        if gb is not None:
-            squares = self.bias_squares[rows] + gb * gb
-            self.bias_squares[rows] = squares
-            self.m.bias[rows] += RATE * gb / np.sqrt(squares)
+        rates = RATE / np.sqrt(squares)
+        g[:, :DIM] *= rates[:, :1]
+        g[:, DIM] *= rates[:, 1]
+        g += self.m.flat.take(rows, axis=0)
+        self.m.flat[rows] = g
 
     def batch(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m, n = self.m, len(w)
         order = np.argsort(w)
         node, one, two = w[order], one[order], two[order]
-        e1, e2 = m.rows[one], m.rows[two]
-        q = m.rows[m.dense] * e1 + m.rows[m.dense + 1] * e2
-        dq, moves = np.zeros_like(q), []
+        e1, e2 = m.flat.take(one, axis=0), m.flat.take(two, axis=0)
+        q = m.flat[m.dense] * e1
+        q += m.flat[m.dense + 1] * e2
+        q[:, DIM] = 1  # so that biases are the last factor of a score, and their gradients the last column
+        dq, moves, made = np.zeros_like(q), [], np.empty_like(q)
         for level in range(LEVELS):
             at, runs = segments(node)
             own = node[at] + m.starts[level]
             parent = node // m.fan
             p_at, p_runs = segments(parent)
-            first = parent[p_at] * m.fan
-            size = np.minimum(m.fan, m.sizes[level] - first)
+            first, size = m.children(level, parent[p_at])
             noise = np.minimum(NOISE if level else LEAF_NOISE, size)  # distinct siblings, evenly spaced from a random one
             shift = np.log(noise).astype(np.float32)  # biases are relative to the siblings' mean, as noise is
-            t = np.repeat(m.rows[own], runs, axis=0)
+            by = np.repeat(shift, p_runs)
+            t = np.repeat(m.flat.take(own, axis=0), runs, axis=0)
             up = np.einsum("nd,nd->n", q, t)
-            up += np.repeat(m.bias[own], runs)
-            up -= np.repeat(shift, p_runs)
+            up -= by
             up = 1 - sigmoid(up)
             t *= up[:, None]
             dq += t
-            moves.append((own, np.add.reduceat(up[:, None] * q, at), np.add.reduceat(up, at)))
+            moves.append((own, np.add.reduceat(np.multiply(q, up[:, None], out=made), at)))
             self.weight[own] += runs
             begin = self.r.integers(1 << 30, size=len(first)) % size
             if level:
-                for a, length, f, of, many, b, by in zip(p_at, p_runs, first, size, noise, begin, shift, strict=True):
-                    part = slice(a, a + length)
-                    ids = m.starts[level] + f + (b + np.arange(many) * of // many) % of
-                    T = m.rows[ids]
-                    down = q[part] @ T.T
-                    down += m.bias[ids] - by
-                    down = sigmoid(down)
-                    dq[part] -= down @ T
-                    moves.append((ids, -(down.T @ q[part]), -down.sum(axis=0)))
+                k = np.arange(NOISE)
+                ids = first[:, None] + (begin[:, None] + k * size[:, None] // noise[:, None]) % size[:, None]
+                some = k < noise[:, None]
+                T, down = m.flat.take(ids, axis=0), np.empty((n, NOISE), np.float32)
+                cuts = list(zip(p_at.tolist(), (p_at + p_runs).tolist(), strict=True))
+                for i, (a, b) in enumerate(cuts):
+                    np.matmul(q[a:b], T[i].T, out=down[a:b])
+                down -= by[:, None]
+                down = sigmoid(down)
+                if not some.all():
+                    down *= np.repeat(some, p_runs, axis=0)
+                g = np.empty_like(T)
+                for i, (a, b) in enumerate(cuts):
+                    np.matmul(down[a:b], T[i], out=made[a:b])
+                    np.matmul(down[a:b].T, q[a:b], out=g[i])
+                dq -= made
+                moves.append((ids[some], -g[some]))
             else:
                 for k in range(LEAF_NOISE):
-                    ids = m.starts[0] + first + (begin + k * size // noise) % size
+                    ids = first + (begin + k * size // noise) % size
                     counts = (k < noise).astype(np.float32)
-                    t = np.repeat(m.rows[ids], p_runs, axis=0)
+                    t = np.repeat(m.flat.take(ids, axis=0), p_runs, axis=0)
                     down = np.einsum("nd,nd->n", q, t)
-                    down += np.repeat(m.bias[ids] - shift, p_runs)
+                    down -= by
                     down = sigmoid(down)
                     down *= np.repeat(-counts, p_runs)
                     t *= down[:, None]
                     dq += t
-                    moves.append((ids, np.add.reduceat(down[:, None] * q, p_at), np.add.reduceat(down, p_at)))
+                    moves.append((ids, np.add.reduceat(np.multiply(q, down[:, None], out=made), p_at)))
             node = parent
-        for rows, g, gb in moves:
-            self.move(rows, g, gb)
+        for rows, g in moves:
+            self.move(rows, g)
+        dq[:, DIM] = 0  # contexts have no bias
         for ids, row, e in ((one, m.dense, e1), (two, m.dense + 1, e2)):
             order = np.argsort(ids)
             at, runs = segments(ids[order])
             own = ids[order[at]]
-            self.move(own, np.add.reduceat(dq[order], at) * m.rows[row])
+            self.move(own, np.add.reduceat(dq.take(order, axis=0), at) * m.flat[row])
             self.weight[own] += runs
             self.move(np.array([row]), np.einsum("nd,nd->d", dq, e)[None])
             self.weight[row] += n

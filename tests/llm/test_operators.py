@@ -419,3 +419,84 @@ def test_lm_head_finds_tokens():
     head = lm.Head(hashes, np.ones(5000, np.int64))
     assert (head.of(hashes) == np.arange(5000)).all() and (head.of(hashes + np.uint64(1))[50:] == 5000).all()
     assert (lm.Head(hashes[:0], np.ones(0, np.int64)).of(hashes) == 0).all()
+
+
+def step_by_hand(m, w, one, two, seed):
+    """The vectors with bias after one batch: all gradients from the first parameters, then one Adagrad step a row and list of rows."""
+    import numpy as np
+
+    r, v = np.random.default_rng(seed), np.c_[m.rows, m.bias].astype(float)
+    squares, near, far = np.tile([1.0, 1000.0], (len(v), 1)), m.dense, m.dense + 1
+    start, order = v.copy(), sorted(range(len(w)), key=lambda i: w[i])
+    q = start[near] * start[one] + start[far] * start[two]
+    q[:, lm.DIM] = 1
+    dq, moves = np.zeros_like(q), []
+
+    def take(g, i, row, real, shift):
+        x = (real - 1 / (1 + np.exp(-(q[i] @ start[row] - shift))))
+        dq[i] += x * start[row]
+        g[row] = g.get(row, 0) + x * q[i]
+
+    for level in range(lm.LEVELS):
+        node = [w[i] // m.fan**level for i in order]
+        parents = sorted({x // m.fan for x in node})
+        begin = dict(zip(parents, r.integers(1 << 30, size=len(parents)).tolist(), strict=True))
+        own, noise = {}, [{} for _ in range(1 if level else lm.LEAF_NOISE)]
+        for i, x in zip(order, node, strict=True):
+            first, size = x // m.fan * m.fan, min(m.fan, m.sizes[level] - x // m.fan * m.fan)
+            many = min(lm.NOISE if level else lm.LEAF_NOISE, size)
+            take(own, i, m.starts[level] + x, 1, np.log(many))
+            for k in range(many):
+                sibling = first + (begin[x // m.fan] % size + k * size // many) % size
+                take(noise[0 if level else k], i, m.starts[level] + sibling, 0, np.log(many))
+        moves += [own, *noise]
+    dq[:, lm.DIM] = 0
+    for ids, row in ((one, near), (two, far)):
+        g = {}
+        for i, c in enumerate(ids):
+            g[c] = g.get(c, 0) + dq[i] * start[row]
+        moves += [g, {row: (dq * start[ids]).sum(axis=0)}]
+    for g in moves:
+        for row, x in g.items():
+            squares[row] += (x[: lm.DIM] @ x[: lm.DIM]) / lm.DIM, x[lm.DIM] ** 2
+            v[row] += lm.RATE * x / np.sqrt(np.r_[np.repeat(squares[row, 0], lm.DIM), squares[row, 1]])
+    return v
+
+
+@pytest.mark.parametrize("targets", [10, 1010, 30_000])
+def test_lm_step_by_value(targets, monkeypatch):
+    """A step equals one by hand, and takes as many calls however many nodes its tokens have above them."""
+    import numpy as np
+
+    r, calls, move = np.random.default_rng(3), [], lm.Trainer.move
+    monkeypatch.setattr(lm.Trainer, "move", lambda self, *a: calls.append(len(a[0])) or move(self, *a))
+    p = r.random(targets)
+    trainer = lm.Trainer(lm.fresh(np.sort(p / p.sum())[::-1]), 7)
+    w, one, two = r.integers(0, targets, 400), r.integers(0, targets + 1, 400), r.integers(0, targets + 1, 400)
+    one[:100], two[50:150] = targets, targets
+    first, want = np.c_[trainer.m.rows, trainer.m.bias], step_by_hand(trainer.m, w, one, two, 7)
+    trainer.batch(w.astype(np.int32), one.astype(np.int32), two.astype(np.int32))
+    got = np.c_[trainer.m.rows, trainer.m.bias]
+    assert np.abs(got - want).max() < 1e-5 and np.abs(got[: targets + 1] - first[: targets + 1]).max() > 1e-3
+    assert len(calls) == 2 * lm.LEVELS + lm.LEAF_NOISE - 1 + 4
+
+
+def test_lm_scores_in_blocks(monkeypatch):
+    """Long runs of one parent, few siblings, and scores whose exponential overflows or vanishes."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for bias in (0, 150, -150):
+        m = lm.fresh(np.full(1010, 1 / 1010))
+        m.rows[:] = r.normal(0, 1, m.rows.shape)
+        m.bias[:] += bias + r.normal(0, 1, len(m.bias))
+        w, one, two = r.integers(0, 1010, 5000), r.integers(0, 1011, 5000), r.integers(0, 1011, 5000)
+        w[:2500] = 7  # more than two blocks of one leaf
+        q = (m.rows[m.dense] * m.rows[one] + m.rows[m.dense + 1] * m.rows[two]).astype(float)
+        want, node = np.zeros(5000), w
+        for level in range(lm.LEVELS):
+            s = q @ m.rows[m.starts[level] :][: m.sizes[level]].T.astype(float) + m.bias[m.starts[level] :][: m.sizes[level]]
+            kin = np.arange(m.sizes[level]) // m.fan == (node // m.fan)[:, None]
+            want += s[np.arange(5000), node] - np.logaddexp.reduce(np.where(kin, s, -np.inf), axis=1)
+            node = node // m.fan
+        assert m.log_probabilities(w, one, two) == pytest.approx(want, abs=2e-3)
