@@ -22,7 +22,7 @@ from docloom.sources.files import write_outcomes
 
 
 def merge_batch(
-    target: str, stream: str, most: int = rules.MAX_TOKENS, embed: Callable | None = None, buckets: int = BUCKETS
+    target: str, stream: str, most: int = rules.MAX_TOKENS, embed: Callable | None = None, buckets: int = BUCKETS, trimmed_size: bool = True
 ) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the last version of each path is chunked and replaces its file's chunks in the table at ``target``.
 
@@ -31,7 +31,7 @@ def merge_batch(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         last = batch.groupBy("path").agg(F.max_by("text", F.struct("ts", "text")).alias("text"))
-        fresh = build_chunks(last, most)
+        fresh = build_chunks(last, most, trimmed_size=trimmed_size)
         if embed is not None:
             fresh = fresh.withColumn("embedding", embed(fresh))
         merge_into_buckets(fresh, target, stream, batch_id, buckets)
