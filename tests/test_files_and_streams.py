@@ -4,6 +4,8 @@ import datetime as dt
 import json
 
 import pytest
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom.operators.chunks import build_chunks
@@ -120,6 +122,69 @@ def test_stream_rate_limit_in_order_of_time(spark, tmp_path):
     assert got.filter("key = 1 AND us = 1070000000").count() == 3
 
 
+class _Timers:
+    def __init__(self, now: int) -> None:
+        self.now = now
+
+    def getCurrentWatermarkInMs(self) -> int:  # noqa: N802
+        return self.now
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+
+class _State(dict):
+    """The state of one key, in memory; counts what is asked of it."""
+
+    calls = 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = lambda self, *_: _State()  # noqa: E731, N815
+
+    def get(self):
+        self.calls += 1
+        return self.getValue(())
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return dict.get(self, key)
+
+    def update(self, value) -> None:
+        self.updateValue((), value)
+
+    def updateValue(self, key, value) -> None:  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    containsKey, removeKey = dict.__contains__, dict.pop  # noqa: N815
+
+    def registerTimer(self, at: int) -> None:  # noqa: N802
+        self.calls += 1
+
+
+def test_a_key_costs_little_state_and_a_busy_one_lies_in_slots():
+    """Verdicts are those of one run in order, with and without slots; calls to the state do not grow with the events."""
+    r = np.random.default_rng(5)
+    us, ids = r.integers(0, 10**10, 3000), np.arange(3000)
+    want, _ = jobs._judge((1,), us, ids, None, 60_000_000)
+    for few in (5000, 64):
+        limiter, state = jobs.OrderedRateLimiter(60, 1000, few), _State()
+        limiter.init(state)
+        got = []
+        for at in range(0, 3000, 500):
+            list(limiter.handleInputRows((1,), iter([pd.DataFrame({"us": us[at : at + 500], "event_id": ids[at : at + 500]})]), None))
+        assert len(limiter.slots) == 0 if few == 5000 else 30 < len(limiter.slots) < 600
+        for now in (3_000_000, 3_000_500, 7_777_000, 10**8):
+            got += list(limiter.handleExpiredTimer((1,), _Timers(now), _Timers(now)))
+            due = (us // 10**6 + 1) * 1000 <= now
+            assert sum(map(len, got)) == due.sum()
+        assert pd.concat(got).reset_index(drop=True).equals(want)
+        assert not state and not limiter.slots
+        if few == 5000:
+            assert state.calls < 50
+
+
 def test_snapshots_are_swapped_and_retired(spark, tmp_path):
     """Readers find the newest of all snapshots, and the one before stays readable."""
     target, names = str(tmp_path / "kb"), []
