@@ -1,4 +1,5 @@
-"""An index of pieces of words: for every one, two and three characters in a row, the texts that have them.
+"""Words found as parts of words, by pieces: in an index, for every one, two and three characters in a row, of the texts that have them,
+or, for a single search, in the texts as they pass.
 
 A word of up to three characters is such a piece; a longer one can only be in texts that have all its pieces, so the texts of
 its rarest piece are looked at and no others. Posting lists are cut into pieces of LIST_TEXTS texts, so that one that
@@ -12,9 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.tiles import count_scorer
 from docloom.sources.scratch import new_folder, stored
 
 LIST_TEXTS, BUCKETS = 4096, 32
@@ -70,43 +73,59 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def _pieces_of_batch(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """First and last of up to ``most`` texts that are looked at at once."""
+    sizes = np.cumsum([len(t) for t in texts])
+    begin = 0
+    while begin < len(texts):
+        done = int(sizes[begin - 1]) if begin else 0
+        end = min(max(int(np.searchsorted(sizes, done + _CHARS)), begin + 1), begin + most, len(texts))
+        yield begin, end
+        begin = end
+
+
 def _lists(most: int):
     """For batches (n, text): (gram, size, texts), lists of up to ``most`` texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum([len(t) for t in batch.column(1).to_pylist()])
-            begin = 0
-            while begin < batch.num_rows:
-                done = int(sizes[begin - 1]) if begin else 0
-                end = min(max(int(np.searchsorted(sizes, done + _CHARS)), begin + 1), begin + most, batch.num_rows)
+            for begin, end in _pieces_of_batch(batch.column(1).to_pylist(), most):
                 part = batch.slice(begin, end - begin)
                 piece, own = _grams(part.column(1))
                 first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(piece) else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(piece)], pa.int32()), part.column(0).take(pa.array(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(piece[first]), pa.array(np.diff(np.r_[first, len(piece)]).astype(np.int32)), lists], ["gram", "size", "texts"])
-                begin = end
 
     return run
 
 
+def _longest(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, number of the word): the longest pieces of each word."""
+    piece, own = _grams(words)
+    longest = piece >> 21 * np.array([min(len(w), 3) - 1 for w in words.to_pylist()], np.int64)[own] > 0
+    return piece[longest], own[longest]
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word number, word) to (word number, gram): the longest pieces of each word."""
+    """(word number, word) to (word number, gram)."""
     for batch in batches:
-        words = batch.column(1).to_pylist()
-        piece, own = _grams(batch.column(1))
-        longest = piece >> 21 * np.array([min(len(w), 3) - 1 for w in words], np.int64)[own] > 0
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[longest])), pa.array(piece[longest])], ["term", "gram"])
+        piece, own = _longest(batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(piece)], ["term", "gram"])
 
 
 def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
+def chunk_texts(chunks: DataFrame) -> DataFrame:
+    """(sourceFile, chunk_index, version, text): the lower-cased headings and texts of chunks."""
+    words = F.lower(F.concat_ws(" ", "heading", F.coalesce("rawContent", "content")))
+    return chunks.select("sourceFile", F.col("chunk_index").cast("int").alias("chunk_index"), "version", words.alias("text"))
+
+
 def piece_index(chunks: DataFrame, list_texts: int = LIST_TEXTS) -> Index:
     """The index of the lower-cased headings and texts of chunks."""
-    words = F.lower(F.concat_ws(" ", "heading", F.coalesce("rawContent", "content")))
-    texts = stored(chunks.select(F.monotonically_increasing_id().alias("n"), "sourceFile", F.col("chunk_index").cast("int").alias("chunk_index"), "version", words.alias("text")))
+    texts = stored(chunk_texts(chunks).withColumn("n", F.monotonically_increasing_id()))
     lists = texts.select("n", "text").mapInArrow(_lists(list_texts), "gram long, size int, texts array<long>").withColumn("bucket", _bucket(F.col("gram")))
     folder = new_folder(chunks.sparkSession, "postings")
     # As many files as the session has partitions: where that is more than buckets, a bucket has several.
@@ -116,10 +135,9 @@ def piece_index(chunks: DataFrame, list_texts: int = LIST_TEXTS) -> Index:
     return Index(texts, chunks.sparkSession.read.schema("gram long, size int, texts array<long>, bucket int").parquet(folder))
 
 
-def words_of(queries: DataFrame) -> DataFrame:
-    """(query number, word) of ``queries(_query, query)``, repeated words as often as they are there."""
-    split = F.split(F.lower(F.coalesce("query", F.lit(""))), BLANKS)
-    return queries.select("_query", F.explode(split).alias("word")).filter("word != ''")
+def words_of(query: Column) -> Column:
+    """The words of a query, repeated ones as often as they are there."""
+    return F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), BLANKS), lambda w: w != "")
 
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,3 +165,81 @@ def word_matches(index: Index, words: DataFrame) -> DataFrame:
     looked = index.texts.join(of_text, "n").select("n", "sourceFile", "chunk_index", "version", "text", F.col("near.term").alias("terms"), F.col("near.word").alias("words"))
     schema = "n long, sourceFile string, chunk_index int, version string, told array<long>"
     return looked.mapInArrow(_present, schema).filter(F.size("told") > 0)
+
+
+class _Finder:
+    """Which of some distinct words are in texts: a word is looked for in a text that has all its pieces.
+
+    Pieces are asked for from the rarest in the first texts on, which changes how many are asked for, not what is found.
+    """
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        self.whole = np.array([len(w) <= 3 for w in words], bool)
+        self.pieces: np.ndarray | None = None
+
+    def _choose(self, seen: np.ndarray) -> None:
+        piece, own = _longest(pa.array(self.words, pa.string()))
+        self.pieces, piece = np.unique(piece, return_inverse=True)
+        often = np.searchsorted(seen, self.pieces, "right") - np.searchsorted(seen, self.pieces)
+        order = np.lexsort((piece, often[piece], own))
+        #: The pieces of every word, the rarest first, and where those of a word begin and end.
+        self.turn = piece[order]
+        self.begin, self.end = (np.searchsorted(own[order], np.arange(len(self.words)), side) for side in ("left", "right"))
+        rarest = self.turn[self.begin]
+        self.word = np.argsort(rarest, kind="stable")
+        self.first = np.searchsorted(rarest[self.word], np.arange(len(self.pieces) + 1))
+
+    def _candidates(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(text, word) where all pieces of a word are."""
+        piece, text = _grams(texts)
+        if self.pieces is None:
+            self._choose(np.sort(piece))
+        at = np.minimum(np.searchsorted(self.pieces, piece), max(len(self.pieces) - 1, 0))
+        asked = self.pieces[at] == piece if len(self.pieces) else np.zeros(len(piece), bool)
+        piece, text = at[asked], text[asked]
+        there = np.sort(piece * len(texts) + text)
+        n = self.first[piece + 1] - self.first[piece]
+        word = self.word[np.repeat(self.first[piece] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        text, turn = np.repeat(text, n), 1
+        fine, more = [(text[:0], word[:0])], True
+        while more:
+            done = self.begin[word] + turn >= self.end[word]
+            fine.append((text[done], word[done]))
+            text, word = text[~done], word[~done]
+            wanted = self.turn[self.begin[word] + turn] * len(texts) + text
+            has = there[np.minimum(np.searchsorted(there, wanted), max(len(there) - 1, 0))] == wanted if len(wanted) else done[:0]
+            text, word, turn, more = text[has], word[has], turn + 1, bool(has.any())
+        return tuple(np.concatenate(c) for c in zip(*fine, strict=True))
+
+    def found(self, texts: pa.Array) -> pa.Array:
+        """For each text the numbers of the words in it."""
+        known, sizes, words = texts.to_pylist(), np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)]
+        for begin, end in _pieces_of_batch(known, len(known)):
+            text, word = self._candidates(texts.slice(begin, end - begin))
+            text += begin
+            there = self.whole[word]
+            at = np.flatnonzero(~there)
+            there[at] = [self.words[w] in known[t] for w, t in zip(word[at].tolist(), text[at].tolist(), strict=True)]
+            text, word = text[there], word[there]
+            sizes += np.bincount(text, minlength=len(known))
+            words.append(word[np.argsort(text, kind="stable")])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(words)))
+
+
+def word_scorer(asked: pa.Array):
+    """For `best_by_tiles`: how many of a query's words, which may be repeated, are in a row's text, as parts of words, too."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(asked), 0).to_numpy(zero_copy_only=False))
+    each = asked.flatten().to_pylist()
+    number = {w: i for i, w in enumerate(dict.fromkeys(each))}
+    count = count_scorer(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array([number[w] for w in each], pa.int64())))
+    finder = _Finder(list(number))
+    # The same texts come once for each block of queries.
+    last: list = [None, None]
+
+    def score(told: pa.Array, first: int, end: int) -> np.ndarray:
+        if last[0] is not told:
+            last[:] = told, finder.found(told)
+        return count(last[1], first, end)
+
+    return score

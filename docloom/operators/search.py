@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.text import trimmed
-from docloom.operators.postings import Index, piece_index, word_matches, words_of
+from docloom.operators.postings import Index, chunk_texts, word_matches, word_scorer, words_of
 from docloom.operators.tiles import best_by_tiles, count_scorer, dot_scorer
 from docloom.sources.scratch import stored
 
@@ -134,14 +134,16 @@ def search_response(queries: DataFrame, results: DataFrame) -> DataFrame:
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_LIMIT, index: Index | None = None) -> DataFrame:
     """Chunks by the number of a query's words (repeated ones count) that occur in heading and text, as parts of words, too.
 
-    ``index`` is the `piece_index` of the chunks, by default made for this search. Texts are read where a word of more than
-    three characters may be, however many queries ask for it; what goes to the queries is the words that a chunk has.
+    Texts meet the queries in tiles: they travel once for each tile of queries, and nothing is stored. With ``index``, the `piece_index` of
+    the chunks, texts are read only where a word's rarest piece is, however many queries ask for it: for many searches, or rare words.
     """
-    index = index or piece_index(chunks)
-    asked = stored(queries.select("query_id", F.coalesce("version", F.lit("all")).alias("version"), "query").withColumn("_query", F.monotonically_increasing_id()))
-    words = words_of(asked)
+    asked = queries.select("query_id", F.coalesce("version", F.lit("all")).alias("version"), words_of(F.col("query")).alias("asked")).filter(F.size("asked") > 0)
+    if index is None:
+        return _ranked(best_by_tiles(asked, chunk_texts(chunks).withColumnRenamed("text", "told"), word_scorer, k, 1.0), k)
+    asked = stored(asked.withColumn("_query", F.monotonically_increasing_id()))
+    words = asked.select("_query", F.explode("asked").alias("word"))
     terms = stored(words.select("word").distinct().withColumn("term", F.monotonically_increasing_id()))
     wanted = words.join(terms, "word").groupBy("_query").agg(F.collect_list("term").alias("asked"))
     rows = word_matches(index, terms).drop("n")
-    sent = asked.join(wanted, "_query").select("query_id", "version", "asked")
+    sent = asked.drop("asked").join(wanted, "_query").select("query_id", "version", "asked")
     return _ranked(best_by_tiles(sent, rows, count_scorer, k, 1.0), k)

@@ -121,11 +121,11 @@ def _kernel(scorer: Scorer, k: int, least: float):
                 for at in range(0, part.num_rows, SLICE):
                     rows = part.slice(at, SLICE)
                     best.follow(pa.Table.from_batches([rows.select(_KEYS)]))
-                    own = rows.column("version").to_pylist()
+                    own, told = rows.column("version").to_pylist(), rows.column("told")
                     step = max(1, SCORES // rows.num_rows)
                     for first in range(0, len(ids), step):
                         last = min(first + step, len(ids))
-                        scores = score(rows.column("told"), first, last)
+                        scores = score(told, first, last)
                         best.add(scores, versions.fit(own, first, last) & (scores >= least), first)
         if best is not None:
             yield best.result(ids)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import postings, search, tiles
@@ -97,3 +98,19 @@ def test_keywords_read_postings_and_few_texts(spark):
     terms = spark.createDataFrame([(0, "quixotic")], "term long, word string")
     assert [r.told for r in postings.word_matches(index, terms).collect()] == [[0]] * 4
     assert "PartitionFilters: [isnotnull(bucket" in plan(out)
+
+
+def test_keywords_without_an_index_store_nothing(spark, monkeypatch):
+    """The same rows as by postings, in tiles of few queries and slices of few texts, and no table is written for them."""
+    r = random.Random(3)
+    letters = ["a", "b", "é", "語", "x\0", "😀"]
+    word = lambda: "".join(r.choices(letters, k=r.randrange(1, 7)))
+    rows = [(f"f{i % 7}", i, r.choice(["v5", "v6", "both"]), word(), " ".join(word() for _ in range(r.randrange(12))), "") for i in range(120)]
+    chunks = spark.createDataFrame(rows, "sourceFile string, chunk_index int, version string, heading string, rawContent string, content string")
+    asked = spark.createDataFrame([(i, r.choice(["v5", "all", None]), " ".join(word()[:4] for _ in range(r.randrange(6)))) for i in range(80)], "query_id long, version string, query string")
+    want = sorted(map(str, search.keyword_search(asked, chunks, 4, postings.piece_index(chunks)).collect()))
+    monkeypatch.setattr(tiles, "QUERY_TILE", 30)
+    monkeypatch.setattr(tiles, "TILE_BYTES", 8 * 6 * 30)
+    monkeypatch.setattr(postings, "new_folder", lambda *_: pytest.fail("a table is written"))
+    monkeypatch.setattr(search, "stored", lambda *_: pytest.fail("a table is written"))
+    assert sorted(map(str, search.keyword_search(asked, chunks, 4).collect())) == want and len(want) > 100
