@@ -24,16 +24,18 @@ from docloom.sources.files import write_outcomes
 
 
 def merge_batch(
-    target: str, stream: str, most: int = rules.MAX_TOKENS, embed: Callable | None = None, buckets: int = BUCKETS, trimmed_size: bool = True
+    target: str, stream: str, most: int = rules.MAX_TOKENS, embed: Callable | None = None, buckets: int = BUCKETS, **options
 ) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the last version of each path is chunked and replaces its file's chunks in the table at ``target``.
 
+    More ``options`` are those of `build_chunks`.
+
     Only the buckets of files in the batch are read and rewritten. A batch that runs again changes nothing.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         last = batch.groupBy("path").agg(F.max_by("text", F.struct("ts", "text")).alias("text"))
-        fresh = build_chunks(last, most, trimmed_size=trimmed_size)
+        fresh = build_chunks(last, most, **options)
         if embed is not None:
             fresh = fresh.withColumn("embedding", embed(fresh))
         merge_into_buckets(fresh, target, stream, batch_id, buckets)
